@@ -3,7 +3,22 @@
 from __future__ import annotations
 
 from siftline.functions.tables import table
-from siftline.llm import mixing, quality_rules, sharding
+from siftline.llm import mixing, packing, quality_rules, sharding, token_store
+
+
+def _tokenizer(name):
+    """Path of a public tokenizer file; the folder is the installed package's."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sum_of_squares_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), "leads", end_id=0, size=1024)
+
+
+def op5_seekable_token_files(spark, sf_dir):
+    return token_store.store(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), "drops", end_id=1)
 
 
 def op7_hash_tree_sharding(spark, sf_dir):
@@ -19,7 +34,7 @@ def op9_subset_sum_mixing(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op7_hash_tree_sharding, op8_distribution_divergence, op9_subset_sum_mixing)}
+    return {f.__name__: f for f in (op2_sum_of_squares_packing, op5_seekable_token_files, op7_hash_tree_sharding, op8_distribution_divergence, op9_subset_sum_mixing)}
 
 
 def oracles():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from siftline.functions.tables import table
-from siftline.llm import mixing, packing, quality_rules, sharding, token_store
+from siftline.llm import media, mixing, packing, quality_rules, sharding, token_store, warc
 
 
 def _tokenizer(name):
@@ -21,6 +21,10 @@ def op5_seekable_token_files(spark, sf_dir):
     return token_store.store(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), "drops", end_id=1)
 
 
+def op6_gzip_normaliser(spark, sf_dir):
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op7_hash_tree_sharding(spark, sf_dir):
     return sharding.assign(table(spark, sf_dir, "documents"), sharding.Topology.balanced(2, 2, 2))
 
@@ -33,8 +37,12 @@ def op9_subset_sum_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_baseline_jpeg(spark, sf_dir):
+    return media.store(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op2_sum_of_squares_packing, op5_seekable_token_files, op7_hash_tree_sharding, op8_distribution_divergence, op9_subset_sum_mixing)}
+    return {f.__name__: f for f in (op2_sum_of_squares_packing, op5_seekable_token_files, op6_gzip_normaliser, op7_hash_tree_sharding, op8_distribution_divergence, op9_subset_sum_mixing, op10_baseline_jpeg)}
 
 
 def oracles():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from siftline.functions.tables import table
-from siftline.llm import media, mixing, packing, quality_rules, sharding, token_store, warc
+from siftline.llm import html_paths, media, mixing, packing, quality_rules, sharding, token_store, warc
 
 
 def _tokenizer(name):
@@ -13,6 +13,10 @@ def _tokenizer(name):
     return public_tokenizers.path(name)
 
 
+def op1_consensus_host_paths(spark, sf_dir):
+    return html_paths.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_sum_of_squares_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), "leads", end_id=0, size=1024)
 
@@ -42,7 +46,7 @@ def op10_baseline_jpeg(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op2_sum_of_squares_packing, op5_seekable_token_files, op6_gzip_normaliser, op7_hash_tree_sharding, op8_distribution_divergence, op9_subset_sum_mixing, op10_baseline_jpeg)}
+    return {f.__name__: f for f in (op1_consensus_host_paths, op2_sum_of_squares_packing, op5_seekable_token_files, op6_gzip_normaliser, op7_hash_tree_sharding, op8_distribution_divergence, op9_subset_sum_mixing, op10_baseline_jpeg)}
 
 
 def oracles():

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from siftline.functions.tables import table
-from siftline.llm import html_paths, media, mixing, packing, quality_rules, sharding, token_store, warc
+from siftline.llm import html_paths, media, mixing, packing, quality_rules, sharding, simhash, token_store, warc
 
 
 def _tokenizer(name):
@@ -21,6 +21,10 @@ def op2_sum_of_squares_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), "leads", end_id=0, size=1024)
 
 
+def op4_tiled_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, seed=42, radius=4).select("doc_id", "fingerprint", "component_id")
+
+
 def op5_seekable_token_files(spark, sf_dir):
     return token_store.store(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), "drops", end_id=1)
 
@@ -46,7 +50,7 @@ def op10_baseline_jpeg(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_consensus_host_paths, op2_sum_of_squares_packing, op5_seekable_token_files, op6_gzip_normaliser, op7_hash_tree_sharding, op8_distribution_divergence, op9_subset_sum_mixing, op10_baseline_jpeg)}
+    return {f.__name__: f for f in (op1_consensus_host_paths, op2_sum_of_squares_packing, op4_tiled_simhash, op5_seekable_token_files, op6_gzip_normaliser, op7_hash_tree_sharding, op8_distribution_divergence, op9_subset_sum_mixing, op10_baseline_jpeg)}
 
 
 def oracles():

@@ -1,4 +1,62 @@
-"""Placeholder order of the corpus pipeline; stages are added with their operators."""
+"""From raw documents to packed training sequences, each stage over all that the last one kept.
 
-STAGES = []
+Near-duplicates are taken at five-word shingles here; the other stages have the parameters of
+their queries. Every stage's result is written to the shared folder and read again.
+"""
+
+from __future__ import annotations
+
+from siftline.functions.tables import table
+from siftline.llm import importance, mixing, packing, quality_rules, simhash
+from siftline.plans.storage import write_back
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def quality_classifier(spark, docs, sf_dir):
+    """Drops the documents that importance resampling doesn't draw."""
+    return importance.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def rules(spark, docs, sf_dir):
+    """Drops the documents that fail the base rules or stray from their language's histograms."""
+    return quality_rules.keep_good(docs)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """Keeps one document of each SimHash component."""
+    return simhash.keep_one(docs)
+
+
+def mix_sources(spark, docs, sf_dir):
+    """Repeats or leaves out documents, so that each source meets its target."""
+    return mixing.apply(docs)
+
+
+def pack_windows(spark, docs, sf_dir):
+    """Packs what is left into windows of 1024 tokens."""
+    return packing.pack(docs, _tokenizer(), "leads", end_id=0, size=1024)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", rules),
+    ("near_dedup", near_dedup),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
+
+#: Tokenising and hashed models are beyond SQL; tests/llm compares a small run with brute force.
 ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    """All stages over the documents of a folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = write_back(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -152,3 +152,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .join(F.broadcast(goals).alias("g"), F.expr("r.source <=> g.source"))
         .select("doc_id", "size", "r.source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "order_hash")
     )
+
+
+def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it is taken, with its own columns.
+
+    Rows that share id and text share their copies out: they are numbered, and the first ones
+    take what doesn't divide.
+    """
+    chosen = mix(docs, id_col, text_col, source_col, seed, weights, share, cap)
+    chosen = chosen.groupBy(F.col("doc_id").alias("__id"), F.col("order_hash").alias("__h")).agg(F.sum("copies").alias("__c"), F.count(F.lit(1)).alias("__n")).where("__c > 0")
+    rows = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.lit(seed), id_col, text_col) == F.col("__h")))
+    alone = rows.where("__n = 1").withColumn("__k", F.lit(1))
+    several = rows.where("__n > 1").withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__n")))
+    copies = F.expr("cast(__c div __n + if(__k <= __c % __n, 1, 0) as int)")
+    return alone.unionByName(several).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)

@@ -55,13 +55,13 @@ def _without(text: Column, chars: str) -> Column:
 def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, the base figures and both histograms of every row, each text read once."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text.alias("t"))
-    d = d.select("doc_id", "lang", "t", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("row_hash"), text.alias("t"))
+    d = d.select("doc_id", "lang", "row_hash", "t", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select("*", lines.alias("ls"))
     # Windows of 8 words by doubling: pairs, fours, eights; each step hashes two numbers.
     d = d.select(
-        "doc_id", "lang", "t", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h1"),
+        "doc_id", "lang", "row_hash", "t", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h1"),
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
     )
     for a, b, step in (("h1", "h2", 1), ("h2", "h4", 2), ("h4", "h8", 4)):
@@ -82,7 +82,7 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     chars = F.array(*(F.char_length(a) - F.char_length(b) for a, b in zip(left, left[1:], strict=False)), F.char_length(left[-1]))
     spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower("t"), r"[^\p{L}]+", "  "), F.lit(" "))
     d = d.select(
-        "doc_id", "lang", F.col("n").cast("long").alias("n_words"),
+        "doc_id", "lang", "row_hash", F.col("n").cast("long").alias("n_words"),
         F.char_length(_without(F.col("t"), BLANKS)).cast("long").alias("word_chars"),
         (F.octet_length("t") - F.octet_length(_without(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
         "n_dup_lines", "n_repeat_words", chars.alias("chars"), F.char_length("t").alias("n_chars"), spaced.alias("spaced"),
@@ -133,4 +133,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     d = d.withColumn("char_distance", F.when(F.col("n_chars") >= MIN_CHARS_JUDGED, _distance(F.col("p_char"), F.col("q_char"))))
     d = d.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS_JUDGED, _distance(F.col("p_word"), F.col("q_word"))))
     verdict = ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "char_distance", "word_distance")
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "char_distance", "word_distance", "row_hash")
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their own columns.
+
+    Only the dropped rows' ids and hashes are joined, from a written table whose size Spark
+    knows: a small one is broadcast, a large one is shuffled.
+    """
+    bad = write_back(judge(docs, id_col, text_col, lang_col).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__h")).distinct(), "rules-dropped")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left_anti")

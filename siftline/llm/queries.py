@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from siftline.functions.tables import table
-from siftline.llm import html_paths, media, mixing, packing, quality_rules, sharding, simhash, token_store, warc
+from siftline.llm import html_paths, importance, media, mixing, packing, quality_rules, sharding, simhash, token_store, warc
 
 
 def _tokenizer(name):
@@ -21,6 +21,10 @@ def op2_sum_of_squares_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), "leads", end_id=0, size=1024)
 
 
+def op3_importance_resampling(spark, sf_dir):
+    return importance.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_tiled_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, seed=42, radius=4).select("doc_id", "fingerprint", "component_id")
 
@@ -38,7 +42,7 @@ def op7_hash_tree_sharding(spark, sf_dir):
 
 
 def op8_distribution_divergence(spark, sf_dir):
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
 def op9_subset_sum_mixing(spark, sf_dir):
@@ -49,8 +53,14 @@ def op10_baseline_jpeg(spark, sf_dir):
     return media.store(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_consensus_host_paths, op2_sum_of_squares_packing, op4_tiled_simhash, op5_seekable_token_files, op6_gzip_normaliser, op7_hash_tree_sharding, op8_distribution_divergence, op9_subset_sum_mixing, op10_baseline_jpeg)}
+    return {"pipeline": pipeline} | {f.__name__: f for f in (op1_consensus_host_paths, op2_sum_of_squares_packing, op3_importance_resampling, op4_tiled_simhash, op5_seekable_token_files, op6_gzip_normaliser, op7_hash_tree_sharding, op8_distribution_divergence, op9_subset_sum_mixing, op10_baseline_jpeg)}
 
 
 def oracles():

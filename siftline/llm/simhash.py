@@ -69,15 +69,15 @@ def fingerprints(texts: list[str], words: int = 4, seed: int = 42) -> np.ndarray
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp of every row."""
+    """doc_id, row_hash, fp of every row."""
 
     def run(stream):
         for batch in stream:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(2).to_pylist()]
             fp = [fingerprints(texts[a:b], words, seed) for a, b in batches(texts, 500_000)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(fp) if fp else np.zeros(0, np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(fp) if fp else np.zeros(0, np.int64))], ["doc_id", "row_hash", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), text_col).mapInArrow(run, "doc_id long, row_hash long, fp long")
 
 
 def schemes(n: int, radius: int, bits: int = 64) -> list[int]:
@@ -224,11 +224,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42, radius: int = 4) -> DataFrame:
-    """doc_id, fp, fingerprint (hex), component_id (smallest id of the component) of every row."""
+    """doc_id, row_hash, fingerprint (hex), component_id (smallest id of the component) and label (its smallest fingerprint) of every row."""
     rows = write_back(with_fingerprints(docs, id_col, text_col, words, seed), "simhash")
     nodes = write_back(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
     label = components(links(nodes.select("fp"), radius))
     named = nodes.join(label, nodes["fp"] == label["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = named.join(least, "label").select("fp", "component_id")
-    return rows.join(found, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = named.join(least, "label").select("fp", "label", "component_id")
+    return rows.join(found, "fp").select("doc_id", "row_hash", "label", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, radius: int = 4) -> DataFrame:
+    """One row of each component, that with the smallest id, with the columns of ``docs``.
+
+    Only the dropped rows' ids and hashes are joined, from a written table whose size Spark
+    knows. Rows that share the smallest id are told apart by their text, then one is taken.
+    """
+    found = near_duplicates(docs, id_col, text_col, words, seed, radius).select("doc_id", "row_hash", "label", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))
+    found = write_back(found, "simhash-rows")
+    first = found.where("first").groupBy("label").agg(F.min("row_hash").alias("h"), F.count(F.lit(1)).alias("n"))
+    bad = found.where("not first").select("doc_id", "row_hash")
+    shared = write_back(first.where("n > 1"), "simhash-shared")
+    again = found.where("first").join(shared, "label")
+    bad = write_back(bad.union(again.where("row_hash <> h").select("doc_id", "row_hash")).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__h")).distinct(), "simhash-dropped")
+    kept = docs.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left_anti")
+    if shared.isEmpty():
+        return kept
+    own = again.where("row_hash = h").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    key = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h"))
+    return kept.join(own, key, "left_anti").unionByName(kept.join(own, key).dropDuplicates(["__id", "__h"]).select(*docs.columns))

@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
-from siftline.operators import dedup
+from importlib import import_module
 
-QUERIES = {**dedup.QUERIES}
-ORACLES = {**dedup.ORACLES}
+FAMILIES = (
+    "siftline.operators.dedup",
+    "siftline.sources.manifest",
+    "siftline.operators.scalar_queries",
+    "siftline.operators.labels",
+    "siftline.operators.sampling",
+    "siftline.operators.splits",
+    "siftline.operators.grid",
+    "siftline.operators.results",
+)
+
+QUERIES, ORACLES = {}, {}
+for _name in FAMILIES:
+    _family = import_module(_name)
+    if _twice := QUERIES.keys() & _family.QUERIES.keys():
+        raise ValueError(f"registered twice: {_twice}")
+    QUERIES |= _family.QUERIES
+    ORACLES |= _family.ORACLES

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.tables import table
 
+#: Rate of leaking rows above which a report alerts.
+ALERT_RATE = 0.01
+
 
 def exact_groups(df: DataFrame, id_col: str, key: str) -> DataFrame:
     """Groups of two or more rows with the same key: key, n, first_id.
@@ -21,12 +26,139 @@ def exact_groups(df: DataFrame, id_col: str, key: str) -> DataFrame:
     )
 
 
+def duplicate_summary(df: DataFrame, key: str, dataset: str) -> DataFrame:
+    """How many duplicate groups span each set of datasets: datasets (sorted, joined by |), n_groups.
+
+    Two levels of aggregation; the set of a group is bounded by the number of datasets.
+    """
+    groups = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set(dataset)), "|").alias("datasets"))
+    return groups.where("n >= 2").groupBy("datasets").agg(F.count(F.lit(1)).alias("n_groups"))
+
+
+def cross_set_pairs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Inner equi-join of two (id, key) tables: id_a, id_b, key. Catalyst picks the strategy by size; AQE splits hot keys."""
+    return a.select(F.col("id").alias("id_a"), key).join(b.select(F.col("id").alias("id_b"), key), key).select("id_a", "id_b", key)
+
+
+def hex_bits(h: Column) -> Column:
+    """A 16-digit hex hash as a signed 64-bit number; two halves, so that no half overflows."""
+    return F.shiftleft(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.substring(h, 9, 8), 16, 10).cast("long"))
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """Differing bits of two 64-bit numbers."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def hamming_pairs(a: DataFrame, b: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (id_a, id_b, distance) of two (id, bits) tables within ``threshold`` differing bits.
+
+    Hashes within t bits agree on one of t + 1 disjoint bands, so an equi-join on (band, value)
+    finds all of them; each pair is kept at the first band on which it agrees, which needs no
+    distinct. A threshold of 0 is a plain equi-join.
+    """
+    if threshold <= 0:
+        return cross_set_pairs(a, b, "bits").select("id_a", "id_b", F.lit(0).alias("distance"))
+    n = threshold + 1
+    edges = [64 * k // n for k in range(n + 1)]
+    masks = [((1 << edges[k + 1]) - 1) & ~((1 << edges[k]) - 1) for k in range(n)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+
+    def banded(df, name):
+        bands = F.array(*(F.struct(F.lit(k).alias("band"), F.col("bits").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(masks)))
+        return df.select(F.col("id").alias(f"id_{name}"), F.col("bits").alias(f"bits_{name}"), F.inline(bands))
+
+    x = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
+    first = reduce(lambda rest, k: F.when(x.bitwiseAND(F.lit(masks[k])) == 0, F.lit(k)).otherwise(rest), reversed(range(n)), F.lit(n))
+    joined = banded(a, "a").join(banded(b, "b"), ["band", "value"])
+    return joined.where((F.bit_count(x) <= threshold) & (F.col("band") == first)).select("id_a", "id_b", F.bit_count(x).alias("distance"))
+
+
+def leakage_report(pool: DataFrame, downstream: DataFrame, key: str) -> DataFrame:
+    """One row per downstream set and one overall: name, n_rows, n_pairs, n_leaking, rate, alert.
+
+    Pairs are counted as products of per-key counts, so no pair is made.
+    """
+    p = pool.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_pool"))
+    d = downstream.where(F.col(key).isNotNull()).groupBy("name", key).agg(F.count(F.lit(1)).alias("n_down"))
+    hits = d.join(p, key, "left")
+    size = pool.agg(F.count(F.lit(1)).alias("pool_size"))
+    by_set = hits.groupBy("name").agg(F.sum("n_down").alias("n_rows"), F.coalesce(F.sum(F.col("n_down") * F.col("n_pool")), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum("n_pool"), F.lit(0)).alias("n_leaking"))
+    every = (
+        hits.groupBy(key).agg(F.sum("n_down").alias("n_down"), F.max("n_pool").alias("n_pool")).agg(
+            F.coalesce(F.sum("n_down"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n_down") * F.col("n_pool")), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum("n_pool"), F.lit(0)).alias("n_leaking"))
+        .select(F.lit("*").alias("name"), "n_rows", "n_pairs", "n_leaking")
+    )
+    rate = F.col("n_leaking") / F.greatest(F.lit(1), F.col("pool_size"))
+    return by_set.unionByName(every).join(F.broadcast(size)).select("name", "n_rows", "n_pairs", "n_leaking", rate.alias("rate"), (rate > ALERT_RATE).alias("alert"))
+
+
+def leaking_ids(pool: DataFrame, downstream: DataFrame, key: str) -> DataFrame:
+    """Distinct pool ids whose key occurs downstream."""
+    return pool.join(downstream.select(key).distinct(), key, "left_semi").select("id").distinct()
+
+
+# Queries: documents are the pool.
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
 def q_exact_duplicate_groups(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
-    return exact_groups(docs, "doc_id", "h").withColumnRenamed("key", "h")
+    return exact_groups(_docs(spark, sf_dir).select("doc_id", F.md5("text").alias("h")), "doc_id", "h").withColumnRenamed("key", "h")
+
+
+def q_duplicate_summary(spark, sf_dir):
+    return duplicate_summary(_docs(spark, sf_dir).select(F.md5("text").alias("h"), "source"), "h", "source")
+
+
+def q_cross_set_leakage_exact(spark, sf_dir):
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.md5("text").alias("h"), "lang")
+    return cross_set_pairs(d.where("id % 2 = 0").select("id", "h"), d.where("id % 2 = 1").select("id", "h"), "h")
+
+
+def q_leakage_report(spark, sf_dir):
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.md5("text").alias("h"), "lang", "source")
+    return leakage_report(d.where("source <> 'src0'").select("id", "h"), d.where("source = 'src0'").select(F.col("lang").alias("name"), "h"), "h")
+
+
+def q_leaking_ids(spark, sf_dir):
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.md5("text").alias("h"), "source")
+    return leaking_ids(d.where("source <> 'src0'"), d.where("source = 'src0'"), "h")
+
+
+def q_near_duplicate_pairs_hamming(spark, sf_dir):
+    """Vectors' sign bits as 64-bit hashes; pairs of even and odd ids within 18 bits."""
+    e = table(spark, sf_dir, "embeddings")
+    v = e.select(F.col("vec_id").alias("id"), F.expr("aggregate(transform(embedding, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (s, x) -> s | x)").alias("bits"))
+    return hamming_pairs(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 18)
+
+
+def q_hamming_literals(spark, sf_dir):
+    d = _docs(spark, sf_dir).select("doc_id", F.substring(F.md5("text"), 1, 16).alias("a"), F.substring(F.md5("text"), 17, 16).alias("b"))
+    return d.select("doc_id", hamming(hex_bits(F.col("a")), hex_bits(F.col("b"))).alias("distance"))
 
 
-QUERIES = {"exact_duplicate_groups": q_exact_duplicate_groups}
+QUERIES = {f.__name__[2:]: f for f in (q_exact_duplicate_groups, q_duplicate_summary, q_cross_set_leakage_exact, q_leakage_report, q_leaking_ids, q_near_duplicate_pairs_hamming, q_hamming_literals)}
 ORACLES = {
     "exact_duplicate_groups": "SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
+    "duplicate_summary": "SELECT datasets, count(*) AS n_groups FROM (SELECT md5(text) AS h, string_agg(DISTINCT source, '|' ORDER BY source) AS datasets FROM documents GROUP BY 1 HAVING count(*) >= 2) GROUP BY 1",
+    "cross_set_leakage_exact": "SELECT a.doc_id AS id_a, b.doc_id AS id_b, md5(a.text) AS h FROM documents a JOIN documents b ON a.text = b.text WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1",
+    "leakage_report": """
+        WITH p AS (SELECT doc_id, md5(text) AS h FROM documents WHERE source <> 'src0'),
+        d AS (SELECT lang AS name, doc_id, md5(text) AS h FROM documents WHERE source = 'src0'),
+        pairs AS (SELECT d.name, d.doc_id AS did, p.doc_id AS pid FROM d JOIN p USING (h)),
+        rows_ AS (SELECT name, count(*) AS n_rows FROM d GROUP BY 1 UNION ALL SELECT '*', count(*) FROM d),
+        hits AS (SELECT name, count(*) AS n_pairs, count(DISTINCT pid) AS n_leaking FROM pairs GROUP BY 1 UNION ALL SELECT '*', count(*), count(DISTINCT pid) FROM pairs),
+        r AS (SELECT name, CAST(n_rows AS BIGINT) AS n_rows, coalesce(n_pairs, 0) AS n_pairs, coalesce(n_leaking, 0) AS n_leaking,
+                     coalesce(n_leaking, 0) / greatest(1, (SELECT count(*) FROM p))::DOUBLE AS rate FROM rows_ LEFT JOIN hits USING (name))
+        SELECT *, rate > 0.01 AS alert FROM r""",
+    "leaking_ids": "SELECT DISTINCT doc_id AS id FROM documents WHERE source <> 'src0' AND md5(text) IN (SELECT md5(text) FROM documents WHERE source = 'src0')",
+    "near_duplicate_pairs_hamming": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS s FROM embeddings),
+        p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_sum(list_transform(list_zip(a.s, b.s), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::INT AS distance
+              FROM v a, v b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)
+        SELECT * FROM p WHERE distance <= 18""",
+    "hamming_literals": "SELECT doc_id, CAST(bit_count(xor(('0x' || substr(md5(text), 1, 8))::UBIGINT::HUGEINT, ('0x' || substr(md5(text), 17, 8))::UBIGINT::HUGEINT)) + bit_count(xor(('0x' || substr(md5(text), 9, 8))::UBIGINT::HUGEINT, ('0x' || substr(md5(text), 25, 8))::UBIGINT::HUGEINT)) AS INT) AS distance FROM documents",
 }

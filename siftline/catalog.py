@@ -13,6 +13,7 @@ FAMILIES = (
     "siftline.operators.splits",
     "siftline.operators.grid",
     "siftline.operators.results",
+    "siftline.operators.vectors",
 )
 
 QUERIES, ORACLES = {}, {}

@@ -112,6 +112,11 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once, also where ``f`` uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def l2_normalise(a: Column, eps: float = 1e-12) -> Column:
     """The vector over its length, the length held at ``eps`` at least."""
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(eps)))
+    return let(F.greatest(norm(a), F.lit(eps)), lambda n: F.transform(a, lambda x: x.cast("double") / n))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.functions.scalars import let
 from siftline.functions.tables import table
 from siftline.operators.grid import _results
 
@@ -90,8 +91,7 @@ def mean_average_precision(scores: DataFrame, *cols: str) -> DataFrame:
 
 def log_sum_exp(x: Column) -> Column:
     """Of an array, shifted by its largest value."""
-    m = F.array_max(x)
-    return m + F.log(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - m)))
+    return let(F.array_max(x), lambda m: m + F.log(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - m))))
 
 
 def smoothed_cross_entropy(logits: Column, label: Column, smoothing: float = 0.15) -> Column:

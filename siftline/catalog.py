@@ -14,6 +14,8 @@ FAMILIES = (
     "siftline.operators.grid",
     "siftline.operators.results",
     "siftline.operators.vectors",
+    "siftline.operators.matching",
+    "siftline.streaming.state",
 )
 
 QUERIES, ORACLES = {}, {}

@@ -16,6 +16,7 @@ FAMILIES = (
     "siftline.operators.vectors",
     "siftline.operators.matching",
     "siftline.streaming.state",
+    "siftline.operators.images",
 )
 
 QUERIES, ORACLES = {}, {}

@@ -1,0 +1,350 @@
+"""Image work that needs neighbourhoods, transforms or codecs: numpy in Arrow batches.
+
+Each factory returns a pandas UDF over flat channel-major arrays (or encoded bytes). Bytes are
+decoded without outside libraries where the format is simple (PNG, PNM); anything else goes
+through Pillow if it is installed and is null otherwise.
+"""
+
+from __future__ import annotations
+
+import functools
+import hashlib
+import io
+import struct
+import zlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+
+def _map(shape: tuple[int, int, int], change, kind: str = "array<double>"):
+    """UDF that applies ``change(array c*h*w, key)`` to each row."""
+
+    def run(img: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else np.asarray(change(np.asarray(v, float).reshape(shape), k), float).ravel() for v, k in zip(img, key, strict=True)])
+
+    return F.pandas_udf(run, kind)
+
+
+def rng(seed: int, key) -> np.random.Generator:
+    """Generator of a row, the same in every run."""
+    return np.random.default_rng([seed, int.from_bytes(hashlib.sha256(str(key).encode()).digest()[:8], "little")])
+
+
+def reflect(i: np.ndarray, n: int) -> np.ndarray:
+    """Places outside [0, n - 1] mirrored into it."""
+    if n == 1:
+        return np.zeros_like(i)
+    i = np.abs(i) % (2 * (n - 1))
+    return np.where(i >= n, 2 * (n - 1) - i, i)
+
+
+def sample(img: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Bilinear values at fractional rows and columns, mirrored at the border."""
+    _, h, w = img.shape
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    fy, fx = y - y0, x - x0
+    at = lambda a, b: img[:, reflect(a, h), reflect(b, w)]
+    return at(y0, x0) * (1 - fy) * (1 - fx) + at(y0, x0 + 1) * (1 - fy) * fx + at(y0 + 1, x0) * fy * (1 - fx) + at(y0 + 1, x0 + 1) * fy * fx
+
+
+def resize(img: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Bilinear, pixel centres aligned, edges clamped."""
+    y = np.clip((np.arange(h) + 0.5) * img.shape[1] / h - 0.5, 0, img.shape[1] - 1)
+    x = np.clip((np.arange(w) + 0.5) * img.shape[2] / w - 0.5, 0, img.shape[2] - 1)
+    return sample(img, *np.meshgrid(y, x, indexing="ij"))
+
+
+def affine(img: np.ndarray, degrees: float, dx: float = 0, dy: float = 0, zoom: float = 1) -> np.ndarray:
+    """Rotation about the centre, shift in shares of the sides, zoom."""
+    _, h, w = img.shape
+    y, x = np.meshgrid(np.arange(h) - (h - 1) / 2 - dy * h, np.arange(w) - (w - 1) / 2 - dx * w, indexing="ij")
+    a = np.deg2rad(degrees)
+    return sample(img, (np.cos(a) * y - np.sin(a) * x) / zoom + (h - 1) / 2, (np.sin(a) * y + np.cos(a) * x) / zoom + (w - 1) / 2)
+
+
+def blur(img: np.ndarray, sigma: float, size: int = 5) -> np.ndarray:
+    """Separable Gaussian with mirrored borders."""
+    k = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma * sigma))
+    k /= k.sum()
+    for axis in (1, 2):
+        n, places = img.shape[axis], np.arange(img.shape[axis])
+        img = sum(k[j] * np.take(img, reflect(places + j - size // 2, n), axis) for j in range(size))
+    return img
+
+
+def sharpen(img: np.ndarray, strength: float = 1.0) -> np.ndarray:
+    """Unsharp mask with the 3 by 3 mean, edges repeated."""
+    p = np.pad(img, ((0, 0), (1, 1), (1, 1)), "edge")
+    mean = sum(p[:, a : a + img.shape[1], b : b + img.shape[2]] for a in range(3) for b in range(3)) / 9
+    return np.clip(img + strength * (img - mean), 0, 1)
+
+
+def crop(img: np.ndarray, box: tuple[float, float, float, float], h: int, w: int) -> np.ndarray:
+    """A crop (centre and half sides as shares) resized to h by w."""
+    cx, cy, hw, hh = box
+    y = (cy + (2 * (np.arange(h) + 0.5) / h - 1) * hh) * img.shape[1] - 0.5
+    x = (cx + (2 * (np.arange(w) + 0.5) / w - 1) * hw) * img.shape[2] - 0.5
+    return sample(img, *np.meshgrid(np.clip(y, 0, img.shape[1] - 1), np.clip(x, 0, img.shape[2] - 1), indexing="ij"))
+
+
+def radial(h: int, w: int) -> np.ndarray:
+    """Distance of each FFT place (centred) from the middle, the farthest being 1."""
+    y, x = np.meshgrid(np.arange(h) - h // 2, np.arange(w) - w // 2, indexing="ij")
+    d = np.sqrt(y * y + x * x)
+    return d / max(d.max(), 1e-12)
+
+
+def band_energy(img: np.ndarray, low: float = 0.1, mid: float = 0.4) -> np.ndarray:
+    """Shares of FFT magnitude of the channel mean in three radial bands."""
+    m = np.abs(np.fft.fftshift(np.fft.fft2(img.mean(axis=0))))
+    d = radial(*m.shape)
+    parts = np.array([m[d < low].sum(), m[(d >= low) & (d < mid)].sum(), m[d >= mid].sum()])
+    return parts / (parts.sum() + 1e-8)
+
+
+#: Bands taken out by label.
+BANDS = ((), ("low",), ("mid",), ("high",), ("low", "mid"), ("low", "high"), ("mid", "high"))
+
+
+def remove_bands(img: np.ndarray, label: int, low: float = 0.1, mid: float = 0.4, width: float = 0.02) -> np.ndarray:
+    """Image without some frequency bands, with soft edges."""
+    d = radial(*img.shape[1:])
+    soft = lambda z: 1 / (1 + np.exp(-np.clip(z / max(width, 1e-4), -60, 60)))
+    keep = {"low": soft(d - low), "mid": np.clip(soft(low - d) + soft(d - mid), 0, 1), "high": soft(mid - d)}
+    mask = np.ones_like(d)
+    for b in BANDS[label]:
+        mask = mask * keep[b]
+    f = np.fft.fftshift(np.fft.fft2(img), axes=(1, 2)) * mask
+    return np.clip(np.fft.ifft2(np.fft.ifftshift(f, axes=(1, 2))).real, 0, 1)
+
+
+@functools.lru_cache(maxsize=8)
+def _dct(n: int) -> np.ndarray:
+    k = np.arange(n)
+    return np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
+
+
+def phash(gray: np.ndarray, size: int = 8) -> str:
+    """Perceptual hash: low block of the 2-D cosine transform against its median, as hex."""
+    n = 4 * size
+    small = resize(gray[None], n, n)[0]
+    c = _dct(n)
+    low = (c @ small @ c.T)[:size, :size]
+    return np.packbits(low > np.median(low)).tobytes().hex()
+
+
+def read_png(data: bytes) -> np.ndarray:
+    """8-bit, not interlaced PNG of any colour type -> h, w, channels."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG file")
+    at, packed, palette, alpha = 8, b"", None, None
+    while at < len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + n]
+        at += 12 + n
+        if kind == b"IHDR":
+            w, h, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", body)
+            if depth != 8 or interlace:
+                raise ValueError("only 8-bit, not interlaced PNG files are read here")
+        elif kind == b"PLTE":
+            palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"tRNS":
+            alpha = body
+        elif kind == b"IDAT":
+            packed += body
+        elif kind == b"IEND":
+            break
+    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
+    raw = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(h, 1 + w * n)
+    out = np.zeros((h, w * n), np.uint8)
+    for y in range(h):
+        line, up = raw[y, 1:].astype(int), out[y - 1].astype(int) if y else np.zeros(w * n, int)
+        mode = raw[y, 0]
+        if mode == 0:
+            out[y] = line
+        elif mode == 2:
+            out[y] = line + up & 255
+        elif mode == 1:
+            out[y] = (np.cumsum(line.reshape(w, n), axis=0) & 255).ravel()
+        else:
+            row = np.zeros(w * n, int)
+            for k in range(w * n):
+                left, corner = (row[k - n], up[k - n]) if k >= n else (0, 0)
+                if mode == 3:
+                    guess = left + up[k] >> 1
+                else:
+                    p = left + up[k] - corner
+                    guess = min((abs(p - left), 0, left), (abs(p - up[k]), 1, up[k]), (abs(p - corner), 2, corner))[2]
+                row[k] = line[k] + guess & 255
+            out[y] = row
+    out = out.reshape(h, w, n)
+    if colour == 3:
+        flat = out[..., 0]
+        out = palette[flat]
+        if alpha:
+            a = np.full(256, 255, np.uint8)
+            a[: len(alpha)] = np.frombuffer(alpha, np.uint8)
+            out = np.concatenate([out, a[flat][..., None]], axis=2)
+    return out
+
+
+def write_png(img: np.ndarray) -> bytes:
+    """h, w, channels of bytes -> PNG."""
+    h, w, n = img.shape
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    raw = np.concatenate([np.zeros((h, 1), np.uint8), img.reshape(h, w * n)], axis=1).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 2: 4, 3: 2, 4: 6}[n], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def read_pnm(data: bytes) -> np.ndarray:
+    """Binary PGM or PPM."""
+    fields, at = [], 2
+    while len(fields) < 3:
+        while data[at : at + 1].isspace():
+            at += 1
+        if data[at : at + 1] == b"#":
+            at = data.index(b"\n", at)
+            continue
+        end = at
+        while not data[end : end + 1].isspace():
+            end += 1
+        fields.append(int(data[at:end]))
+        at = end
+    w, h, _ = fields
+    n = {b"P5": 1, b"P6": 3}[data[:2]]
+    return np.frombuffer(data, np.uint8, h * w * n, at + 1).reshape(h, w, n)
+
+
+def decode(data: bytes) -> np.ndarray:
+    """h, w, channels; raises for what can't be read."""
+    if data[:4] == b"\x89PNG":
+        return read_png(data)
+    if data[:2] in (b"P5", b"P6"):
+        return read_pnm(data)
+    try:
+        from PIL import Image
+    except ImportError:
+        raise ValueError("this format needs Pillow") from None
+    return np.atleast_3d(np.asarray(Image.open(io.BytesIO(data))))
+
+
+def to_rgb(img: np.ndarray) -> np.ndarray:
+    """Three channels; transparent pixels over white, grey repeated."""
+    n = img.shape[2]
+    if n in (2, 4):
+        a = img[..., -1:].astype(float) / 255
+        img = np.rint(img[..., :-1] * a + 255 * (1 - a)).astype(np.uint8)
+    return np.repeat(img, 3, axis=2) if img.shape[2] == 1 else img
+
+
+def normalise(data: bytes, long_side: int = 640) -> tuple[int, int, int, int, str, bytes]:
+    """Decode, RGB, shrink to a long side, encode (PNG), hash: sides before and after, SHA-256, bytes."""
+    img = to_rgb(decode(data))
+    h, w = img.shape[:2]
+    nh, nw = h, w
+    if max(h, w) > long_side:
+        nh, nw = (max(1, round(s * long_side / max(h, w))) for s in (h, w))
+        img = np.rint(resize(img.transpose(2, 0, 1).astype(float), nh, nw)).astype(np.uint8).transpose(1, 2, 0)
+    out = write_png(img)
+    return h, w, nh, nw, hashlib.sha256(out).hexdigest(), out
+
+
+def _or_none(f):
+    """``f`` over encoded bytes, None for what fails: one bad file must not end a scan."""
+    def run(x):
+        try:
+            return f(bytes(x))
+        except Exception:
+            return None
+
+    return run
+
+
+def is_readable():
+    """UDF: whether bytes decode; never fails."""
+    return F.pandas_udf(lambda data: pd.Series([x is not None and _or_none(decode)(x) is not None for x in data], dtype=bool), "boolean")
+
+
+def phash_of_bytes():
+    """UDF: perceptual hash of encoded images; null for what doesn't decode."""
+    one = _or_none(lambda x: phash(to_rgb(decode(x)).astype(float) @ np.array([0.299, 0.587, 0.114])))
+    return F.pandas_udf(lambda data: pd.Series([None if x is None else one(x) for x in data], dtype=object), "string")
+
+
+def normalised(long_side: int = 640):
+    """UDF: ``normalise`` of each row; all null for what doesn't decode."""
+    names = ["h", "w", "mh", "mw", "sha", "data"]
+
+    def run(data: pd.Series) -> pd.DataFrame:
+        rows = [(None if x is None else _or_none(lambda b: normalise(b, long_side))(x)) or (None,) * 6 for x in data]
+        return pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in names[:4]})
+
+    return F.pandas_udf(run, "h int, w int, mh int, mw int, sha string, data binary")
+
+
+def rotate_udf(shape, degrees: float, seed: int):
+    return _map(shape, lambda img, key: affine(img, rng(seed, key).uniform(-degrees, degrees)))
+
+
+def affine_udf(shape, degrees: float = 10, shift: float = 0.1, low: float = 0.9, high: float = 1.1, seed: int = 0):
+    def change(img, key):
+        r = rng(seed, key)
+        return affine(img, r.uniform(-degrees, degrees), r.uniform(-shift, shift), r.uniform(-shift, shift), r.uniform(low, high))
+
+    return _map(shape, change)
+
+
+def blur_udf(shape, low: float = 0.1, high: float = 2.0, size: int = 5, seed: int = 0):
+    return _map(shape, lambda img, key: blur(img, rng(seed, key).uniform(low, high), size))
+
+
+def sharpen_udf(shape, strength: float = 1.0):
+    return _map(shape, lambda img, key: sharpen(img, strength))
+
+
+def crop_udf(shape, out: tuple[int, int], seed: int = 0, scale=(0.2, 1.0), ratio=(0.75, 4 / 3)):
+    def change(img, key):
+        r, (_, h, w) = rng(seed, key), shape
+        area, aspect = r.uniform(*scale) * h * w, np.exp(r.uniform(*np.log(ratio)))
+        cw, ch = min((area * aspect) ** 0.5, w), min((area / aspect) ** 0.5, h)
+        left, top = r.uniform(0, w - cw), r.uniform(0, h - ch)
+        img = crop(img, ((left + cw / 2) / w, (top + ch / 2) / h, cw / 2 / w, ch / 2 / h), *out)
+        return img[:, :, ::-1] if r.random() < 0.5 else img
+
+    return _map(shape, change)
+
+
+def degrade_udf(shape, view_scale: float):
+    """Down and up again, so that detail finer than the scale is lost."""
+    def change(img, key):
+        _, h, w = img.shape
+        return resize(resize(img, max(1, round(h * view_scale)), max(1, round(w * view_scale))), h, w)
+
+    return _map(shape, change)
+
+
+def band_energy_udf(shape):
+    return _map(shape, lambda img, key: band_energy(img))
+
+
+def remove_bands_udf(shape):
+    """The key is the label of the bands that go."""
+    return _map(shape, lambda img, key: remove_bands(img, int(key)))
+
+
+def patches_udtf(shape, scales=(0.2, 0.5), per_scale: int = 8, size: int = 64, seed: int = 0):
+    """Table function: (key, img) -> rows of patch_id, log_scale, cx, cy, patch."""
+
+    class Patches:
+        def eval(self, key, img):
+            x, k = np.asarray(img, float).reshape(shape), 0
+            for s in scales:
+                for j in range(per_scale):
+                    r = rng(seed + 1000 * k + j, key)
+                    cx, cy = r.uniform(s / 2, 1 - s / 2, 2)
+                    yield k * per_scale + j, float(np.log(s)), float(cx), float(cy), crop(x, (cx, cy, s / 2, s / 2), size, size).ravel().tolist()
+                k += 1
+
+    return F.udtf(Patches, returnType="patch_id int, log_scale double, cx double, cy double, patch array<double>")

@@ -17,6 +17,8 @@ FAMILIES = (
     "siftline.operators.matching",
     "siftline.streaming.state",
     "siftline.operators.images",
+    "siftline.sources.archives",
+    "siftline.sources.discovery",
 )
 
 QUERIES, ORACLES = {}, {}

@@ -55,7 +55,8 @@ def record(page_id: int | None, url: str | None, data: bytes, refers_to: int | N
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(data)
     block = http if refers_to is not None else http + data
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'null' if page_id is None else page_id}>", f"WARC-Date: {date}"]
-    head += [f"WARC-Target-URI: {clean(url)}"] * (url is not None)
+    if url is not None:
+        head.append(f"WARC-Target-URI: {clean(url)}")
     if refers_to is not None:
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += [f"WARC-Payload-Digest: sha1:{digest(data)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]

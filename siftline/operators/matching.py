@@ -179,7 +179,7 @@ def _dense_sql(parts: str) -> str:
     """parts: CTE ``s`` of pairs (q, k, pos, sim, wt, part)."""
     return f"""WITH {_G}, {parts}, m AS (SELECT *, max(pos::INT) OVER (PARTITION BY q) AS used, sim / 0.2::DOUBLE AS l FROM s),
         q AS (SELECT q, max(used) AS used, -ln(sum(CASE WHEN pos THEN exp(l) ELSE 0 END) + 1e-20) + ln(sum(exp(l) * wt)) AS loss, sum(CASE WHEN pos THEN sim END) AS ps, sum(pos::INT) AS pn,
-              sum(CASE WHEN NOT pos AND (part <> 'queue' OR used = 1) THEN sim * wt END) AS ns, sum(CASE WHEN NOT pos AND (part <> 'queue' OR used = 1) THEN wt END) AS nw, arg_max(pos::INT, sim) AS hit FROM m GROUP BY 1)
+              sum(CASE WHEN NOT pos AND (part <> 'queue' OR used = 1) THEN sim * wt END) AS ns, sum(CASE WHEN NOT pos AND (part <> 'queue' OR used = 1) THEN wt END) AS nw, first(pos::INT ORDER BY sim DESC, coalesce(k, 4611686018427387904)) AS hit FROM m GROUP BY 1)
         SELECT round(avg(CASE WHEN used = 1 THEN loss END) + 1e-10, 6) AS loss, round(avg(used) + 1e-10, 6) AS matched_frac, round(sum(ps) / sum(pn) + 1e-10, 6) AS mean_pos_sim, round(sum(ns) / sum(nw) + 1e-10, 6) AS mean_neg_sim,
                round(avg(CASE WHEN used = 1 THEN hit END) + 1e-10, 6) AS acc_top1, sum(used)::BIGINT AS n_used FROM q"""
 

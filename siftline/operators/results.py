@@ -55,8 +55,8 @@ def epoch_means(steps: DataFrame, run: str, epoch: str, step: str, value: str) -
 
 
 def best_epoch(epochs: DataFrame, run: str, epoch: str, loss: str) -> DataFrame:
-    """The epoch of least loss, the earliest on ties."""
-    return epochs.groupBy(run).agg(F.min(F.struct(F.col(loss).alias("loss"), F.col(epoch).alias("epoch"))).alias("b")).select(run, "b.epoch", "b.loss")
+    """The epoch of least loss, the earliest on ties; epochs without a loss do not count."""
+    return epochs.where(F.col(loss).isNotNull()).groupBy(run).agg(F.min(F.struct(F.col(loss).alias("loss"), F.col(epoch).alias("epoch"))).alias("b")).select(run, "b.epoch", "b.loss")
 
 
 def early_stopping(epochs: DataFrame, run: str, epoch: str, metric: str, patience: int) -> DataFrame:

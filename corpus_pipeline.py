@@ -39,7 +39,7 @@ def mix_sources(spark, docs, sf_dir):
 
 def pack_windows(spark, docs, sf_dir):
     """Packs what is left into windows of 1024 tokens."""
-    return packing.pack(docs, _tokenizer(), "leads", end_id=0, size=1024)
+    return packing.pack(docs, _tokenizer(), "leads", end_id=0, size=1024, max_chunks=120_000)  # its workers also hold the other stages' modules
 
 
 STAGES = [

@@ -38,7 +38,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words, then pairs, of each text in turn, and their number by text."""
     import xxhash
 
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 60_000:
         _WORDS.clear()
     known, hashes, counts = _WORDS, [], []
     for text in texts:

@@ -107,12 +107,12 @@ def pack_stream(docs: Iterator[tuple[int, np.ndarray]], size: int) -> Iterator[t
                 window, offset = window + 1, 0
 
 
-def pack(docs: DataFrame, tokenizer: str, blank: str, end_id: int = 0, size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, blank: str, end_id: int = 0, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", max_chunks: int | None = None) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(stream):
         part = TaskContext.get().partitionId()
-        enc = encoder(tokenizer, blank)
+        enc = encoder(tokenizer, blank, max_chunks)
 
         def documents():
             for batch in stream:

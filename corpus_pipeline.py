@@ -1,13 +1,13 @@
 """From raw documents to packed training sequences, each stage over all that the last one kept.
 
-Near-duplicates are taken at five-word shingles here; the other stages have the parameters of
+Near-duplicates are taken by exact five-word shingle similarity here; the other stages have the parameters of
 their queries. Every stage's result is written to the shared folder and read again.
 """
 
 from __future__ import annotations
 
 from siftline.functions.tables import table
-from siftline.llm import importance, mixing, packing, quality_rules, simhash
+from siftline.llm import importance, mixing, packing, quality_rules, shingles
 from siftline.plans.storage import write_back
 
 
@@ -28,8 +28,8 @@ def rules(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Keeps one document of each SimHash component."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each component of five-word shingle similarity from 0.8."""
+    return shingles.keep_one(docs)
 
 
 def mix_sources(spark, docs, sf_dir):

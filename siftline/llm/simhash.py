@@ -235,12 +235,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, radius: int = 4) -> DataFrame:
-    """One row of each component, that with the smallest id, with the columns of ``docs``.
+    """One row of each component, that with the smallest id, with the columns of ``docs``."""
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, words, seed, radius), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each label of ``found`` (doc_id, row_hash, label, component_id), that with the smallest id.
 
     Only the dropped rows' ids and hashes are joined, from a written table whose size Spark
     knows. Rows that share the smallest id are told apart by their text, then one is taken.
     """
-    found = near_duplicates(docs, id_col, text_col, words, seed, radius).select("doc_id", "row_hash", "label", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))
+    found = found.select("doc_id", "row_hash", "label", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first"))
     found = write_back(found, "simhash-rows")
     first = found.where("first").groupBy("label").agg(F.min("row_hash").alias("h"), F.count(F.lit(1)).alias("n"))
     bad = found.where("not first").select("doc_id", "row_hash")

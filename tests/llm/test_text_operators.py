@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siftline.llm import importance, mixing, queries, quality_rules, sharding, simhash
+from siftline.llm import importance, mixing, queries, quality_rules, sharding, shingles, simhash
 from tests.conftest import SF
 from tests.llm.edge import DOCS, documents, labels
 
@@ -145,6 +145,74 @@ def test_schemes_cover_every_pair():
             assert any(x & m == 0 for m in masks)
 
 
+# The pipeline's near-duplicates
+
+
+def brute_set(text, words=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) if w else frozenset()
+
+
+def brute_similar(texts):
+    """Components of Jaccard similarity 4/5 by comparing all."""
+    sets, up = {i: brute_set(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                p, q = sorted((root(a), root(b)))
+                up[q] = p
+    return {k: root(k) for k in keys}
+
+
+def edited(text, share, seed):
+    """A copy with every so many words replaced."""
+    w = text.split()
+    return " ".join(f"{x}{seed}" if k % share == share - 1 else x for k, x in enumerate(w))
+
+
+def test_stage_drops_planted_edited_copies(spark):
+    import corpus_pipeline
+
+    base = [f"a{k} " + " ".join(f"w{(k * 7919 + j * j * 31) % 9973}" for j in range(200)) for k in range(40)]
+    # Every 60th word edited leaves a similarity over 0.8, every 12th one far under it.
+    rows = [(k, t) for k, t in enumerate(base)] + [(100 + k, edited(t, 60, k)) for k, t in enumerate(base)] + [(200 + k, edited(t, 12, k)) for k, t in enumerate(base)]
+    near, far = [len(brute_set(rows[k][1]) & brute_set(rows[n + k][1])) / len(brute_set(rows[k][1]) | brute_set(rows[n + k][1])) for n, k in ((40, 0), (80, 0))]
+    assert near >= 0.8 > 0.6 > far
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert kept == {k for k, _ in rows if not 100 <= k < 200}
+
+
+def test_shingle_components_are_brute_force(spark):
+    texts = {i: r.text for i, r in sf_docs(spark).items()}
+    for k, i in enumerate(sorted(texts)[:30]):
+        texts[10_000 + k] = edited(texts[i], 30 + k, k)
+        texts[20_000 + k] = edited(texts[10_000 + k], 50, k + 7)  # chains
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_similar(texts)
+    assert len(set(want.values())) < len(texts)
+    assert {r.doc_id: r.component_id for r in shingles.near_duplicates(docs).collect()} == want
+    # Many copies of one text, each a little different from the others.
+    one = " ".join(f"w{j}" for j in range(300))
+    docs = spark.createDataFrame([(k, one.replace(f"w{k} ", f"x{k} ")) for k in range(100)], "doc_id long, text string")
+    assert [r.doc_id for r in shingles.keep_one(docs).collect()] == [0]
+
+
+def test_shingles_on_odd_rows(spark):
+    kept = shingles.keep_one(documents(spark))
+    assert kept.columns == documents(spark).columns
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(rows) == len(set(rows)) and {i for i, _ in rows} == {1, 2, 6, 7, 8, 9, None}
+    assert shingles.keep_one(documents(spark, [])).count() == 0
+
+
 # op7
 
 

@@ -57,9 +57,20 @@ def apply_excludes(grid: DataFrame, excludes: list[dict]) -> DataFrame:
 
 
 def exclude_by_table(grid: DataFrame, excludes: DataFrame) -> DataFrame:
-    """The same with filters as rows, a null field matching anything: a left anti join."""
-    same = reduce(Column.__and__, (excludes[c].isNull() | (excludes[c] == grid[c]) for c in excludes.columns))
-    return grid.join(F.broadcast(excludes.limit(10_000)), same, "left_anti")
+    """The same with filters as rows, a null field matching anything.
+
+    Every filter row counts: one left anti join on equal fields for each set of fields that rows
+    name (at most 2 to the number of columns), so none needs the table on one machine.
+    """
+    columns = excludes.columns
+    named = excludes.select(*(F.col(c).isNotNull().alias(c) for c in columns)).distinct().collect()
+    for fields in named:
+        rows = excludes.where(reduce(Column.__and__, (F.col(c).isNotNull() == F.lit(fields[c]) for c in columns)))
+        keys = [c for c in columns if fields[c]]
+        if not keys:
+            return grid.limit(0)
+        grid = grid.join(rows.select(*keys).distinct(), keys, "left_anti")
+    return grid
 
 
 def pending(grid: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:

@@ -112,6 +112,15 @@ def test_mutual_nearest(spark):
     assert [(r.i, r.j, r.log_r) for r in matching.mutual_nearest(df, "img", "id", "s", "v").collect()] == [(0, 1, 1.0)]
 
 
+def test_exclude_by_table_uses_every_row(spark):
+    cells = spark.range(12_000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    rows = [(k, None) for k in range(11_900)] + [(11_950, 1), (11_951, 11_951 % 7), (None, 6)]
+    left = grid.exclude_by_table(cells, spark.createDataFrame(rows, "a long, b long"))
+    assert {r.a for r in left.collect()} == {k for k in range(11_900, 12_000) if k % 7 != 6 and k not in (11_951,) and not (k == 11_950 and k % 7 == 1)}
+    assert grid.exclude_by_table(cells, spark.createDataFrame([(None, None)], "a long, b long")).count() == 0
+    assert grid.exclude_by_table(cells, spark.createDataFrame([], "a long, b long")).count() == 12_000
+
+
 def test_cells_resume(spark, tmp_path):
     g = grid.expand(spark, {"method": ["a", "b"], "dataset": ["x"], "fraction": [1.0]}, [0])
 

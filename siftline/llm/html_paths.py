@@ -4,7 +4,7 @@ Every page is parsed once and its containers are scored by the text of their blo
 not link text. The best container's path, its tags and classes from the body down with digits
 generalised, is the page's vote. Votes are counted by host in Spark; the paths that hold a fair
 share of a host's votes win. Pages are then extracted again: the first winning path that has
-text in the page is taken, and a page that holds none of them falls back to its own vote.
+a fair part of the page's text is taken, and a page without one falls back to its own vote.
 
 Inside the container everything is kept but menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments. Character references are decoded, white
@@ -34,6 +34,9 @@ from siftline.plans.storage import write_back
 SALTS = 16
 #: A path wins with this share of its host's votes; at most so many win.
 MIN_SHARE, MAX_WINNERS = 0.1, 5
+#: A page without an article votes for the lowest container with this share of its text; a
+#: winning path is taken with this share of what the page's own vote holds.
+MOST, FAIR = 0.8, 0.1
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -172,14 +175,27 @@ def parse(page: str) -> list[Block]:
     return blocks
 
 
+def _worth(b: Block) -> int:
+    return max(0, len(b.text()) - 2 * b.linked)
+
+
+def _under(container: str, path: str) -> bool:
+    return container == path or container.startswith(f"{path}/")
+
+
 def vote(blocks: Iterable[Block]) -> str | None:
-    """The path of the best container, or of the article that holds it."""
+    """The article that holds the best container, or the lowest container with most of the page's kept text.
+
+    Without an article the best container may be one of several parts of the main text, so its
+    ancestors are gone through until one holds MOST of what the page has.
+    """
     score: Counter[str] = Counter()
+    held: Counter[str] = Counter()
     for b in blocks:
-        n = len(b.text())
-        worth = max(0, n - 2 * b.linked)
+        worth = _worth(b)
         score[b.container] += 2 * worth
         score[b.parent] += worth
+        held[b.container] += worth
     best = min((p for p, s in score.items() if s > 0 and p), key=lambda p: (-score[p], p), default=None)
     if best is None:
         return next((b.container for b in blocks if b.container), None)
@@ -187,15 +203,25 @@ def vote(blocks: Iterable[Block]) -> str | None:
     for k, step in enumerate(steps):
         if step.split(".")[0] == "article":
             return "/".join(steps[: k + 1])
+    total = sum(held.values())
+    for k in range(len(steps), 1, -1):
+        path = "/".join(steps[:k])
+        if sum(n for p, n in held.items() if _under(p, path)) >= MOST * total:
+            return path
     return best
 
 
 def extract(blocks: list[Block], winners: Iterable[str]) -> str:
-    """Text under the first winning path that has any, else under the page's own vote."""
-    for path in (*winners, vote(blocks)):
+    """Text under the first winning path with a fair part of what the page's own vote holds, else under that vote."""
+    own = vote(blocks)
+    worth = [(b.container, _worth(b)) for b in blocks] if own is not None else []
+    least = FAIR * sum(n for c, n in worth if _under(c, own)) if own is not None else 0
+    for path in (*winners, own):
         if path is None:
             break
-        inside = [t for b in blocks if (b.container == path or b.container.startswith(f"{path}/")) and (t := b.text())]
+        if path != own and sum(n for c, n in worth if _under(c, path)) < least:
+            continue
+        inside = [t for b in blocks if _under(b.container, path) and (t := b.text())]
         if inside:
             return "\n\n".join(inside)
     return "\n\n".join(t for b in blocks if (t := b.text()))

@@ -333,3 +333,15 @@ def test_pipeline_stages(spark):
     ids = dict(zip([d for d, _ in texts], library(BYTE, [t for _, t in texts], 0), strict=True))
     assert sum(r.length for r in rows) == sum(len(ids[d]) for d, _ in texts)
     assert all(zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in rows)
+
+
+def test_pages_without_an_article_keep_all_their_parts():
+    words = lambda w, n: " ".join(f"{w}{k}" for k in range(n))
+    page = f"<body><nav>menu</nav><main><h1>Title</h1><section class=intro><p>{words('i', 60)}</p></section><section class=details><p>{words('d', 80)}</p></section></main></body>"
+    blocks = html_paths.parse(page)
+    assert html_paths.vote(blocks).endswith("/main")
+    assert html_paths.extract(blocks, ()).split("\n\n") == ["Title", words("i", 60), words("d", 80)]
+    # A minority layout with a short block under the majority's path.
+    blocks = html_paths.parse(f"<body><div class=box><p>short note</p></div><div class=story><p>{words('s', 200)}</p></div></body>")
+    box = next(b.container for b in blocks if b.text() == "short note")
+    assert html_paths.extract(blocks, [box]) == words("s", 200)

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.tables import own_columns
 from siftline.llm.tokens import batches
 from siftline.plans.storage import write_back
 
@@ -79,12 +80,13 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float]:
     """Log ratios by bucket, and the target's share among the labelled rows used."""
-    used = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id"), (F.col(label_col) == 1).alias("good"))
-    used = write_back(used.orderBy(F.xxhash64("l_id"), "l_id").limit(max_labels), "labels-used")
+    used = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__l_id"), (F.col(label_col) == 1).alias("good"))
+    used = write_back(used.orderBy(F.xxhash64("__l_id"), "__l_id").limit(max_labels), "labels-used")
     n, n_good = used.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0))).first()
-    good = used.where("good").select("l_id").distinct()
+    good = used.where("good").select("__l_id").distinct()
     # At most max_labels rows are broadcast.
-    marked = docs.join(F.broadcast(good), docs[id_col] == F.col("l_id"), "left").select(F.col(text_col).alias("text"), F.col("l_id").isNotNull().alias("target"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    marked = rows.join(F.broadcast(good), F.col("__id") == F.col("__l_id"), "left").select("text", F.col("__l_id").isNotNull().alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in count_grams(marked).collect():  # one row a bucket
         raw[r.bucket], target[r.bucket] = r.raw, r.target
@@ -173,4 +175,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     scored, share = score(docs, labels, id_col, text_col, seed, max_labels)
     keys = write_back(scored.select("__key", "__tie"), "importance-keys")
     kept = top_k(keys, "__key", "__tie", round(share * keys.count()) if k is None else k)
-    return scored.where(kept).select(*docs.columns)
+    return scored.where(kept).select(*own_columns(docs))

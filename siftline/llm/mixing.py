@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.functions.tables import own_columns
 from siftline.plans.storage import write_back
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -133,7 +134,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = write_back(targets(sizes, weights, share, cap), "mix-targets")
     plan = (
-        by_length.join(F.broadcast(goals), by_length["source"].eqNullSafe(goals["source"])).drop(goals["source"])
+        by_length.join(goals, by_length["source"].eqNullSafe(goals["source"])).drop(goals["source"])
         .groupBy("source").applyInPandas(_plan_source, "source string, size long, passes long, extra long")
     )
     before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -149,7 +150,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .join(quotas, F.expr("source <=> __s AND size = __z AND bucket = __b"))
         .withColumn("copies", (F.col("passes") + (F.col("rank") <= F.col("quota")).cast("long")).cast("long"))
         .drop("__s", "__z", "__b", "passes", "quota", "rank", "bucket").alias("r")
-        .join(F.broadcast(goals).alias("g"), F.expr("r.source <=> g.source"))
+        .join(goals.alias("g"), F.expr("r.source <=> g.source"))
         .select("doc_id", "size", "r.source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "order_hash")
     )
 
@@ -166,4 +167,4 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     alone = rows.where("__n = 1").withColumn("__k", F.lit(1))
     several = rows.where("__n > 1").withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__n")))
     copies = F.expr("cast(__c div __n + if(__k <= __c % __n, 1, 0) as int)")
-    return alone.unionByName(several).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    return alone.unionByName(several).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*own_columns(docs))

@@ -4,8 +4,9 @@ Windows are kept by fill level in an array: ``count[h]`` is the number of open w
 hold h tokens. A piece of s tokens goes into the level whose use makes the sum of the squared
 counts smallest, an empty window being level 0; closed windows do not count. Documents longer
 than a window fill whole windows first, so only their last piece is placed. When a
-partition ends, the pieces of its open windows are laid end to end and cut at window ends
-(documents may be cut freely), which leaves one part-filled window a partition.
+partition ends, the same rule goes on with cuts (documents may be cut freely): the emptiest
+open window is dissolved and each of its pieces is placed again, its first tokens closing a
+window of the level whose count falls most, until one part-filled window is left.
 
 Each partition packs by itself; its windows get global numbers by the counts of the
 partitions before it. No text is shuffled.
@@ -40,8 +41,8 @@ class LevelPacker:
         self.count = np.zeros(size + 1, np.int64)
         self.open: dict[int, list[list]] = {}  # level -> windows, each a list of pieces
 
-    def level_for(self, s: int) -> int:
-        """The level to put ``s`` tokens on, 0 for a new window; the fuller one on ties.
+    def level_for(self, s: int, fresh: bool = True) -> int:
+        """The level to put ``s`` tokens on, 0 for a new window; the fuller one on ties. Without ``fresh`` a new one is the last resort.
 
         Moving a window from h to h+s changes the sum of squares by
         2 (count[h+s] - count[h]) + 2, without the terms of level 0 and of full windows.
@@ -53,15 +54,18 @@ class LevelPacker:
             change[-1] = 1 - 2 * here[-1]  # fills the window
         change = np.where(here > 0, change, np.iinfo(np.int64).max)
         new = 2 * self.count[s] + 1 if s < self.size else 0
-        if top and (best := top - int(np.argmin(change[::-1]))) and change[best - 1] <= new:
+        if top and (best := top - int(np.argmin(change[::-1]))) and here[best - 1] and (change[best - 1] <= new or not fresh):
             return best
         return 0
 
     def place(self, s: int, piece) -> list | None:
         """Put a piece away; returns the window's pieces if that filled it."""
-        h = self.level_for(s)
+        return self.put(s, piece, self.level_for(s))
+
+    def put(self, s: int, piece, h: int) -> list | None:
+        """Put a piece on level ``h``; returns the window's (size, piece) list if that filled it."""
         window = self.open[h].pop() if h else []
-        window.append(piece)
+        window.append((s, piece))
         if h:
             self.count[h] -= 1
         if h + s == self.size:
@@ -70,19 +74,44 @@ class LevelPacker:
         self.open.setdefault(h + s, []).append(window)
         return None
 
-    def rest(self) -> list[list]:
-        """The windows still open, fullest first."""
-        return [w for h in sorted(self.open, reverse=True) for w in self.open[h]]
+    def settle(self, cut) -> Iterator[list]:
+        """Closes all open windows but one, which comes last; ``cut(piece, n)`` gives a piece's first n tokens and the rest."""
+        while (left := int(self.count.sum())) > 1:
+            low = int(np.flatnonzero(self.count)[0])
+            self.count[low] -= 1
+            for s, piece in self.open[low].pop():
+                # Closing a window of a level with c windows lowers the sum of squares by 2 c - 1.
+                while (gaps := self.count[max(1, self.size - s) : self.size]).any():
+                    h = self.size - 1 - int(np.argmax(gaps[::-1]))
+                    gap = self.size - h
+                    first, piece = cut(piece, gap) if gap < s else (piece, None)
+                    yield self.put(gap, first, h)
+                    s -= gap
+                    if not s:
+                        break
+                if s and (full := self.put(s, piece, self.level_for(s, fresh=False))):
+                    yield full
+            assert self.count.sum() < left
+        yield from (w for windows in self.open.values() for w in windows)
 
 
 def pack_stream(docs: Iterator[tuple[int, np.ndarray]], size: int) -> Iterator[tuple]:
     """(doc_id, ids) -> (doc_id, start, length, crc32, doc_tokens, window, offset), windows from 0."""
     packer, window = LevelPacker(size), 0
 
-    def told(piece, offset, at=0, end=None):
+    def told(piece, offset):
+        doc_id, start, ids, total = piece
+        return doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, window, offset
+
+    def told_all(pieces):
+        offset = 0
+        for s, piece in pieces:
+            yield told(piece, offset)
+            offset += s
+
+    def cut(piece, n):
         doc_id, start, ids, total = piece
-        part = ids[at:end]
-        return doc_id, start + at, len(part), zlib.crc32(part.astype("<u4").tobytes()), total, window, offset
+        return (doc_id, start, ids[:n], total), (doc_id, start + n, ids[n:], total)
 
     for doc_id, ids in docs:
         whole = len(ids) // size * size
@@ -90,21 +119,11 @@ def pack_stream(docs: Iterator[tuple[int, np.ndarray]], size: int) -> Iterator[t
             yield told((doc_id, start, ids[start : start + size], len(ids)), 0)
             window += 1
         if len(ids) > whole and (full := packer.place(len(ids) - whole, (doc_id, whole, ids[whole:].copy(), len(ids)))):
-            offset = 0
-            for piece in full:
-                yield told(piece, offset)
-                offset += len(piece[2])
+            yield from told_all(full)
             window += 1
-    offset = 0
-    for piece in (p for w in packer.rest() for p in w):
-        at = 0
-        while at < len(piece[2]):
-            end = min(len(piece[2]), at + size - offset)
-            yield told(piece, offset, at, end)
-            offset += end - at
-            at = end
-            if offset == size:
-                window, offset = window + 1, 0
+    for pieces in packer.settle(cut):
+        yield from told_all(pieces)
+        window += 1
 
 
 def pack(docs: DataFrame, tokenizer: str, blank: str, end_id: int = 0, size: int = 1024, id_col: str = "doc_id", text_col: str = "text", max_chunks: int | None = None) -> DataFrame:
@@ -133,8 +152,8 @@ def pack(docs: DataFrame, tokenizer: str, blank: str, end_id: int = 0, size: int
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(zip(*rows, strict=True), FIELDS, strict=True)], [n for n, _, _ in FIELDS])
 
     pieces = write_back(docs.select(id_col, text_col).mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in FIELDS)), "pack")
-    # One row a partition, so the window and the broadcast are as small as the list of tasks.
+    # One row a partition, so the window is as small as the list of tasks.
     sizes = pieces.groupBy("part").agg((F.max("window") + 1).alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return pieces.join(F.broadcast(bases), "part").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("window")).alias("sequence_id"), "offset")
+    bases = write_back(sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "pack-bases")
+    return pieces.join(bases, "part").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("window")).alias("sequence_id"), "offset")

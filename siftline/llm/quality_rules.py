@@ -108,7 +108,8 @@ def _distance(p: Column, q: Column) -> Column:
         return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
 
     both = F.zip_with(normal(p), normal(q), lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda s, x: s + x)))
+    squared = F.aggregate(both, F.lit(0.0), lambda s, x: s + x)  # null without a reference
+    return F.sqrt(F.when(squared > 0, squared).otherwise(squared * 0))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

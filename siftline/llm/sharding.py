@@ -8,7 +8,8 @@ of the tree keeps its rows. A shard that is added as a region of its own therefo
 rows only into itself.
 
 Nulls and odd rows: a null text counts as empty, a null key hashes as the string
-``null``; repeated keys land in one shard and get slots of their own; an empty table
+``null``; repeated keys land in one shard and get slots of their own, by checksum and size
+of their texts, then in any order, as rows equal in all three are exchangeable; an empty table
 gives an empty result. Other columns are not touched, whatever their names.
 """
 
@@ -86,13 +87,14 @@ def shard_of(key: Column, topology: Topology) -> Column:
     return descend(()).cast("int")
 
 
-def add_slots(df: DataFrame, shard: str, order: list[str], bucket_by: str, buckets: int = SLOT_BUCKETS) -> DataFrame:
+def add_slots(df: DataFrame, shard: str, order: list[str], bucket_by: list[str], buckets: int = SLOT_BUCKETS) -> DataFrame:
     """Gapless slots from 0 in each shard, without sorting a shard in one task.
 
     Rows are numbered inside (shard, hash bucket) and shifted by the counts of the
     earlier buckets. The shifts, at most ``buckets`` times shards rows, are broadcast.
+    ``bucket_by`` should tell rows of one key apart, so that a hot key fills many buckets.
     """
-    rows = df.withColumn("__bucket", F.pmod(F.xxhash64(bucket_by), F.lit(buckets)))
+    rows = df.withColumn("__bucket", F.pmod(F.xxhash64(*bucket_by), F.lit(buckets)))
     counts = rows.groupBy(shard, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(F.col(shard).alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
@@ -117,4 +119,4 @@ def assign(docs: DataFrame, topology: Topology, id_col: str = "doc_id", text_col
         shard_of(key, topology).alias("shard"),
         shard_of(key, topology.with_shard()).alias("grown_shard"),
     )
-    return add_slots(rows, "shard", ["doc_id", "text_crc32", "size"], "doc_id").select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return add_slots(rows, "shard", ["doc_id", "text_crc32", "size"], ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -3,14 +3,15 @@
 Fingerprints. Words of the text in lower case (A-Z) form shingles, repeats included; each bit
 of the fingerprint is 1 if it is set in over half of the shingles' XXH64 hashes.
 
-Comparison. Distinct fingerprints that differ in at most ``radius`` bits agree in at least
-``blocks - radius`` of any ``blocks`` parts of their 64 bits, so each is put under every choice of
-that many parts, and only fingerprints under the same key are compared: with numpy
-exclusive-or and bit counts, tile against tile, in the order of their population counts;
-tiles whose population counts differ by more than the radius are skipped. This loses no link.
-The number of parts follows the number of fingerprints, so that keys hold few of them at any
-size. A key with more than ``SPLIT`` fingerprints is dealt into several sets, and each pair of
-sets is a group of its own.
+Comparison. Distinct fingerprints are compared with numpy exclusive-or and bit counts, tile
+against tile, in the order of their population counts; tiles whose population counts differ
+by more than the radius are skipped. Up to ``FILL`` fingerprints are one such group. More are
+partitioned first: fingerprints that differ in at most ``radius`` bits agree in at least
+``blocks - radius`` of any ``blocks`` parts of their bits, so each is put under every choice of
+that many parts, and tiles are made of the fingerprints under one key. This loses no link.
+The number and width of the parts follow the number of fingerprints, so that a key holds
+about ``FILL`` of them at any size. A key with more than ``SPLIT`` fingerprints is dealt into
+several sets, and each pair of sets is a group of its own.
 
 Links inside a group are reduced to a spanning forest on the spot, so a group of n
 fingerprints sends fewer than n rows. Components are then joined by alternating large-star
@@ -32,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.tables import own_columns
 from siftline.llm.tokens import batches
 from siftline.plans.storage import write_back
 
 #: Side of a tile; fingerprints from which a key is dealt into several sets.
-TILE, SPLIT = 1024, 65_536
-#: Fingerprints a key should hold on average, for choosing the number of parts.
+TILE, SPLIT = 256, 65_536
+#: Fingerprints a key should hold on average, for choosing the number and width of the parts.
 FILL = 2048
 
 
@@ -81,26 +83,37 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def schemes(n: int, radius: int, bits: int = 64) -> list[int]:
-    """Masks of key bits for about n fingerprints: the fewest parts whose keys hold FILL at most on average."""
+    """Masks of key bits for about n fingerprints: the fewest and narrowest parts whose keys hold FILL at most on average."""
+    need = max(0, (max(n, 1) - 1) // FILL).bit_length()
+    if not need:
+        return [0]
     for blocks in range(radius + 1, radius + 4):
-        edges = [bits * k // blocks for k in range(blocks + 1)]
-        parts = [((1 << edges[k + 1]) - 1) & ~((1 << edges[k]) - 1) for k in range(blocks)]
-        masks = [sum(c) for c in combinations(parts, blocks - radius)]
-        if n / 2 ** min(m.bit_count() for m in masks) <= FILL:
+        together = blocks - radius
+        width = min(-(-need // together), bits // blocks)  # used bits of a part
+        if width * together >= need:
             break
+    edges = [bits * k // blocks for k in range(blocks)]
+    masks = [sum(((1 << width) - 1) << e for e in c) for c in combinations(edges, together)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def tile_links(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, column, matches) of tiles with a link; both sides stand in order of population count."""
+def tile_links(left: np.ndarray, right: np.ndarray, radius: int, same: bool, seen: list[int] | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, column, matches) of tiles with a link; both sides stand in order of population count.
+
+    ``seen`` counts the tile pairs compared and those skipped by population count.
+    """
     lp, rp = np.bitwise_count(left).astype(np.int64), np.bitwise_count(right).astype(np.int64)
+    starts = np.arange(0, len(right), TILE)
+    low, high = rp[starts], rp[np.minimum(starts + TILE, len(right)) - 1]
     for a in range(0, len(left), TILE):
         x = left[a : a + TILE, None]
-        for b in range(a if same else 0, len(right), TILE):
-            if rp[b] - lp[min(a + TILE, len(left)) - 1] > radius:
-                break
-            if lp[a] - rp[min(b + TILE, len(right)) - 1] > radius:
-                continue
+        near = (low - lp[min(a + TILE, len(left)) - 1] <= radius) & (lp[a] - high <= radius)
+        if same:
+            near &= starts >= a
+        if seen is not None:
+            seen[0] += int(near.sum())
+            seen[1] += int((starts >= a).sum() if same else len(starts)) - int(near.sum())
+        for b in starts[near].tolist():
             hit = np.bitwise_count(x ^ right[None, b : b + TILE]) <= radius
             if same and a == b:
                 np.fill_diagonal(hit, False)
@@ -136,14 +149,14 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def forest_of(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def forest_of(left: np.ndarray, right: np.ndarray | None, radius: int, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges (from, to) of a spanning forest of the links in one group; ``right`` is None for a set with itself."""
     same = right is None
     left = left[np.argsort(np.bitwise_count(left), kind="stable")]
     right = left if same else right[np.argsort(np.bitwise_count(right), kind="stable")]
     every = left if same else np.concatenate([left, right])
     forest, shift = Forest(len(every)), 0 if same else len(left)
-    for a, b, hit in tile_links(left, right, radius, same):
+    for a, b, hit in tile_links(left, right, radius, same, seen):
         rows, cols = np.arange(a, a + hit.shape[0]), np.arange(b, b + hit.shape[1]) + shift
         if np.count_nonzero(hit) <= 2 * sum(hit.shape):
             i, j = np.nonzero(hit)
@@ -257,4 +270,4 @@ def keep_first(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_c
         return kept
     own = again.where("row_hash = h").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
     key = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h"))
-    return kept.join(own, key, "left_anti").unionByName(kept.join(own, key).dropDuplicates(["__id", "__h"]).select(*docs.columns))
+    return kept.join(own, key, "left_anti").unionByName(kept.join(own, key).dropDuplicates(["__id", "__h"]).select(*own_columns(docs)))

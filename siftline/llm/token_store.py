@@ -6,8 +6,9 @@ format, a skippable frame with the compressed size, size and checksum (low 32 bi
 XXH64) of each frame. Any zstandard reader can read the file; a reader that wants some
 documents reads the table, then only the frames that hold them, and checks each.
 
-Files are in ascending order of doc_id: rows are range-partitioned, each task sorts its range
-and writes one file under a name of its own try, and the listing that Spark commits names the
+Files are in ascending order of doc_id, rows of one id by a hash of their text: rows are
+range-partitioned by both, so an id that very many rows share is dealt over several files. Each
+task sorts its range and writes one file under a name of its own try, and the listing that Spark commits names the
 files of the tries that succeeded. A lost executor's files are written again elsewhere.
 
 Nulls and odd rows: a null text is its end token alone; null ids come first; equal ids are
@@ -114,6 +115,12 @@ class Reader:
             raise ValueError(f"frame {k} is damaged")
         return data
 
+    def rows_of(self, doc_ids: Iterable[int | None]) -> list[int]:
+        """Rows of the document table with the given ids, ascending; the table stands in order of ids."""
+        wanted = np.unique(np.array([NO_ID if d is None else d for d in doc_ids], np.int64))
+        ids = np.ascontiguousarray(self.docs[:, 0])
+        return [k for a, b in zip(np.searchsorted(ids, wanted), np.searchsorted(ids, wanted, "right"), strict=True) for k in range(a, b)]
+
     def read(self, rows: Iterable[int]) -> Iterator[tuple[int, int, np.ndarray]]:
         """(doc_id, first id, ids) of the given rows of the document table; each frame is read once if rows ascend."""
         held, ids = -1, None
@@ -126,18 +133,18 @@ class Reader:
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, blank: str, end_id: int = 1, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the token files; returns the listing: path, first_doc, n_docs, n_ids, one row a file."""
+    """Write the token files; returns the listing: path, first_doc, first_hash, n_docs, n_ids, one row a file."""
 
     def run(stream):
         enc, out, w, first, path = encoder(tokenizer, blank), None, None, None, ""
         for batch in stream:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
             for a, b in batches(texts):
                 ids, lens = enc.encode(texts[a:b])
                 at = np.cumsum(lens) - lens
                 for k in range(b - a):
                     if w is None:
-                        path, first = f"{folder}/{uuid.uuid4().hex}.tok.zst", keys[a + k]
+                        path, first = f"{folder}/{uuid.uuid4().hex}.tok.zst", (keys[a + k], batch.column(1)[a + k].as_py())
                         store, inner = open_fs(path)
                         store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                         out = store.open_output_stream(inner, compression=None)
@@ -146,11 +153,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, blank: str, end_id: int
         if w is not None:
             w.close()
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "first_doc": pa.array([first], pa.int64()), "n_docs": pa.array([len(w.docs)], pa.int64()), "n_ids": pa.array([w.total], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "first_doc": pa.array(first[:1], pa.int64()), "first_hash": pa.array(first[1:], pa.int64()), "n_docs": pa.array([len(w.docs)], pa.int64()), "n_ids": pa.array([w.total], pa.int64())})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"))
-    rows = rows.repartitionByRange("k").sortWithinPartitions("k", F.xxhash64("t"))
-    return write_back(rows.mapInArrow(run, "path string, first_doc long, n_docs long, n_ids long"), "token-files")
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    rows = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h")
+    return write_back(rows.mapInArrow(run, "path string, first_doc long, first_hash long, n_docs long, n_ids long"), "token-files")
 
 
 def read_back(spark: SparkSession, listing: DataFrame, width: int = 2) -> DataFrame:
@@ -159,7 +166,7 @@ def read_back(spark: SparkSession, listing: DataFrame, width: int = 2) -> DataFr
     The listing has a row for each file, as many as there were tasks; the driver adds up
     their sizes and deals the files out one to a task.
     """
-    files = sorted(listing.collect(), key=lambda r: (r.first_doc is not None, r.first_doc or 0, r.n_ids))
+    files = sorted(listing.collect(), key=lambda r: (r.first_doc is not None, r.first_doc or 0, r.first_hash))
     bases, base = [], 0
     for f in files:
         bases.append((f.path, base))

@@ -3,13 +3,15 @@
 Byte-pair encoding never merges across pre-token borders, so a text is cut at blanks where
 such a border is certain, each distinct chunk goes through the library once per worker, and
 the ids of a text are those of its chunks in order. Chunks that would make the cut uncertain
-(white space follows the blank) send the whole text through the library instead.
+(white space follows the blank) send the whole text through the library instead, as do the
+tokenizer's own added strings, which the library finds anywhere in a text.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 import unicodedata
 from itertools import chain
 
@@ -48,7 +50,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
+        self.lead = re.match(r"[\W\d]*", os.path.commonprefix(added))[0]  # of all added strings, in any case of letters
         self.tok.model._resize_cache(0)  # chunks are kept here
         if blank == "drops":  # the same model for words that need neither normalising nor splitting
             self.plain = Tokenizer.from_file(path)
@@ -176,7 +180,9 @@ class ChunkEncoder:
         found: list[list] = []
         heads, whole = [], []
         for k, text in enumerate(texts):
-            if self.blank == "unknown":
+            if self.blank == "unknown" or self.lead in text and self.added.search(text):
+                if leads:
+                    heads.append("")
                 found.append([])
                 whole.append(k)
                 continue

@@ -96,13 +96,15 @@ def classify(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     """page_id, url, html, refers_to: the response's page_id for revisits, else null.
 
     Only groups of two or more are joined, a row for each salt; pages of a hot payload are
-    spread over the salts.
+    spread over the salts. The groups are written first, so that Spark knows their size: small
+    ones are broadcast and no html is moved.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.pmod(F.xxhash64(id_col, url_col), F.lit(SALTS)).alias("salt"))
     groups = pages.select(F.col(id_col).alias("page_id"), html.alias("html")).where(F.octet_length("html") >= min_payload)
     groups = groups.groupBy(F.sha1(F.col("html").cast("binary")).alias("g_sha")).agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = groups.select("g_sha", "newest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("g_salt"))
+    groups = write_back(groups.select(F.unhex("g_sha").alias("g_sha"), "newest"), "warc-groups")
+    groups = groups.select(F.lower(F.hex("g_sha")).alias("g_sha"), "newest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("g_salt"))
     joined = rows.join(groups, (F.col("sha") == F.col("g_sha")) & (F.col("salt") == F.col("g_salt")), "left")
     return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")).alias("refers_to"))
 

@@ -1,6 +1,7 @@
 """HTML, packing, token files, WARC, JPEG and the pipeline: brute force, round trips, odd rows."""
 
 import base64
+import functools
 import gzip
 import hashlib
 import io
@@ -23,9 +24,13 @@ from tests.llm.edge import DOCS, PAGES, documents, pages
 BYTE, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.cache
+def tokenizer(path):
+    return Tokenizer.from_file(path)
+
+
 def library(path, texts, end):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t = tokenizer(path)
     return [np.array([*x.ids, end], np.uint32) for x in t.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -38,10 +43,18 @@ def sf_texts(spark):
 def test_chunk_encoder_is_the_library(texts):
     for path, blank in ((BYTE, "leads"), (WORDS, "drops"), (WORDS, "unknown")):
         ids, lens = tokens.encoder(path, blank).encode(texts)
-        want = [t.ids for t in tokens.encoder(path, blank).tok.encode_batch(texts, add_special_tokens=False)]
+        want = [x.tolist()[:-1] for x in library(path, texts, 0)]
         assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])][: len(texts)] == want
 
 
+def test_added_strings_are_the_library_s():
+    texts = ["a<|endoftext|>b", "say <|ENDOFTEXT|> so", "<|startoftext|> the end <|endoftext|>", "no <| |> end", "<|endoftext|>", "plain words here, and more.", "x <|endoftext|>\ny z"]
+    for path, blank in ((BYTE, "leads"), (WORDS, "drops"), (WORDS, "unknown")):
+        ids, lens = tokens.encoder(path, blank).encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == [x.tolist()[:-1] for x in library(path, texts, 0)]
+        assert max(ids) >= Tokenizer.from_file(path).token_to_id("<|endoftext|>")
+
+
 def test_chunk_encoder_makes_room(monkeypatch):
     monkeypatch.setattr(tokens, "MAX_CHUNKS", 20)
     e = tokens.ChunkEncoder(WORDS, "drops")
@@ -129,6 +142,35 @@ def test_level_choice_minimises_squares():
         p.place(int(s), None)
 
 
+@pytest.mark.parametrize("parts", [1, 8, 32])
+def test_level_array_closes_the_windows(parts):
+    """However few pieces a partition has, all windows but its last are closed through the level array."""
+    rng = np.random.default_rng(parts)
+    sizes = np.minimum(rng.lognormal(5.5, 1, 4000).astype(int) + 1, 5000)
+    closed, last = 0, 0
+    for own in np.array_split(sizes, parts):
+        docs = {k: np.arange(n, dtype=np.uint32) for k, n in enumerate(own.tolist())}
+        rows = list(packing.pack_stream(iter(docs.items()), 1024))
+        held = {}
+        for r in rows:
+            assert held.get(r[5], 0) == r[6]
+            held[r[5]] = held.get(r[5], 0) + r[2]
+        assert sum(held.values()) == own.sum() and sorted(held) == list(range(len(held)))
+        assert all(n == 1024 for w, n in held.items() if w < len(held) - 1)
+        closed, last = closed + len(held) - 1, last + 1
+        # The finish cuts few pieces more than it has windows to close.
+        assert len(rows) <= sum(-(-int(n) // 1024) for n in own) + len(held)
+    assert closed / (closed + last) > 0.8
+
+
+def test_settling_closes_the_level_that_falls_most():
+    p = packing.LevelPacker(10)
+    for s, h in ((7, 0), (7, 0), (7, 0), (8, 0), (9, 0), (4, 0)):
+        p.put(s, s, h)
+    first = next(p.settle(lambda piece, n: (n, piece - n)))
+    assert [s for s, _ in first] == [7, 3]  # the 4 is cut: three windows stand on 7
+
+
 def test_packing_on_odd_rows(spark):
     rows = [r for r in DOCS if r[0] not in (6, None)]
     out = packing.pack(documents(spark, rows), BYTE, "leads").collect()

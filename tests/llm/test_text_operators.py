@@ -136,9 +136,44 @@ def test_split_keys_lose_no_link(spark, monkeypatch):
     assert {k: got.get(k, k) for k in values} == want
 
 
+def test_tiles_are_skipped_by_population_count(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fps = np.array([r.fp for r in simhash.with_fingerprints(docs).select("fp").distinct().collect()], np.int64)
+    masks, seen, links = simhash.schemes(len(fps), 4), [0, 0], set()
+    assert len(masks) == 5
+    for m in masks:
+        key = fps & np.int64(m)
+        for k in np.unique(key):
+            own = fps[key == k]
+            assert len(own) < 3 * simhash.FILL
+            u, v = simhash.forest_of(own.view(np.uint64), None, 4, seen)
+            links |= set(zip(u.tolist(), v.tolist(), strict=True))
+    assert seen[1] > 0.1 * sum(seen)
+    # The same components as without keys or tiles to skip.
+    every = np.sort(fps.view(np.uint64))
+    up = {int(x): int(x) for x in every}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    brute = dict(up)
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        up[b] = a
+    got = {k: root(k) for k in up}
+    up = brute
+    for k in range(len(every) - 1):
+        for b in every[k + 1 :][np.bitwise_count(every[k + 1 :] ^ every[k]) <= 4].tolist():
+            a, b = sorted((root(int(every[k])), root(b)))
+            up[b] = a
+    assert got == {k: root(k) for k in up}
+
+
 def test_schemes_cover_every_pair():
     rng = np.random.default_rng(1)
-    for n in (10, 10**8, 10**12):
+    for n in (10, 2049, 9300, 10**6, 10**8, 10**12):
         masks = [m & (2**64 - 1) for m in simhash.schemes(n, 4)]
         for _ in range(200):
             x = sum({1 << int(b) for b in rng.integers(0, 64, 4)})

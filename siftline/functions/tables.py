@@ -1,10 +1,21 @@
-"""Reading the driver's tables."""
+"""Reading the driver's tables, and naming columns of any name."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder, through Spark's reader only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, for selecting them after a join."""
+    return [named(c) for c in df.columns]

@@ -1,8 +1,10 @@
 """Intermediate tables in the folder that all executors share.
 
 Lineage is cut by writing Parquet and reading it back. The folder is the one the
-cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a
-notebook) a folder of our own is made, once per session.
+cluster names in ``spark.checkpoint.dir`` (or was given to ``setCheckpointDir``); only where
+neither is set and Spark runs in one process (tests, a notebook) a folder of our own is made,
+once per session. On a cluster without the setting it is an error: executors can't see a
+folder that another machine made.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ _OWN: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of a folder that the driver and every executor can read and write."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="siftline-")
@@ -40,3 +44,14 @@ def write_back(df: DataFrame, tag: str) -> DataFrame:
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``write_back`` that no later step reads; tables of any other folder stay."""
+    for t in tables:
+        spark = t.sparkSession
+        own = f"{shared_dir(spark)}/siftline/".replace("file://", "file:").replace("file:///", "file:/")
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if folder.replace("file://", "file:").startswith(own):
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

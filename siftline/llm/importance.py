@@ -113,12 +113,13 @@ def with_weights(docs: DataFrame, ratio: np.ndarray, text_col: str = "text") ->
                 n.append(np.bincount(owner, minlength=b - a))
                 w.append(np.bincount(owner, weights=shared.value[bucket], minlength=b - a))
             n, w = (np.concatenate(x) if x else np.zeros(0) for x in (n, w))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), pa.array(np.rint(w * SCALE).astype(np.int64))], [*batch.schema.names, "__grams", "__weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n.astype(np.int64)), pa.array(np.rint(w * SCALE).astype(np.int64))], [f.name for f in schema])
 
     from pyspark.sql.types import LongType, StructField, StructType
 
-    schema = StructType([*docs.schema.fields, StructField("__grams", LongType()), StructField("__weight", LongType())])
-    return docs.mapInArrow(run, schema)
+    # Columns go by their places on the way, since their names may hold dots.
+    schema = StructType([*(StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema)), StructField("grams", LongType()), StructField("weight", LongType())])
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).mapInArrow(run, schema).toDF(*docs.columns, "__grams", "__weight")
 
 
 def gumbel(seed: int, *cols: str):

@@ -1,25 +1,31 @@
 """Quality rules by distribution divergence (native DataFrame code).
 
-Two histograms are taken of every document: its characters by class, and its words over a
-list of common words of its language. Each is compared with the language's reference, the
-mean histogram of that language's documents that are long enough and pass the base rules,
-by the Jensen-Shannon distance (base 2, so 0 to 1). A document is dropped if a distance is
-above its limit; documents under the minimum lengths are not judged by it, since a
-histogram of a few words says nothing.
+Two histograms are taken of every document: its characters by class, and its words over the
+common words of its language, which are learned from the documents: those that stand most
+often between blanks in all of the language's texts. Each is compared with the language's reference by the
+Jensen-Shannon distance (base 2, so 0 to 1). A document is dropped if a distance is above its
+limit; documents under the minimum lengths are not judged by it, since a histogram of a few
+words says nothing.
+
+References: first the mean histogram of a language's documents that are long enough and pass
+the base rules, then the mean of those near the first (by wider limits), so that junk
+doesn't shape what it is measured by.
 
 Base rules: at least 20 words, and at most 30 % of the words in 8-word windows that occur
 twice or more in the text.
 
-Nulls and odd rows: a null text has no words and fails the base rules; a null or unknown
-language is compared with the mean over all languages, by characters only; each row is
-judged by itself, so repeated rows get equal verdicts; an empty table gives an empty result.
+Nulls and odd rows: a null text has no words and fails the base rules; a language is its
+code's first part in lower case (``de-DE`` is ``de``); a null or odd one, or one without a
+reference, is compared with the mean over all languages, by characters only, and has a null word
+distance; each row is judged by itself, so repeated rows get equal verdicts; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.plans.storage import write_back
@@ -32,18 +38,14 @@ MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 #: Guards: below these a histogram is not judged.
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 200, 60
-#: Limits of the Jensen-Shannon distances.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.34
+#: Limits of the Jensen-Shannon distances, and those within which documents shape the reference.
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.18, 0.30
+SHAPING_CHAR_DISTANCE, SHAPING_WORD_DISTANCE = 0.27, 0.34
+#: Common words of a language, and letters of the longest one.
+N_COMMON, MAX_LETTERS = 24, 6
 #: Shares are summed as integers, so that a reference doesn't depend on the order of rows.
 SCALE = 1_000_000_000
 
-# Common words of four languages.
-COMMON = {
-    "de": "der die und in den von zu das mit sich des auf für ist im dem".split(),
-    "en": "the of and to in is that for it with as was be by on are".split(),
-    "es": "de la que el en y los se del las un por con no una su".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans par".split(),
-}
 # Character classes by Java pattern, taken out in this order.
 CLASSES = (r"\p{Ll}+", " +", r"\n+", r"\p{Lu}+", r"\p{Nd}+", r"[.,;:'\"()\-]+", "[!?]+", r"[#*$%&|<>]+")
 
@@ -52,16 +54,40 @@ def _without(text: Column, chars: str) -> Column:
     return reduce(lambda c, x: F.replace(c, F.lit(x), F.lit("")), chars, text)
 
 
+def language(lang: Column) -> Column:
+    """The first part of a language code in lower case; null if it isn't two or three letters."""
+    code = F.lower(F.regexp_extract(lang.cast("string"), r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", 1))
+    return F.when(code != "", code)
+
+
+def _blanked(text: Column) -> Column:
+    """The text with each line end and blank doubled, so that neighbours don't share one."""
+    return F.concat(F.lit(" "), F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit(" "), F.lit("  ")), F.lit(" "))
+
+
+def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """ref, list: the N_COMMON most frequent words of each language over all its texts, in that order.
+
+    There are at most as many languages as codes of three letters.
+    """
+    words = docs.select(language(F.col(lang_col)).alias("ref"), F.explode(F.split(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = words.where(F.col("ref").isNotNull() & F.length("w").between(1, MAX_LETTERS)).groupBy("ref", "w").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("ref").orderBy(F.desc("n"), "w"))
+    top = counts.where(F.col("w").rlike(r"^\p{L}+$")).withColumn("place", place).where(F.col("place") <= N_COMMON)
+    return top.groupBy("ref").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "w"))), lambda x: x["w"]).alias("list"))
+
+
 def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, the base figures and both histograms of every row, each text read once."""
+    """doc_id, row_hash, ref (its language), the base figures and both histograms of every row."""
+    lists = write_back(common_words(docs, text_col, lang_col), "rules-words")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("row_hash"), text.alias("t"))
-    d = d.select("doc_id", "lang", "row_hash", "t", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"))
+    d = docs.select(F.col(id_col).alias("doc_id"), language(F.col(lang_col)).alias("ref"), F.xxhash64(text_col).alias("row_hash"), text.alias("t"))
+    d = d.select("doc_id", "ref", "row_hash", "t", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select("*", lines.alias("ls"))
     # Windows of 8 words by doubling: pairs, fours, eights; each step hashes two numbers.
     d = d.select(
-        "doc_id", "lang", "row_hash", "t", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h1"),
+        "doc_id", "ref", "row_hash", "t", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h1"),
         (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
     )
     for a, b, step in (("h1", "h2", 1), ("h2", "h4", 2), ("h4", "h8", 4)):
@@ -80,16 +106,16 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         d = d.select("*", (F.replace(F.col(left[-1]), F.lit(" "), F.lit("")) if pattern == " +" else F.regexp_replace(left[-1], pattern, "")).alias(f"t{k}"))
         left.append(f"t{k}")
     chars = F.array(*(F.char_length(a) - F.char_length(b) for a, b in zip(left, left[1:], strict=False)), F.char_length(left[-1]))
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower("t"), r"[^\p{L}]+", "  "), F.lit(" "))
+    # t0 has no small letters, but all blanks and symbols.
     d = d.select(
-        "doc_id", "lang", "row_hash", F.col("n").cast("long").alias("n_words"),
-        F.char_length(_without(F.col("t"), BLANKS)).cast("long").alias("word_chars"),
-        (F.octet_length("t") - F.octet_length(_without(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
-        "n_dup_lines", "n_repeat_words", chars.alias("chars"), F.char_length("t").alias("n_chars"), spaced.alias("spaced"),
+        "doc_id", "ref", "row_hash", F.col("n").cast("long").alias("n_words"),
+        (F.char_length("t") - F.char_length("t0") + F.char_length(_without(F.col("t0"), BLANKS))).cast("long").alias("word_chars"),
+        (F.octet_length("t0") - F.octet_length(_without(F.col("t0"), SYMBOLS))).cast("long").alias("n_symbols"),
+        "n_dup_lines", "n_repeat_words", chars.alias("chars"), F.char_length("t").alias("n_chars"), _blanked(F.col("t")).alias("spaced"),
     )
-    lists = F.create_map(*(x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    seen = F.transform(lists[F.col("lang")], lambda w: ((F.char_length("spaced") - F.char_length(F.replace(F.col("spaced"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.char_length(w) + 2)).cast("int"))
-    return d.withColumn("common", seen).drop("spaced")
+    d = d.join(F.broadcast(lists), "ref", "left")
+    seen = F.transform("list", lambda w: ((F.char_length("spaced") - F.char_length(F.replace(F.col("spaced"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.char_length(w) + 2)).cast("int"))
+    return d.withColumn("common", seen).drop("spaced", "list")
 
 
 def _shares(counts: Column, total: Column) -> Column:
@@ -112,6 +138,32 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.when(squared > 0, squared).otherwise(squared * 0))
 
 
+def references(rows: DataFrame) -> DataFrame:
+    """ref, q_char, q_word: mean histograms of each language, and by characters of all together (ref ``*``)."""
+    n_char, n_word = len(CLASSES) + 1, N_COMMON + 1
+    sums = [F.sum(F.get("p_char", F.lit(k))).alias(f"c{k}") for k in range(n_char)] + [F.sum(F.get("p_word", F.lit(k))).alias(f"w{k}") for k in range(n_word)]
+    by_lang = rows.groupBy("ref").agg(*sums)
+    refs = by_lang.where("ref is not null").unionByName(by_lang.groupBy(F.lit("*").alias("ref")).agg(*(F.sum(c).alias(c) for c in by_lang.columns[1:])))
+    q_word = F.filter(F.array(*(F.col(f"w{k}").cast("double") for k in range(n_word))), lambda x: x.isNotNull())
+    return refs.select("ref", F.array(*(F.col(f"c{k}").cast("double") for k in range(n_char))).alias("q_char"), F.when((F.col("ref") != "*") & (F.size(q_word) > 0), q_word).alias("q_word"))
+
+
+def with_distances(d: DataFrame, refs: DataFrame) -> DataFrame:
+    """``d`` with char_distance and word_distance; null below the minimum lengths and without a reference.
+
+    The broadcast has a row for each language code that has documents.
+    """
+    own, every = refs.where("ref <> '*'"), refs.where("ref = '*'").select(F.col("q_char").alias("q_all"))
+    d = d.join(F.broadcast(own), "ref", "left").join(F.broadcast(every), F.lit(True), "left")
+    char = F.when(F.col("n_chars") >= MIN_CHARS_JUDGED, _distance(F.col("p_char"), F.coalesce("q_char", "q_all")))
+    word = F.when(F.col("n_words") >= MIN_WORDS_JUDGED, _distance(F.col("p_word"), F.col("q_word")))
+    return d.withColumn("char_distance", char).withColumn("word_distance", word).drop("q_char", "q_word", "q_all")
+
+
+def _within(char: float, word: float) -> Column:
+    return (F.coalesce("char_distance", F.lit(0.0)) <= char) & (F.coalesce("word_distance", F.lit(0.0)) <= word)
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Base figures, distances and verdict of every row of ``docs``."""
     d = base_features(docs, id_col, text_col, lang_col)
@@ -122,19 +174,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     d = d.withColumn("words", words)
     d = d.withColumn("p_word", _shares(F.col("words"), F.aggregate("words", F.lit(0), lambda s, x: s + x)))
     d = write_back(d.drop("chars", "common", "words"), "rules")
-    known = F.when(F.col("lang").isin(*COMMON), F.col("lang"))
     good = d.where(~F.col("base_failed") & (F.col("n_chars") >= MIN_CHARS_JUDGED) & (F.col("n_words") >= MIN_WORDS_JUDGED))
-    n_char, n_word = len(CLASSES) + 1, len(next(iter(COMMON.values()))) + 1
-    sums = [F.sum(F.get("p_char", F.lit(k))).alias(f"c{k}") for k in range(n_char)] + [F.sum(F.get("p_word", F.lit(k))).alias(f"w{k}") for k in range(n_word)]
-    by_lang = good.groupBy(known.alias("ref")).agg(*sums)
-    # At most one row for each listed language and one for all of them together.
-    refs = by_lang.where("ref is not null").unionByName(by_lang.groupBy(F.lit("*").alias("ref")).agg(*(F.sum(c).alias(c) for c in by_lang.columns[1:])))
-    refs = refs.select("ref", F.array(*(F.col(f"c{k}").cast("double") for k in range(n_char))).alias("q_char"), F.when(F.col("ref") != "*", F.array(*(F.col(f"w{k}").cast("double") for k in range(n_word)))).alias("q_word"))
-    d = d.withColumn("ref", F.coalesce(known, F.lit("*"))).join(F.broadcast(refs), "ref", "left")
-    d = d.withColumn("char_distance", F.when(F.col("n_chars") >= MIN_CHARS_JUDGED, _distance(F.col("p_char"), F.col("q_char"))))
-    d = d.withColumn("word_distance", F.when(F.col("n_words") >= MIN_WORDS_JUDGED, _distance(F.col("p_word"), F.col("q_word"))))
-    verdict = ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (F.coalesce("word_distance", F.lit(0.0)) <= MAX_WORD_DISTANCE)
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "char_distance", "word_distance", "row_hash")
+    first = write_back(references(good), "rules-first")
+    refs = write_back(references(with_distances(good, first).where(_within(SHAPING_CHAR_DISTANCE, SHAPING_WORD_DISTANCE))), "rules-references")
+    d = with_distances(d, refs)
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & _within(MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE)).alias("kept"), "char_distance", "word_distance", "row_hash")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -3,12 +3,15 @@
 Every page is parsed once and its containers are scored by the text of their blocks that is
 not link text. The best container's path, its tags and classes from the body down with digits
 generalised, is the page's vote. Votes are counted by host in Spark; the paths that hold a fair
-share of a host's votes win. Pages are then extracted again: the first winning path that has
-a fair part of the page's text is taken, and a page without one falls back to its own vote.
+share of a host's votes win. Pages are then extracted again: of the winning paths that have a
+fair part of the page's text, the one with the most votes times text is taken, and a page without
+one falls back to its own vote.
 
 Inside the container everything is kept but menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments. Character references are decoded, white
-space in a block becomes one space, and blocks are joined by an empty line in page order.
+adverts, forms, scripts, styles and reader comments. Tags, roles and hiding say so for certain;
+class and id words (and forms) only suspect: a suspected element with most of the page's text
+is a wrapper and is kept, unless an article stands outside it. Character references are decoded,
+white space in a block becomes one space, and blocks are joined by an empty line in page order.
 
 Nulls and odd rows: a null or empty html has an empty text; a null or odd url counts as a host
 of its own name (empty); broken markup never fails (unclosed tags end with their parents, a tag
@@ -32,11 +35,14 @@ from siftline.plans.storage import write_back
 
 #: Copies of a host's row in the join, so that a hot host's pages meet it in that many tasks.
 SALTS = 16
-#: A path wins with this share of its host's votes; at most so many win.
-MIN_SHARE, MAX_WINNERS = 0.1, 5
+#: A path wins with this share of its host's votes, so at most ten win.
+MIN_SHARE = 0.1
 #: A page without an article votes for the lowest container with this share of its text; a
 #: winning path is taken with this share of what the page's own vote holds.
 MOST, FAIR = 0.8, 0.1
+#: A suspected element with this share of the page's text is kept, or with the second one where all
+#: words of a class or id are suspicious; not if articles outside it have this part of its text.
+WRAPS, WRAPS_PURE, OUTSIDE = 0.5, 0.8, 0.15
 
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -45,13 +51,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 SPACES = frozenset("br td th option img wbr".split())
 CONTAINERS = frozenset("article body center div main section td".split())
-DROPPED = frozenset("aside button canvas datalist dialog footer form head header input menu nav noscript object select svg template".split()) | RAW
+DROPPED = frozenset("aside button canvas datalist dialog footer head header input menu nav noscript object select svg template".split()) | RAW
 ROLES = frozenset("alert banner complementary contentinfo dialog navigation search".split())
 UNWANTED = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 OF_READERS = frozenset("comment comments disqus".split())
 #: Start tags that end an open element of these names, looked for up to the second set.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("article body div dl main ol section table ul".split())
+#: Names of a state of the page or of what it has, not of what an element is.
+STATE = re.compile(r"(?:has|no|not|with|without|is|js|hide|show)[-_].*|.*[-_](?:enabled|disabled|open|opened|closed|collapsed|expanded|active|inactive|on|off|visible|hidden)", re.I)
 CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 DIGITS = re.compile(r"\d+")
 
@@ -64,6 +72,8 @@ class Node:
     parent: str  # path of the container above that
     dropped: bool
     link: bool
+    suspects: tuple[int, ...]  # suspected elements around, itself included
+    article: bool  # in an article or main element
 
 
 @dataclass
@@ -73,33 +83,56 @@ class Block:
     path: str
     container: str
     parent: str
-    texts: list[str] = field(default_factory=list)
+    pieces: list[tuple[str, Node]] = field(default_factory=list)
     linked: int = 0
 
     def text(self) -> str:
-        return " ".join(html_lib.unescape("".join(self.texts)).split())
+        return " ".join(html_lib.unescape("".join(t for t, _ in self.pieces)).split())
+
+
+@dataclass
+class Suspect:
+    """What is known of an element whose words (or tag) say that it isn't the article."""
+
+    pure: bool  # every word of a class or the id says so
+    readers: bool  # by the words of reader comments
+    landmark: bool = False  # holds a main element or a first heading
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(raw)}
 
 
-def _unwanted(tag: str, a: dict[str, str]) -> bool:
-    """Whether tag, role or class say that this is not the article; articles and the page itself go by reader words only."""
-    if tag in DROPPED or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES:
-        return tag not in ("html", "body")
-    if tag in ("html", "body", "main"):
+def _dropped(tag: str, a: dict[str, str]) -> bool:
+    """Whether tag, role or style say for certain that this is not the article."""
+    if tag in ("html", "body"):
         return False
-    words = {w.lower() for w in CAMEL.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-    if "display:none" in a.get("style", "").replace(" ", "").lower():
+    if tag in DROPPED or "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES:
         return True
-    return bool(words & (OF_READERS if tag == "article" else UNWANTED)) or words == {"header"} or {"site", "header"} <= words or {"page", "header"} <= words
+    return tag != "main" and "display:none" in a.get("style", "").replace(" ", "").lower()
+
+
+def _suspect(tag: str, a: dict[str, str]) -> Suspect | None:
+    """Whether class or id, or a form, suggest it; articles go by reader words only."""
+    if tag == "form":
+        return Suspect(False, False)
+    if tag in ("html", "body", "main"):
+        return None
+    names = [{w.lower() for w in CAMEL.findall(x)} for x in f"{a.get('class', '')} {a.get('id', '')}".split() if not STATE.fullmatch(x)]
+    words = set().union(*names) if names else set()
+    if words == {"header"} or {"site", "header"} <= words or {"page", "header"} <= words:
+        return Suspect(True, False)
+    unwanted = OF_READERS if tag == "article" else UNWANTED
+    if not words & unwanted:
+        return None
+    return Suspect(any(x and x <= unwanted for x in names), bool(words & OF_READERS))
 
 
 def parse(page: str) -> list[Block]:
     """Blocks of text of a page in order, without dropped elements."""
-    root = Node("", "", "", "", False, False)
+    root = Node("", "", "", "", False, False, (), False)
     stack, blocks, open_block = [root], [], None
+    suspects: list[Suspect] = []
     at, size = 0, len(page)
 
     def say(text: str, node: Node) -> None:
@@ -109,7 +142,7 @@ def parse(page: str) -> list[Block]:
                 return
             open_block = Block(node.path, node.container, node.parent)
             blocks.append(open_block)
-        open_block.texts.append(text)
+        open_block.pieces.append((text, node))
         if node.link:
             open_block.linked += len(text)
 
@@ -140,7 +173,7 @@ def parse(page: str) -> list[Block]:
                     break
             continue
         if tag in SPACES and not node.dropped and open_block is not None:
-            open_block.texts.append(" ")
+            open_block.pieces.append((" ", node))
         if tag in VOID:
             continue
         if tag in BLOCKS:
@@ -160,19 +193,61 @@ def parse(page: str) -> list[Block]:
         node = stack[-1]
         raw = m[3] if m[2] else m[6]
         a = _attributes(raw) if raw and raw != "/" else {}
-        dropped = node.dropped or _unwanted(tag, a)
+        dropped = node.dropped or _dropped(tag, a)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(page, at)
             at = close.start() if close else size
-            stack.append(Node(tag, node.path, node.container, node.parent, True, False))
+            stack.append(Node(tag, node.path, node.container, node.parent, True, False, (), False))
             continue
+        around = node.suspects
+        if not dropped:
+            if tag in ("main", "h1"):
+                for k in around:
+                    suspects[k].landmark = True
+            if (found := _suspect(tag, a)) is not None:
+                around = (*around, len(suspects))
+                suspects.append(found)
+        article = node.article or tag in ("article", "main")
         if tag in CONTAINERS:
             classes = ".".join(sorted({DIGITS.sub("#", c) for c in a.get("class", "").split()}))
             path = f"{node.path}/{tag}" + (f".{classes}" if classes else "")
-            stack.append(Node(tag, path, path, node.container, dropped, node.link))
+            stack.append(Node(tag, path, path, node.container, dropped, node.link, around, article))
         else:
-            stack.append(Node(tag, node.path, node.container, node.parent, dropped, node.link or tag == "a"))
-    return blocks
+            stack.append(Node(tag, node.path, node.container, node.parent, dropped, node.link or tag == "a", around, article))
+    return _without_suspects(blocks, suspects) if suspects else blocks
+
+
+def _without_suspects(blocks: list[Block], suspects: list[Suspect]) -> list[Block]:
+    """The blocks without the text of suspected elements that turn out to be no wrappers of the article."""
+    held, in_articles, total, articles = [0] * len(suspects), [0] * len(suspects), 0, 0
+    for b in blocks:
+        for text, node in b.pieces:
+            n = -len(text) if node.link else len(text)
+            total += n
+            articles += n * node.article
+            for k in node.suspects:
+                held[k] += n
+                in_articles[k] += n * node.article
+    out = set()
+    for k, s in enumerate(suspects):
+        elsewhere = articles - in_articles[k] >= OUTSIDE * max(1, held[k])
+        most = held[k] >= (WRAPS_PURE if s.pure else WRAPS) * total and held[k] > 0
+        if elsewhere or not most or s.readers and not s.landmark:
+            out.add(k)
+    if not out:
+        return blocks
+    found = _kept(blocks, out)
+    # Where nothing is left, what was suspected is all there is.
+    return found if found else _kept(blocks, {k for k in out if suspects[k].pure or suspects[k].readers}) or blocks
+
+
+def _kept(blocks: list[Block], out: set[int]) -> list[Block]:
+    found = []
+    for b in blocks:
+        pieces = [(t, n) for t, n in b.pieces if out.isdisjoint(n.suspects)]
+        if any(not t.isspace() for t, _ in pieces):
+            found.append(Block(b.path, b.container, b.parent, pieces, sum(len(t) for t, n in pieces if n.link)))
+    return found
 
 
 def _worth(b: Block) -> int:
@@ -211,16 +286,18 @@ def vote(blocks: Iterable[Block]) -> str | None:
     return best
 
 
-def extract(blocks: list[Block], winners: Iterable[str]) -> str:
-    """Text under the first winning path with a fair part of what the page's own vote holds, else under that vote."""
+def extract(blocks: list[Block], winners: Iterable[tuple[str, int]]) -> str:
+    """Text under the winning path (path, votes) with the most votes times text, or under the page's own vote.
+
+    Paths with less than a fair part of what the own vote holds are not taken.
+    """
     own = vote(blocks)
     worth = [(b.container, _worth(b)) for b in blocks] if own is not None else []
     least = FAIR * sum(n for c, n in worth if _under(c, own)) if own is not None else 0
-    for path in (*winners, own):
+    held = [(n * votes, -k, path) for k, (path, votes) in enumerate(winners) if (n := sum(x for c, x in worth if _under(c, path))) and (n >= least or path == own)]
+    for path in ([max(held)[2]] if held else []) + [own]:
         if path is None:
             break
-        if path != own and sum(n for c, n in worth if _under(c, path)) < least:
-            continue
         inside = [t for b in blocks if _under(b.container, path) and (t := b.text())]
         if inside:
             return "\n\n".join(inside)
@@ -248,11 +325,11 @@ def count_votes(pages: DataFrame) -> DataFrame:
 
 
 def winning_paths(votes: DataFrame) -> DataFrame:
-    """host, paths: the winners by falling votes. Rare paths are left out before paths are gathered."""
+    """host, paths: the winners (n, path) by falling votes. Rare paths are left out before paths are gathered."""
     totals = votes.groupBy("host").agg(F.sum("n").alias("total"))
     strong = votes.join(totals, "host").where(F.col("n") >= MIN_SHARE * F.col("total"))  # at most 1 / MIN_SHARE a host
     listed = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path")))
-    return strong.groupBy("host").agg(F.slice(F.transform(listed, lambda x: x["path"]), 1, MAX_WINNERS).alias("paths"))
+    return strong.groupBy("host").agg(F.transform(listed, lambda x: F.struct((-x["n"]).alias("n"), x["path"].alias("path"))).alias("paths"))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -266,7 +343,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def run(stream):
         for batch in stream:
             ids, urls, htmls, paths = (batch.column(k) for k in range(4))
-            texts = [extract(parse(page), won or ()) if page else "" for page, won in zip(htmls.to_pylist(), paths.to_pylist(), strict=True)]
+            texts = [extract(parse(page), [(x["path"], x["n"]) for x in won or ()]) if page else "" for page, won in zip(htmls.to_pylist(), paths.to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = dict(rows.dtypes)

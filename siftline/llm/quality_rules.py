@@ -39,10 +39,10 @@ MAX_REPEATED_PERCENT = 30
 #: Guards: below these a histogram is not judged.
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 200, 60
 #: Limits of the Jensen-Shannon distances, and those within which documents shape the reference.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.18, 0.30
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.18, 0.28
 SHAPING_CHAR_DISTANCE, SHAPING_WORD_DISTANCE = 0.27, 0.34
 #: Common words of a language, and letters of the longest one.
-N_COMMON, MAX_LETTERS = 24, 6
+N_COMMON, MAX_LETTERS = 16, 4
 #: Shares are summed as integers, so that a reference doesn't depend on the order of rows.
 SCALE = 1_000_000_000
 
@@ -60,11 +60,6 @@ def language(lang: Column) -> Column:
     return F.when(code != "", code)
 
 
-def _blanked(text: Column) -> Column:
-    """The text with each line end and blank doubled, so that neighbours don't share one."""
-    return F.concat(F.lit(" "), F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit(" "), F.lit("  ")), F.lit(" "))
-
-
 def common_words(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """ref, list: the N_COMMON most frequent words of each language over all its texts, in that order.
 
@@ -82,18 +77,19 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = write_back(common_words(docs, text_col, lang_col), "rules-words")
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), language(F.col(lang_col)).alias("ref"), F.xxhash64(text_col).alias("row_hash"), text.alias("t"))
-    d = d.select("doc_id", "ref", "row_hash", "t", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"))
+    d = d.join(F.broadcast(lists), "ref", "left")
+    d = d.select("doc_id", "ref", "row_hash", "t", "list", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select("*", lines.alias("ls"))
-    # Windows of 8 words by doubling: pairs, fours, eights; each step hashes two numbers.
+    # A word's hash is taken once; a window is the hash of its eight words' hashes.
+    codes = F.transform(F.filter("w", lambda x: F.char_length(x) <= MAX_LETTERS), lambda x: F.array_position("list", x))
     d = d.select(
         "doc_id", "ref", "row_hash", "t", F.size("w").alias("n"), F.transform("w", lambda x: F.xxhash64(x)).alias("h1"),
-        (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"),
+        (F.size("ls") - F.size(F.array_distinct("ls"))).cast("long").alias("n_dup_lines"), F.size("list").alias("n_listed"), F.filter(codes, lambda c: c > 0).alias("hits"),
     )
-    for a, b, step in (("h1", "h2", 1), ("h2", "h4", 2), ("h4", "h8", 4)):
-        keep = [c for c in d.columns if c != a]
-        size = F.greatest(F.size(a) - F.lit(step), F.lit(0))
-        d = d.select(*keep, F.zip_with(F.slice(a, F.lit(1), size), F.slice(a, F.lit(step + 1), size), lambda x, y: F.xxhash64(x, y)).alias(b))
+    first = F.slice("h1", F.lit(1), F.greatest(F.size("h1") - F.lit(WINDOW - 1), F.lit(0)))
+    h8 = F.transform(first, lambda x, i: F.xxhash64(x, *(F.get("h1", i + k) for k in range(1, WINDOW))))
+    d = d.select(*(c for c in d.columns if c != "h1"), h8.alias("h8"))
     d = d.select("*", (F.size(F.array_distinct("h8")) < F.size("h8")).alias("again"))
     d = d.select("*", F.when(F.col("again"), F.sort_array(F.transform("h8", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("s")).drop("h8", "again")
     twin = F.filter("s", lambda x, k: F.coalesce(F.get("s", k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("s", k + 1)["h"] == x["h"], F.lit(False)))
@@ -103,7 +99,8 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Characters by class: each class is taken out of what the earlier ones left, so the strings get short fast.
     left = ["t"]
     for k, pattern in enumerate(CLASSES):
-        d = d.select("*", (F.replace(F.col(left[-1]), F.lit(" "), F.lit("")) if pattern == " +" else F.regexp_replace(left[-1], pattern, "")).alias(f"t{k}"))
+        less = F.replace(F.col(left[-1]), F.lit(" "), F.lit("")) if pattern == " +" else F.regexp_replace(F.regexp_replace(left[-1], "[a-z]+", "") if not k else left[-1], pattern, "")
+        d = d.select("*", less.alias(f"t{k}"))
         left.append(f"t{k}")
     chars = F.array(*(F.char_length(a) - F.char_length(b) for a, b in zip(left, left[1:], strict=False)), F.char_length(left[-1]))
     # t0 has no small letters, but all blanks and symbols.
@@ -111,11 +108,10 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "doc_id", "ref", "row_hash", F.col("n").cast("long").alias("n_words"),
         (F.char_length("t") - F.char_length("t0") + F.char_length(_without(F.col("t0"), BLANKS))).cast("long").alias("word_chars"),
         (F.octet_length("t0") - F.octet_length(_without(F.col("t0"), SYMBOLS))).cast("long").alias("n_symbols"),
-        "n_dup_lines", "n_repeat_words", chars.alias("chars"), F.char_length("t").alias("n_chars"), _blanked(F.col("t")).alias("spaced"),
+        "n_dup_lines", "n_repeat_words", chars.alias("chars"), F.char_length("t").alias("n_chars"), "hits", "n_listed",
     )
-    d = d.join(F.broadcast(lists), "ref", "left")
-    seen = F.transform("list", lambda w: ((F.char_length("spaced") - F.char_length(F.replace(F.col("spaced"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.char_length(w) + 2)).cast("int"))
-    return d.withColumn("common", seen).drop("spaced", "list")
+    seen = F.transform(F.sequence(F.lit(1), F.greatest("n_listed", F.lit(1))), lambda k: F.size(F.filter("hits", lambda c: c == k)))
+    return d.withColumn("common", F.when(F.col("n_listed") > 0, seen)).drop("hits", "n_listed")
 
 
 def _shares(counts: Column, total: Column) -> Column:
@@ -123,18 +119,19 @@ def _shares(counts: Column, total: Column) -> Column:
     return F.transform(counts, lambda c: F.when(total > 0, F.floor(c.cast("long") * F.lit(SCALE) / total)).otherwise(F.lit(0)).cast("long"))
 
 
-def _distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of shares, each made to sum to one."""
+def _normal(a: Column) -> Column:
+    """An array of numbers divided by their sum, which is worked out once."""
+    total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(F.array(total), lambda t: F.transform(a, lambda x: x / F.greatest(t, F.lit(1.0))))[0]
+
 
-    def normal(a):
-        total = F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-        return F.transform(a, lambda x: x / F.greatest(total, F.lit(1.0)))
+def _distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance of two arrays of shares that sum to one; null if either is."""
 
-    def part(x, m):
-        return F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
+    def part(x, y):
+        return F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(F.lit(0.0))
 
-    both = F.zip_with(normal(p), normal(q), lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2)
-    squared = F.aggregate(both, F.lit(0.0), lambda s, x: s + x)  # null without a reference
+    squared = F.aggregate(F.zip_with(p, q, lambda x, y: part(x, y) + part(y, x)), F.lit(0.0), lambda s, x: s + x) / 2
     return F.sqrt(F.when(squared > 0, squared).otherwise(squared * 0))
 
 
@@ -145,7 +142,7 @@ def references(rows: DataFrame) -> DataFrame:
     by_lang = rows.groupBy("ref").agg(*sums)
     refs = by_lang.where("ref is not null").unionByName(by_lang.groupBy(F.lit("*").alias("ref")).agg(*(F.sum(c).alias(c) for c in by_lang.columns[1:])))
     q_word = F.filter(F.array(*(F.col(f"w{k}").cast("double") for k in range(n_word))), lambda x: x.isNotNull())
-    return refs.select("ref", F.array(*(F.col(f"c{k}").cast("double") for k in range(n_char))).alias("q_char"), F.when((F.col("ref") != "*") & (F.size(q_word) > 0), q_word).alias("q_word"))
+    return refs.select("ref", _normal(F.array(*(F.col(f"c{k}").cast("double") for k in range(n_char)))).alias("q_char"), F.when((F.col("ref") != "*") & (F.size(q_word) > 0), _normal(q_word)).alias("q_word"))
 
 
 def with_distances(d: DataFrame, refs: DataFrame) -> DataFrame:
@@ -155,8 +152,9 @@ def with_distances(d: DataFrame, refs: DataFrame) -> DataFrame:
     """
     own, every = refs.where("ref <> '*'"), refs.where("ref = '*'").select(F.col("q_char").alias("q_all"))
     d = d.join(F.broadcast(own), "ref", "left").join(F.broadcast(every), F.lit(True), "left")
-    char = F.when(F.col("n_chars") >= MIN_CHARS_JUDGED, _distance(F.col("p_char"), F.coalesce("q_char", "q_all")))
-    word = F.when(F.col("n_words") >= MIN_WORDS_JUDGED, _distance(F.col("p_word"), F.col("q_word")))
+    p_char, p_word = (F.transform(c, lambda x: x / F.lit(float(SCALE))) for c in ("p_char", "p_word"))
+    char = F.when(F.col("n_chars") >= MIN_CHARS_JUDGED, _distance(p_char, F.coalesce("q_char", "q_all")))
+    word = F.when(F.col("n_words") >= MIN_WORDS_JUDGED, _distance(p_word, F.col("q_word")))
     return d.withColumn("char_distance", char).withColumn("word_distance", word).drop("q_char", "q_word", "q_all")
 
 

@@ -1,20 +1,23 @@
-"""Near-duplicates by exact similarity of shingle sets.
+"""Near-duplicates by exact similarity of shingle sets, with SimHash tiles as the comparison.
 
 Sets. Words of the text in lower case (A-Z) form shingles of five words; a text is the set of
-their XXH64 hashes. Rows with equal sets are one node. Two nodes are linked if the Jaccard
-similarity of their sets is at least 4/5.
+their XXH64 hashes. Rows with equal sets are one node, with a SimHash fingerprint of the set. Two
+nodes are linked if the Jaccard similarity of their sets is at least 4/5.
 
-Candidates. All sets are put in one order of the shingles. If two sets are similar, at least
+Partition. All sets are put in one order of the shingles. If two sets are similar, at least
 4/5 of either is shared, so their first fifths (rounded, and one more) share a shingle: only
-nodes that meet under such a shingle are compared, which loses no link. Shingles that are
-frequent in a sample of the rows stand last in the order; that keeps the groups small and has
-no bearing on the result.
-
-Links. In a first round each node is held against one node of each of its groups. What is
-linked then is one component, so a large group of copies needs no further comparison; in the
-second round all pairs of a group that are in different components are. Pairs whose first
-parts share too little for the similarity are left out, every other pair is confirmed by the
-whole sets. Components are joined as in ``simhash``.
+nodes that meet under such a shingle are compared. Shingles that are frequent in a sample of the
+rows stand last in the order; that keeps the groups small and has no bearing on the result.
+
+Comparison. Nodes of a group whose sizes allow the similarity and whose fingerprints differ in at
+most ``RADIUS`` bits are candidates. Sets with similarity 4/5 differ in 10 bits on average
+(standard deviation 3), so a link is left out at that stage with a chance of some 1 in
+100,000, and only if no other of its component ties it. Every candidate is confirmed by the whole
+sets. First each node is held against one node of each of its groups, so that a large group of
+copies is one component after one pass. Then groups that still hold several components go
+through tiles of exclusive-or and bit counts in numpy: tiles of one component with itself, and
+tiles whose population counts differ by more than the radius, are skipped. Of what is left each
+node's ``NEAREST`` ones of a tile are tried before all others are, which ties most of them.
 
 Nulls and odd rows: null and wordless texts have the empty set and are linked to each other;
 texts with fewer words than a shingle have one, their whole sequence of words; a null id is
@@ -28,14 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.simhash import components, keep_first
+from siftline.llm.simhash import TILE, by_group, components, deal, keep_first, majority_bits
 from siftline.llm.tokens import batches
-from siftline.plans.storage import write_back
+from siftline.plans.storage import forget, write_back
 
 #: Similarity from which nodes are linked, as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Rows that are sampled for the order; rows of them that make a shingle frequent; most frequent shingles told to the workers.
 SAMPLE, FREQUENT, MAX_FREQUENT = 20_000, 3, 100_000
+#: Differing bits of the fingerprints of candidates; nodes from which a group is dealt into several sets.
+RADIUS, SPLIT = 22, 8192
+#: Candidates of a node in a tile that are tried first.
+NEAREST = 4
 
 
 def shingle_set(text: str, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -96,33 +103,84 @@ def with_nodes(docs: DataFrame, id_col: str, text_col: str, words: int, seed: in
             for a, b in batches(texts, 500_000):
                 sets = [shingle_set(t, words, seed) for t in texts[a:b]]
                 node = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                n = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(node), n, _lists([first_part(s, frequent, rank) for s in sets])], ["doc_id", "row_hash", "node", "n", "part"])
+                n = np.array([len(s) for s in sets], np.int64)
+                fp = majority_bits(np.concatenate(sets).astype(">i8").view(np.uint8).reshape(-1, 8), n)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(node), pa.array(n), pa.array(fp), _lists([first_part(s, frequent, rank) for s in sets])], ["doc_id", "row_hash", "node", "n", "fp", "part"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), text_col).mapInArrow(run, "doc_id long, row_hash long, node long, n long, part array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), text_col).mapInArrow(run, "doc_id long, row_hash long, node long, n long, fp long, part array<long>")
 
 
 def _near_in_size(a: Column, b: Column) -> Column:
     return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
 
 
-def _rest(n: Column) -> Column:
-    """Shingles of a set that are not in its first part."""
-    return F.ceil(NUMERATOR * n / F.lit(DENOMINATOR)) - 1
+def _candidates(a: str, b: str) -> Column:
+    """Whether two nodes' sizes and fingerprints allow the similarity."""
+    return _near_in_size(F.col(f"{a}.n"), F.col(f"{b}.n")) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= RADIUS)
 
 
-def _enough(c: Column, a: Column, b: Column) -> Column:
-    """Whether two sets of a and b shingles can be similar when their first parts share c.
+def cross_links(node: np.ndarray, n: np.ndarray, fp: np.ndarray, label: np.ndarray, second: np.ndarray | None, nearest: int | None = None, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates (u > v) of different labels in one group, or between its ``second`` rows and the others.
 
-    What they share up to the end of the part that ends earlier in the order is in both parts;
-    of that set's other shingles no more can be shared than there are.
+    With ``nearest`` a node has only so many of a tile, those with the fewest differing bits. ``seen``
+    counts tile pairs compared and skipped.
     """
-    return (NUMERATOR + DENOMINATOR) * (c + F.greatest(_rest(a), _rest(b))) >= NUMERATOR * (a + b)
-
-
-def _likely(met: DataFrame) -> DataFrame:
-    """u, v: the pairs that share enough of their first parts, from a row for each shingle under which they meet."""
-    return met.groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("c")).where(_enough(F.col("c"), F.col("nu"), F.col("nv"))).select("u", "v")
+    sides = []
+    for pick in (np.ones(len(node), bool),) if second is None else (~second, second):
+        k = np.flatnonzero(pick)
+        k = k[np.lexsort((np.bitwise_count(fp[k]), label[k]))]
+        sides.append((node[k], n[k], fp[k], label[k], np.bitwise_count(fp[k]).astype(np.int64)))
+    left, right = sides[0], sides[-1]
+    starts = np.arange(0, len(right[0]), TILE)
+    ends = np.minimum(starts + TILE, len(right[0]))
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low, high = np.minimum.reduceat(right[4], starts), np.maximum.reduceat(right[4], starts)
+    us, vs = [], []
+    for a in range(0, len(left[0]), TILE):
+        own = [c[a : a + TILE] for c in left]
+        one = own[3][0] == own[3][-1]
+        near = (low - own[4].max() <= RADIUS) & (own[4].min() - high <= RADIUS)
+        near &= ~(one & (right[3][starts] == own[3][0]) & (right[3][ends - 1] == own[3][0]))
+        if second is None:
+            near &= starts >= a
+        if seen is not None:
+            seen[0] += int(near.sum())
+            seen[1] += int((starts >= a).sum() if second is None else len(starts)) - int(near.sum())
+        for b, e in zip(starts[near].tolist(), ends[near].tolist(), strict=True):
+            other = [c[b:e] for c in right]
+            apart = np.bitwise_count(own[2][:, None] ^ other[2][None, :])
+            small, big = np.minimum(own[1][:, None], other[1][None, :]), np.maximum(own[1][:, None], other[1][None, :])
+            hit = (apart <= RADIUS) & (own[3][:, None] != other[3][None, :]) & (DENOMINATOR * small >= NUMERATOR * big)
+            i, j = np.nonzero(hit)
+            if nearest and len(i):
+                order = np.lexsort((apart[i, j], i))
+                i, j = i[order], j[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[place < nearest], j[place < nearest]
+            us.append(own[0][i])
+            vs.append(other[0][j])
+    u, v = np.concatenate(us or [np.zeros(0, np.int64)]), np.concatenate(vs or [np.zeros(0, np.int64)])
+    return np.maximum(u, v), np.minimum(u, v)
+
+
+def tiled(groups: DataFrame, nearest: int | None) -> DataFrame:
+    """u, v: candidates of different labels in each group of (key, node, n, fp, label)."""
+
+    def compare(cols, spans):
+        us, vs = [], []
+        for a, b in spans:
+            _, i, j, second, node, n, fp, label = (c[a:b] for c in cols)
+            u, v = cross_links(node, n, fp.view(np.uint64), label, None if i[0] == j[0] else second.astype(bool), nearest)
+            if len(u):
+                us.append(u)
+                vs.append(v)
+        if us:
+            pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["u", "v"])
+
+    dealt = deal(groups, ["key"], "node", SPLIT).select("key", "i", "j", "second", "node", "n", "fp", "label")
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(by_group(3, compare), "u long, v long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
@@ -148,27 +206,30 @@ def confirmed(pairs: DataFrame, docs: DataFrame, rows: DataFrame, id_col: str, t
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42) -> DataFrame:
     """doc_id, row_hash, label (the component's smallest node) and component_id (its smallest id) of every row."""
     rows = write_back(with_nodes(docs, id_col, text_col, words, seed), "shingle-rows")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("part").alias("part"))
-    nodes = write_back(nodes, "shingle-nodes")
-    keyed = nodes.select("node", "n", F.explode("part").alias("key"))
-    groups = write_back(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("node", "n")).alias("hub")).where("k > 1").select("key", "hub"), "shingle-groups")
-    shared = write_back(keyed.join(groups, "key"), "shingle-shared")
-    first = shared.where(F.col("node") != F.col("hub.node")).select(F.col("node").alias("u"), F.col("hub.node").alias("v"), F.col("n").alias("nu"), F.col("hub.n").alias("nv")).where(_near_in_size(F.col("nu"), F.col("nv")))
-    first = _likely(first)
-    first = write_back(first, "shingle-pairs")
-    edges = write_back(confirmed(first, docs, rows, id_col, text_col, words, seed), "shingle-links")
+    nodes = write_back(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("part").alias("part")), "shingle-nodes")
+    keyed = nodes.select("node", F.explode("part").alias("key"))
+    # Most shingles stand in one set; the others' groups are all that is compared.
+    hubs = write_back(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("hub")).where("k > 1").select("key", "hub"), "shingle-groups")
+    met = keyed.join(hubs, "key").join(nodes.select("node", "n", "fp"), "node")
+    shared = write_back(met.select("key", "hub", "node", "n", "fp"), "shingle-shared")
+    own = shared.where("node <> hub").select("node", "n", "fp", "hub").distinct().alias("a")
+    first = own.join(shared.where("node = hub").select("node", "n", "fp").distinct().alias("b"), F.expr("a.hub = b.node")).where(_candidates("a", "b"))
+    tried = write_back(first.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v")).distinct(), "shingle-pairs")
+    edges = write_back(confirmed(tried, docs, rows, id_col, text_col, words, seed), "shingle-links")
     label = components(edges)
-    named = shared.select("key", "node", "n").join(label, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    named = write_back(named, "shingle-named")
-    mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-    open_ = write_back(named.join(mixed, "key", "left_semi"), "shingle-open")
-    x, y = open_.select("key", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("label").alias("lu")), open_.select("key", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("label").alias("lv"))
-    # The larger node first, as in the first round, whose pairs are known.
-    second = x.join(y, "key").where((F.col("u") > F.col("v")) & (F.col("lu") != F.col("lv"))).where(_near_in_size(F.col("nu"), F.col("nv"))).select("u", "v", "nu", "nv")
-    second = write_back(_likely(second).join(first, ["u", "v"], "left_anti"), "shingle-pairs")
-    label = components(edges.union(confirmed(second, docs, rows, id_col, text_col, words, seed)))
-    every = nodes.select("node", "rep").join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-    every = write_back(every, "shingle-labels")
+    for nearest in (NEAREST, None):
+        named = shared.join(label, "node", "left").select("key", "node", "n", "fp", F.coalesce("label", "node").alias("label"))
+        mixed = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
+        open_ = write_back(named.join(write_back(mixed, "shingle-mixed"), "key", "left_semi"), "shingle-open")
+        more = write_back(tiled(open_, nearest).join(tried, ["u", "v"], "left_anti"), "shingle-pairs")
+        forget(open_)
+        if more.isEmpty():
+            continue
+        tried = tried.union(more)
+        edges = write_back(edges.union(confirmed(more, docs, rows, id_col, text_col, words, seed)), "shingle-links")
+        label = components(edges)
+    every = write_back(nodes.select("node", "rep").join(label, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")), "shingle-labels")
+    forget(shared, hubs)
     least = every.groupBy("label").agg(F.min("rep").alias("component_id"))
     found = every.join(least, "label").select("node", "label", "component_id")
     return rows.select("doc_id", "row_hash", "node").join(found, "node").select("doc_id", "row_hash", "label", "component_id")

@@ -59,13 +59,16 @@ def fingerprints(texts: list[str], words: int = 4, seed: int = 42) -> np.ndarray
             found = [digest(joined[a:b], seed) for a, b in zip([0, *ends[:-words].tolist()], (ends[words - 1 :] - 1).tolist(), strict=True)]
         hashes += found
         counts.append(len(found))
-    n = np.array(counts, np.int64)
-    out = np.zeros((len(texts), 8), np.uint8)
+    return majority_bits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8), np.array(counts, np.int64))
+
+
+def majority_bits(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Fingerprints of runs of n hashes, each eight bytes from the highest on; 0 for an empty run."""
+    out = np.zeros((len(n), 8), np.uint8)
     some = np.flatnonzero(n)
     if len(some):
-        bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, 8), axis=1)
         at = (np.cumsum(n) - n)[some]
-        total = np.add.reduceat(bits, at, axis=0, dtype=np.int32)
+        total = np.add.reduceat(np.unpackbits(hashes, axis=1), at, axis=0, dtype=np.int32)
         out[some] = np.packbits(2 * total > n[some, None], axis=1)
     return out.view(">i8").ravel().astype(np.int64)
 
@@ -171,26 +174,32 @@ def forest_of(left: np.ndarray, right: np.ndarray | None, radius: int, seen: lis
     return every[moved], every[roots]
 
 
-def links(nodes: DataFrame, radius: int) -> DataFrame:
-    """u, v: edges whose components are those of all links between the fingerprints in ``nodes`` (fp)."""
-    masks = schemes(nodes.count(), radius)
-    keyed = nodes.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))).alias("x")).select("fp", "x.band", "x.key")
+def deal(keyed: DataFrame, key: list[str], own: str, split: int) -> DataFrame:
+    """Adds i, j and second: a key with more than ``split`` rows is dealt into sets by a hash of ``own``.
+
+    Each pair of sets (i, j) is a group of its own, where ``second`` marks the rows of set j.
+    """
     # Written first: its size is known when the join is planned. Usually it has no row.
-    large = write_back(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPLIT).select("band", "key", F.ceil(F.col("n") / SPLIT).cast("int").alias("sets")), "simhash-large")
-    dealt = keyed.join(large, ["band", "key"], "left").withColumn("sets", F.coalesce("sets", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("sets")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sets") - 1)))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "fp")
-    group = ["band", "key", "i", "j"]
+    large = write_back(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("__k")).where(F.col("__k") > split).select(*key, F.ceil(F.col("__k") / split).cast("int").alias("__sets")), "simhash-large")
+    dealt = keyed.join(large, key, "left").withColumn("__sets", F.coalesce("__sets", F.lit(1)))
+    dealt = dealt.withColumn("__own", F.pmod(F.xxhash64(own), F.col("__sets")).cast("int"))
+    dealt = dealt.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__sets") - 1)))
+    return dealt.select(*keyed.columns, F.least("__own", "__other").alias("i"), F.greatest("__own", "__other").alias("j"), (F.col("__own") > F.col("__other")).alias("second"))
+
+
+def by_group(n_keys: int, compare):
+    """Arrow function that hands ``compare`` the columns of sorted rows and the spans of whole groups, equal in the first ``n_keys`` columns."""
 
     def run(stream):
         held = None
         for batch in stream:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+            if not len(cols[0]):
+                continue
             new = np.zeros(len(cols[0]), bool)
-            for c in cols[:4]:
+            for c in cols[:n_keys]:
                 new[1:] |= c[1:] != c[:-1]
             cuts = [0, *np.flatnonzero(new).tolist()]
             yield from compare(cols, zip(cuts, cuts[1:], strict=False))
@@ -198,6 +207,16 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
         if held is not None:
             yield from compare(held, [(0, len(held[0]))])
 
+    return run
+
+
+def links(nodes: DataFrame, radius: int) -> DataFrame:
+    """u, v: edges whose components are those of all links between the fingerprints in ``nodes`` (fp)."""
+    masks = schemes(nodes.count(), radius)
+    keyed = nodes.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)))).alias("x")).select("fp", "x.band", "x.key")
+    dealt = deal(keyed, ["band", "key"], "fp", SPLIT).select("band", "key", "i", "j", "second", "fp")
+    group = ["band", "key", "i", "j"]
+
     def compare(cols, spans):
         us, vs = [], []
         for a, b in spans:
@@ -211,7 +230,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
         if us:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us).view(np.int64)), pa.array(np.concatenate(vs).view(np.int64))], ["u", "v"])
 
-    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "u long, v long")
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(by_group(4, compare), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ FAMILIES = (
     "siftline.operators.results",
     "siftline.operators.vectors",
     "siftline.operators.matching",
+    "siftline.operators.losses",
     "siftline.streaming.state",
     "siftline.operators.images",
     "siftline.sources.archives",

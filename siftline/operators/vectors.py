@@ -7,7 +7,9 @@ a batch is the unit of the loss, so the pairs are its definition, and they are f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.scalars import dot, l2_normalise, let, norm
@@ -36,11 +38,15 @@ def variance_of(a: Column, ddof: int = 1) -> Column:
     return let(mean_of(a), lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))) / (F.size(a) - ddof)
 
 
-def _fold(pairs: DataFrame, by: list[str], positive: Column, logit: Column) -> DataFrame:
-    """by, loss = lse(all logits) - positive logit, from one row a pair; two sums around the largest logit."""
-    d = pairs.withColumn("__l", logit)
-    peak = d.groupBy(*by).agg(F.max("__l").alias("__m"), F.max(F.when(positive, F.col("__l"))).alias("__pos"))
-    return d.join(peak, by).groupBy(*by).agg((F.log(F.sum(F.exp(F.col("__l") - F.col("__m")))) + F.first("__m") - F.first("__pos")).alias("loss"))
+def _fold(pairs: DataFrame, by: list[str], positive: Column, similarity: Column, temperature: float) -> DataFrame:
+    """by, loss = lse(all logits) - positive logit, from one row a pair, in one aggregation.
+
+    Similarities of unit vectors are at most 1, so 1 / temperature bounds the logits and serves
+    as the shift; no pass looks for the largest one.
+    """
+    top = 1.0 / temperature
+    d = pairs.withColumn("__l", similarity / temperature)
+    return d.groupBy(*by).agg((F.log(F.sum(F.exp(F.col("__l") - top))) + top - F.max(F.when(positive, F.col("__l")))).alias("loss"))
 
 
 def ntxent(views: DataFrame, batch: str, pos: str, view: str, vec: str, temperature: float = 0.2) -> DataFrame:
@@ -51,7 +57,7 @@ def ntxent(views: DataFrame, batch: str, pos: str, view: str, vec: str, temperat
     u = views.select(batch, F.struct(pos, view).alias("__k"), F.col(pos).alias("__p"), l2_normalise(F.col(vec), 1e-8).alias("__u"))
     o = u.select(batch, F.col("__k").alias("__k2"), F.col("__p").alias("__p2"), F.col("__u").alias("__u2"))
     pairs = u.join(o, batch).where("__k <> __k2")
-    loss = _fold(pairs, [batch, "__k"], F.col("__p") == F.col("__p2"), dot(F.col("__u"), F.col("__u2")) / temperature)
+    loss = _fold(pairs, [batch, "__k"], F.col("__p") == F.col("__p2"), dot(F.col("__u"), F.col("__u2")), temperature)
     sizes = views.groupBy(batch).agg(F.count_distinct(pos).alias("n"))
     mean = loss.groupBy(batch).agg(F.avg("loss").alias("loss"))
     return sizes.join(mean, batch, "left").select(batch, "n", F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.col("loss")).alias("loss"))
@@ -61,26 +67,40 @@ def infonce(queries: DataFrame, keys: DataFrame, batch: str, pos: str, vec: str,
     """Query-to-key InfoNCE by batch, times twice the temperature, and top-1 accuracy (lowest position on ties)."""
     q = queries.select(batch, F.col(pos).alias("__i"), l2_normalise(F.col(vec)).alias("__q"))
     k = keys.select(batch, F.col(pos).alias("__j"), l2_normalise(F.col(vec)).alias("__k"))
-    pairs = q.join(k, batch).select(batch, "__i", "__j", (dot(F.col("__q"), F.col("__k")) / temperature).alias("__s"))
-    loss = _fold(pairs, [batch, "__i"], F.col("__i") == F.col("__j"), F.col("__s"))
-    top = pairs.groupBy(batch, "__i").agg(F.max_by("__j", F.struct("__s", -F.col("__j"))).alias("__top"))
-    return loss.join(top, [batch, "__i"]).groupBy(batch).agg((F.avg("loss") * (2 * temperature)).alias("loss"), F.avg((F.col("__top") == F.col("__i")).cast("double")).alias("top1"))
+    pairs = q.join(k, batch).select(batch, "__i", "__j", dot(F.col("__q"), F.col("__k")).alias("__s"))
+    top = 1.0 / temperature
+    own = F.max(F.when(F.col("__i") == F.col("__j"), F.col("__s")))
+    each = pairs.groupBy(batch, "__i").agg((F.log(F.sum(F.exp(F.col("__s") / temperature - top))) + top - own / temperature).alias("loss"), F.max_by("__j", F.struct("__s", -F.col("__j"))).alias("__top"))
+    return each.groupBy(batch).agg((F.avg("loss") * (2 * temperature)).alias("loss"), F.avg((F.col("__top") == F.col("__i")).cast("double")).alias("top1"))
 
 
-def regularisation(df: DataFrame, row_id: str, vec: str, dims: int, target: float = 1.0, eps: float = 1e-4) -> DataFrame:
+def regularisation(df: DataFrame, vec: str, dims: int, target: float = 1.0, eps: float = 1e-4) -> DataFrame:
     """Variance hinge, covariance and isotropy of a feature table, from one pass of sums.
 
-    Sums of values and of products go up by dims (dims + 1) / 2 numbers a task, whatever the rows.
-    Fewer than two rows give zeros.
+    Each task adds up the outer products of its rows in numpy and sends one row a pair of
+    dimensions, whatever its rows. Fewer than two rows give zeros.
     """
-    x = [F.get(F.col(vec), F.lit(i)).cast("double") for i in range(dims)]
-    one = df.select(*(c.alias(f"x{i}") for i, c in enumerate(x)))
-    sums = one.agg(F.count(F.lit(1)).alias("n"), F.array(*(F.var_samp(f"x{i}") for i in range(dims))).alias("var"), F.array(*(F.covar_samp(f"x{i}", f"x{j}") for i in range(dims) for j in range(i))).alias("cov"))
+
+    def products(stream):
+        total = np.zeros((dims + 1, dims + 1))
+        for batch in stream:
+            x = np.array(batch.column(0).to_pylist(), float).reshape(-1, dims)
+            x = np.hstack([np.ones((len(x), 1)), x])
+            total += x.T @ x
+        i, j = np.triu_indices(dims + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "s"])
+
+    sums = df.where(F.col(vec).isNotNull()).select(vec).mapInArrow(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    n, x = F.max(F.when(F.expr("i = 0 AND j = 0"), F.col("s"))), F.map_from_entries(F.collect_list(F.when(F.expr("i = 0 AND j > 0"), F.struct("j", "s"))))
+    pairs = F.collect_list(F.when(F.col("i") > 0, F.struct("i", "j", "s")))
+    d = sums.agg(n.alias("n"), x.alias("x"), pairs.alias("p"))  # (dims + 1) squared over two numbers
+    d = d.select(F.col("n").cast("long").alias("n"), F.transform("p", lambda p: F.struct(p["i"].alias("i"), p["j"].alias("j"), ((p["s"] - F.col("x")[p["i"]] * F.col("x")[p["j"]] / F.col("n")) / (F.col("n") - 1)).alias("c"))).alias("p"))
+    d = d.select("n", F.transform(F.array_sort(F.filter("p", lambda p: p["i"] == p["j"])), lambda p: p["c"]).alias("var"), F.transform(F.array_sort(F.filter("p", lambda p: p["i"] < p["j"])), lambda p: p["c"]).alias("cov"))
     spread = mean_of(F.transform("var", lambda v: F.greatest(F.lit(0.0), F.lit(float(target)) - F.sqrt(v + eps))))
     off = F.aggregate("cov", F.lit(0.0), lambda s, c: s + 2 * c * c) / dims
     iso = variance_of(F.col("var")) / (F.pow(mean_of(F.col("var")), 2) + eps)
-    few = F.col("n") < 2
-    return sums.select("n", *(F.when(few, F.lit(0.0)).otherwise(c).alias(a) for a, c in (("variance", spread), ("covariance", off), ("isotropy", iso))))
+    few = F.coalesce(F.col("n") < 2, F.lit(True))
+    return d.select(F.coalesce("n", F.lit(0).cast("long")).alias("n"), *(F.when(few, F.lit(0.0)).otherwise(c).alias(a) for a, c in (("variance", spread), ("covariance", off), ("isotropy", iso))))
 
 
 def disagreement(a: Column, b: Column, eps: float = 1e-6) -> Column:
@@ -150,8 +170,9 @@ def candidate_infonce(df: DataFrame, by: str, prediction: Column, target: Column
     """Rows (sample, candidate): -log softmax of the real candidate's similarity; one candidate falls back to squared error."""
     s = dot(l2_normalise(prediction), l2_normalise(target)) if similarity == "cosine" else -squared_error(prediction, target)
     d = df.select(by, real.alias("__real"), (s / temperature).alias("__l"), squared_error(prediction, target).alias("__e"))
-    peak = d.groupBy(by).agg(F.max("__l").alias("__m"), F.count(F.lit(1)).alias("__n"), F.max(F.when(F.col("__real"), F.col("__l"))).alias("__pos"), F.max(F.when(F.col("__real"), F.col("__e"))).alias("__err"))
-    return d.join(peak, by).groupBy(by).agg(F.when(F.first("__n") > 1, F.log(F.sum(F.exp(F.col("__l") - F.col("__m")))) + F.first("__m") - F.first("__pos")).otherwise(F.first("__err")).alias("loss"))
+    top = 1.0 / temperature if similarity == "cosine" else 0.0  # no logit lies above
+    loss = F.log(F.sum(F.exp(F.col("__l") - top))) + top - F.max(F.when(F.col("__real"), F.col("__l")))
+    return d.groupBy(by).agg(F.when(F.count(F.lit(1)) > 1, loss).otherwise(F.max(F.when(F.col("__real"), F.col("__e")))).alias("loss"))
 
 
 def level_mean(losses: DataFrame, level: str, loss: str, weights: dict[str, float] | None = None) -> DataFrame:
@@ -206,7 +227,7 @@ def q_infonce_moco(spark, sf_dir):
 
 
 def q_vicreg_statistics(spark, sf_dir):
-    r = regularisation(_vecs(spark, sf_dir), "vec_id", "v", 16)
+    r = regularisation(_vecs(spark, sf_dir), "v", 64)
     return r.select("n", *(F.round(c, 9).alias(c) for c in ("variance", "covariance", "isotropy")))
 
 
@@ -266,9 +287,9 @@ ORACLES = {
         SELECT batch, n, round(CASE WHEN n < 2 THEN 0 ELSE avg(loss) END, 6) AS loss FROM k LEFT JOIN r USING (batch) GROUP BY 1, 2""",
     "infonce_moco": f"""WITH {_B}, s AS (SELECT x.batch, x.pos AS i, y.pos AS j, list_dot_product(x.u, y.u) / 0.2 AS l FROM u x JOIN u y ON x.batch = y.batch AND x.view = 0 AND y.view = 1),
         r AS (SELECT batch, i, ln(sum(exp(l))) - max(CASE WHEN i = j THEN l END) AS loss, arg_max(j, l) = i AS hit FROM s GROUP BY 1, 2) SELECT batch, round(avg(loss) * 0.4, 6) AS loss, round(avg(hit::INT), 6) AS top1 FROM r GROUP BY 1""",
-    "vicreg_statistics": f"""WITH {_V}, e AS (SELECT vec_id, unnest(range(16)) AS d, unnest(v[1:16]) AS x FROM v), s AS (SELECT d, var_samp(x) AS var, count(*) AS n FROM e GROUP BY 1),
+    "vicreg_statistics": f"""WITH {_V}, e AS (SELECT vec_id, unnest(range(64)) AS d, unnest(v) AS x FROM v), s AS (SELECT d, var_samp(x) AS var, count(*) AS n FROM e GROUP BY 1),
         c AS (SELECT a.d, b.d AS d2, covar_samp(a.x, b.x) AS cov FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.d <> b.d GROUP BY 1, 2)
-        SELECT max(n) AS n, round(avg(greatest(0, 1 - sqrt(var + 1e-4))), 9) AS variance, round((SELECT sum(cov * cov) / 16 FROM c), 9) AS covariance, round(var_samp(var) / (avg(var) ** 2 + 1e-4), 9) AS isotropy FROM s""",
+        SELECT max(n) AS n, round(avg(greatest(0, 1 - sqrt(var + 1e-4))), 9) AS variance, round((SELECT sum(cov * cov) / 64 FROM c), 9) AS covariance, round(var_samp(var) / (avg(var) ** 2 + 1e-4), 9) AS isotropy FROM s""",
     "cosine_disagreement": f"WITH {_P} SELECT pair, round(1 - ab / (na * nb), 6) AS d, round(least(exp(2.5 * (1 - ab / (na * nb))), 10), 6) AS w FROM p",
     "cwd_kl": f"WITH {_P} SELECT pair, round(1000 * {_KL.format(t='b', s='a', zt=_Z.format(x='b'), zs=_Z.format(x='a'))}, 6) AS kl FROM p",
     "consensus_loss": f"""WITH {_P}, q AS (SELECT label, a, b, list_transform(a, lambda x: x * 0.5::DOUBLE) AS s FROM p), z AS (SELECT *, {_Z.format(x='a')} AS za, {_Z.format(x='b')} AS zb, {_Z.format(x='s')} AS zs FROM q),

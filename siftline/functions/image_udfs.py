@@ -1,8 +1,9 @@
-"""Image work that needs neighbourhoods, transforms or codecs: numpy in Arrow batches.
+"""Image work that needs neighbourhoods, transforms or codecs: numpy on whole Arrow batches.
 
-Each factory returns a pandas UDF over flat channel-major arrays (or encoded bytes). Bytes are
-decoded without outside libraries where the format is simple (PNG, PNM); anything else goes
-through Pillow if it is installed and is null otherwise.
+Each factory returns a pandas UDF over flat channel-major arrays (or encoded bytes). A batch's
+images have one shape and are one array, so numpy works on all rows at once; what is drawn for a
+row (angles, widths, boxes) comes in as columns. PNG, PNM and baseline JPEG are read without
+outside libraries; anything else goes through Pillow if it is installed and is null otherwise.
 """
 
 from __future__ import annotations
@@ -17,19 +18,24 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from siftline.functions import jpeg
 
-def _map(shape: tuple[int, int, int], change, kind: str = "array<double>"):
-    """UDF that applies ``change(array c*h*w, key)`` to each row."""
 
-    def run(img: pd.Series, key: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else np.asarray(change(np.asarray(v, float).reshape(shape), k), float).ravel() for v, k in zip(img, key, strict=True)])
-
-    return F.pandas_udf(run, kind)
+def _batch(shape: tuple[int, int, int], change, kind: str = "array<double>"):
+    """UDF that applies ``change(array n*c*h*w, parameters of n)`` to a batch; null images stay null."""
 
+    def run(img: pd.Series, *params: pd.Series) -> pd.Series:
+        some = img.notna().to_numpy()
+        out = [None] * len(img)
+        if some.any():
+            x = np.stack(img[some].to_list()).astype(float).reshape(-1, *shape)
+            made = change(x, *(p[some].to_numpy() for p in params))
+            rows = list(np.asarray(made).reshape(len(x), -1)) if kind.startswith("array") else made
+            for k, v in zip(np.flatnonzero(some), rows, strict=True):
+                out[k] = v
+        return pd.Series(out, dtype=object)
 
-def rng(seed: int, key) -> np.random.Generator:
-    """Generator of a row, the same in every run."""
-    return np.random.default_rng([seed, int.from_bytes(hashlib.sha256(str(key).encode()).digest()[:8], "little")])
+    return F.pandas_udf(run, kind)
 
 
 def reflect(i: np.ndarray, n: int) -> np.ndarray:
@@ -40,12 +46,13 @@ def reflect(i: np.ndarray, n: int) -> np.ndarray:
     return np.where(i >= n, 2 * (n - 1) - i, i)
 
 
-def sample(img: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Bilinear values at fractional rows and columns, mirrored at the border."""
-    _, h, w = img.shape
-    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
-    fy, fx = y - y0, x - x0
-    at = lambda a, b: img[:, reflect(a, h), reflect(b, w)]
+def sample(x: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Bilinear values of each image (n, c, h, w) at fractional places (n, h', w'), mirrored at the border."""
+    n, _, h, w = x.shape
+    y0, x0 = np.floor(rows).astype(int), np.floor(cols).astype(int)
+    fy, fx = (rows - y0)[:, None], (cols - x0)[:, None]
+    who = np.arange(n)[:, None, None]
+    at = lambda a, b: x[who, :, reflect(a, h), reflect(b, w)].transpose(0, 3, 1, 2)
     return at(y0, x0) * (1 - fy) * (1 - fx) + at(y0, x0 + 1) * (1 - fy) * fx + at(y0 + 1, x0) * fy * (1 - fx) + at(y0 + 1, x0 + 1) * fy * fx
 
 
@@ -53,71 +60,105 @@ def resize(img: np.ndarray, h: int, w: int) -> np.ndarray:
     """Bilinear, pixel centres aligned, edges clamped."""
     y = np.clip((np.arange(h) + 0.5) * img.shape[1] / h - 0.5, 0, img.shape[1] - 1)
     x = np.clip((np.arange(w) + 0.5) * img.shape[2] / w - 0.5, 0, img.shape[2] - 1)
-    return sample(img, *np.meshgrid(y, x, indexing="ij"))
+    rows, cols = np.meshgrid(y, x, indexing="ij")
+    return sample(img[None], rows[None], cols[None])[0]
 
 
-def affine(img: np.ndarray, degrees: float, dx: float = 0, dy: float = 0, zoom: float = 1) -> np.ndarray:
-    """Rotation about the centre, shift in shares of the sides, zoom."""
-    _, h, w = img.shape
-    y, x = np.meshgrid(np.arange(h) - (h - 1) / 2 - dy * h, np.arange(w) - (w - 1) / 2 - dx * w, indexing="ij")
-    a = np.deg2rad(degrees)
-    return sample(img, (np.cos(a) * y - np.sin(a) * x) / zoom + (h - 1) / 2, (np.sin(a) * y + np.cos(a) * x) / zoom + (w - 1) / 2)
+def _each(v, n: int) -> np.ndarray:
+    """A number a row, shaped to meet (n, h, w)."""
+    return np.broadcast_to(np.asarray(v, float).reshape(-1), (n,))[:, None, None]
 
 
-def blur(img: np.ndarray, sigma: float, size: int = 5) -> np.ndarray:
-    """Separable Gaussian with mirrored borders."""
-    k = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * sigma * sigma))
-    k /= k.sum()
-    for axis in (1, 2):
-        n, places = img.shape[axis], np.arange(img.shape[axis])
-        img = sum(k[j] * np.take(img, reflect(places + j - size // 2, n), axis) for j in range(size))
-    return img
+def affine(x: np.ndarray, degrees, dy=0.0, dx=0.0, zoom=1.0) -> np.ndarray:
+    """Rotation about the centre, shift in shares of the sides, zoom; a number or one a row."""
+    n, _, h, w = x.shape
+    degrees, dy, dx, zoom = (_each(v, n) for v in (degrees, dy, dx, zoom))
+    rows, cols = np.meshgrid(np.arange(h) - (h - 1) / 2, np.arange(w) - (w - 1) / 2, indexing="ij")
+    rows, cols, a = rows - dy * h, cols - dx * w, np.deg2rad(degrees)
+    return sample(x, (np.cos(a) * rows - np.sin(a) * cols) / zoom + (h - 1) / 2, (np.sin(a) * rows + np.cos(a) * cols) / zoom + (w - 1) / 2)
 
 
-def sharpen(img: np.ndarray, strength: float = 1.0) -> np.ndarray:
+def blur(x: np.ndarray, sigma, size: int = 5) -> np.ndarray:
+    """Separable Gaussian with mirrored borders; ``sigma`` is a number or one a row."""
+    sigma = np.broadcast_to(np.asarray(sigma, float).reshape(-1, 1), (len(x), 1))
+    k = np.exp(-((np.arange(size) - (size - 1) / 2) ** 2) / (2 * sigma * sigma))
+    k = (k / k.sum(axis=1, keepdims=True))[:, :, None, None, None]
+    for axis in (2, 3):
+        n, places = x.shape[axis], np.arange(x.shape[axis])
+        x = sum(k[:, j] * np.take(x, reflect(places + j - size // 2, n), axis) for j in range(size))
+    return x
+
+
+def sharpen(x: np.ndarray, strength: float = 1.0) -> np.ndarray:
     """Unsharp mask with the 3 by 3 mean, edges repeated."""
-    p = np.pad(img, ((0, 0), (1, 1), (1, 1)), "edge")
-    mean = sum(p[:, a : a + img.shape[1], b : b + img.shape[2]] for a in range(3) for b in range(3)) / 9
-    return np.clip(img + strength * (img - mean), 0, 1)
+    h, w = x.shape[2:]
+    p = np.pad(x, ((0, 0), (0, 0), (1, 1), (1, 1)), "edge")
+    mean = sum(p[:, :, a : a + h, b : b + w] for a in range(3) for b in range(3)) / 9
+    return np.clip(x + strength * (x - mean), 0, 1)
+
+
+def crop(x: np.ndarray, cx, cy, hw, hh, h: int, w: int) -> np.ndarray:
+    """Crops (centre and half sides as shares, one a row) resized to h by w."""
+    n, _, ih, iw = x.shape
+    cx, cy, hw, hh = (np.broadcast_to(np.asarray(v, float).reshape(-1, 1), (n, 1)) for v in (cx, cy, hw, hh))
+    rows = np.clip((cy + (2 * (np.arange(h) + 0.5) / h - 1) * hh) * ih - 0.5, 0, ih - 1)
+    cols = np.clip((cx + (2 * (np.arange(w) + 0.5) / w - 1) * hw) * iw - 0.5, 0, iw - 1)
+    return sample(x, np.repeat(rows[:, :, None], w, axis=2), np.repeat(cols[:, None, :], h, axis=1))
+
+
+def resize_all(x: np.ndarray, h: int, w: int) -> np.ndarray:
+    """``resize`` of every image of a batch."""
+    n, c = x.shape[:2]
+    return resize(x.reshape(n * c, *x.shape[2:]), h, w).reshape(n, c, h, w)
+
+
+def degrade(x: np.ndarray, view_scale: float) -> np.ndarray:
+    """Down and up again, so that detail finer than the scale is lost."""
+    h, w = x.shape[2:]
+    return resize_all(resize_all(x, max(1, round(h * view_scale)), max(1, round(w * view_scale))), h, w)
 
 
-def crop(img: np.ndarray, box: tuple[float, float, float, float], h: int, w: int) -> np.ndarray:
-    """A crop (centre and half sides as shares) resized to h by w."""
-    cx, cy, hw, hh = box
-    y = (cy + (2 * (np.arange(h) + 0.5) / h - 1) * hh) * img.shape[1] - 0.5
-    x = (cx + (2 * (np.arange(w) + 0.5) / w - 1) * hw) * img.shape[2] - 0.5
-    return sample(img, *np.meshgrid(np.clip(y, 0, img.shape[1] - 1), np.clip(x, 0, img.shape[2] - 1), indexing="ij"))
+def jitter_patch(x: np.ndarray, brightness, contrast, size: int, sigma: float = 0.5) -> np.ndarray:
+    """(x - mean) (1 + contrast) + mean + brightness by channel, a Gaussian with zeros around, resized."""
+    b, c = (np.asarray(v, float).reshape(-1, 1, 1, 1) for v in (brightness, contrast))
+    mean = x.mean(axis=(2, 3), keepdims=True)
+    x = (x - mean) * (1 + c) + mean + b
+    if sigma > 0:
+        k = max(3, int(2 * round(2 * sigma) + 1))
+        g = np.exp(-((np.arange(k) - (k - 1) / 2) ** 2) / (2 * sigma * sigma))
+        g /= g.sum()
+        h, w = x.shape[2:]
+        p = np.pad(x, ((0, 0), (0, 0), (k // 2, k // 2), (k // 2, k // 2)))
+        x = sum(g[i] * g[j] * p[:, :, i : i + h, j : j + w] for i in range(k) for j in range(k))
+    return resize_all(x, size, size)
 
 
 def radial(h: int, w: int) -> np.ndarray:
-    """Distance of each FFT place (centred) from the middle, the farthest being 1."""
-    y, x = np.meshgrid(np.arange(h) - h // 2, np.arange(w) - w // 2, indexing="ij")
-    d = np.sqrt(y * y + x * x)
-    return d / max(d.max(), 1e-12)
+    """Distance of each FFT place (centred) from the middle, the corner at (0, 0) being 1."""
+    y, x = np.meshgrid(np.arange(h) - h / 2, np.arange(w) - w / 2, indexing="ij")
+    return np.sqrt(y * y + x * x) / max(np.sqrt(h * h / 4 + w * w / 4), 1e-12)
 
 
-def band_energy(img: np.ndarray, low: float = 0.1, mid: float = 0.4) -> np.ndarray:
-    """Shares of FFT magnitude of the channel mean in three radial bands."""
-    m = np.abs(np.fft.fftshift(np.fft.fft2(img.mean(axis=0))))
-    d = radial(*m.shape)
-    parts = np.array([m[d < low].sum(), m[(d >= low) & (d < mid)].sum(), m[d >= mid].sum()])
-    return parts / (parts.sum() + 1e-8)
+def band_energy(x: np.ndarray, low: float = 0.1, mid: float = 0.4) -> np.ndarray:
+    """Shares of FFT magnitude of the channel mean in three radial bands, a row an image."""
+    m = np.abs(np.fft.fftshift(np.fft.fft2(x.mean(axis=1)), axes=(1, 2)))
+    d = radial(*m.shape[1:])
+    parts = np.stack([m[:, b].sum(axis=1) for b in (d < low, (d >= low) & (d < mid), d >= mid)], axis=1)
+    return parts / (parts.sum(axis=1, keepdims=True) + 1e-8)
 
 
-#: Bands taken out by label.
+# Bands taken out by label.
 BANDS = ((), ("low",), ("mid",), ("high",), ("low", "mid"), ("low", "high"), ("mid", "high"))
 
 
-def remove_bands(img: np.ndarray, label: int, low: float = 0.1, mid: float = 0.4, width: float = 0.02) -> np.ndarray:
-    """Image without some frequency bands, with soft edges."""
-    d = radial(*img.shape[1:])
+def remove_bands(x: np.ndarray, label: np.ndarray, low: float = 0.1, mid: float = 0.4, width: float = 0.02) -> np.ndarray:
+    """Images without some frequency bands (by each row's label), with soft edges."""
+    d = radial(*x.shape[2:])
     soft = lambda z: 1 / (1 + np.exp(-np.clip(z / max(width, 1e-4), -60, 60)))
     keep = {"low": soft(d - low), "mid": np.clip(soft(low - d) + soft(d - mid), 0, 1), "high": soft(mid - d)}
-    mask = np.ones_like(d)
-    for b in BANDS[label]:
-        mask = mask * keep[b]
-    f = np.fft.fftshift(np.fft.fft2(img), axes=(1, 2)) * mask
-    return np.clip(np.fft.ifft2(np.fft.ifftshift(f, axes=(1, 2))).real, 0, 1)
+    masks = np.stack([functools.reduce(np.multiply, (keep[b] for b in own), np.ones_like(d)) for own in BANDS])
+    f = np.fft.fftshift(np.fft.fft2(x), axes=(2, 3)) * masks[np.asarray(label, int)][:, None]
+    return np.clip(np.fft.ifft2(np.fft.ifftshift(f, axes=(2, 3))).real, 0, 1)
 
 
 @functools.lru_cache(maxsize=8)
@@ -126,13 +167,31 @@ def _dct(n: int) -> np.ndarray:
     return np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
 
 
-def phash(gray: np.ndarray, size: int = 8) -> str:
-    """Perceptual hash: low block of the 2-D cosine transform against its median, as hex."""
+def phash(gray: np.ndarray, size: int = 8) -> list[str]:
+    """Perceptual hashes of images (n, h, w): the low block of the 2-D cosine transform against its median, as hex."""
     n = 4 * size
-    small = resize(gray[None], n, n)[0]
+    small = resize(gray, n, n)
     c = _dct(n)
-    low = (c @ small @ c.T)[:size, :size]
-    return np.packbits(low > np.median(low)).tobytes().hex()
+    low = (c @ small @ c.T)[:, :size, :size].reshape(len(gray), -1)
+    return [b.tobytes().hex() for b in np.packbits(low > np.median(low, axis=1, keepdims=True), axis=1)]
+
+
+def _unfilter(line: np.ndarray, up: np.ndarray, mode: int) -> np.ndarray:
+    """Average (3) and Paeth (4) filters of a row of pixels; plain numbers by channel, as each needs the last."""
+    out = np.empty_like(line)
+    for c in range(line.shape[1]):
+        left = corner = 0
+        made = []
+        for v, u in zip(line[:, c].tolist(), up[:, c].tolist(), strict=True):
+            if mode == 3:
+                guess = left + u >> 1
+            else:
+                a, b, both = abs(u - corner), abs(left - corner), abs(left + u - 2 * corner)
+                guess = left if a <= b and a <= both else u if b <= both else corner
+            left, corner = v + guess & 255, u
+            made.append(left)
+        out[:, c] = made
+    return out
 
 
 def read_png(data: bytes) -> np.ndarray:
@@ -169,16 +228,7 @@ def read_png(data: bytes) -> np.ndarray:
         elif mode == 1:
             out[y] = (np.cumsum(line.reshape(w, n), axis=0) & 255).ravel()
         else:
-            row = np.zeros(w * n, int)
-            for k in range(w * n):
-                left, corner = (row[k - n], up[k - n]) if k >= n else (0, 0)
-                if mode == 3:
-                    guess = left + up[k] >> 1
-                else:
-                    p = left + up[k] - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - up[k]), 1, up[k]), (abs(p - corner), 2, corner))[2]
-                row[k] = line[k] + guess & 255
-            out[y] = row
+            out[y] = _unfilter(line.reshape(w, n), up.reshape(w, n), int(mode)).ravel()
     out = out.reshape(h, w, n)
     if colour == 3:
         flat = out[..., 0]
@@ -223,6 +273,11 @@ def decode(data: bytes) -> np.ndarray:
         return read_png(data)
     if data[:2] in (b"P5", b"P6"):
         return read_pnm(data)
+    if data[:2] == b"\xff\xd8":
+        try:
+            return jpeg.read(data)
+        except NotImplementedError:  # progressive and other kinds
+            pass
     try:
         from PIL import Image
     except ImportError:
@@ -240,14 +295,14 @@ def to_rgb(img: np.ndarray) -> np.ndarray:
 
 
 def normalise(data: bytes, long_side: int = 640) -> tuple[int, int, int, int, str, bytes]:
-    """Decode, RGB, shrink to a long side, encode (PNG), hash: sides before and after, SHA-256, bytes."""
+    """Decode, RGB, shrink to a long side, encode (JPEG, quality 90), hash: sides before and after, SHA-256, bytes."""
     img = to_rgb(decode(data))
     h, w = img.shape[:2]
     nh, nw = h, w
     if max(h, w) > long_side:
         nh, nw = (max(1, round(s * long_side / max(h, w))) for s in (h, w))
         img = np.rint(resize(img.transpose(2, 0, 1).astype(float), nh, nw)).astype(np.uint8).transpose(1, 2, 0)
-    out = write_png(img)
+    out = jpeg.write(img, 90)
     return h, w, nh, nw, hashlib.sha256(out).hexdigest(), out
 
 
@@ -269,7 +324,7 @@ def is_readable():
 
 def phash_of_bytes():
     """UDF: perceptual hash of encoded images; null for what doesn't decode."""
-    one = _or_none(lambda x: phash(to_rgb(decode(x)).astype(float) @ np.array([0.299, 0.587, 0.114])))
+    one = _or_none(lambda x: phash((to_rgb(decode(x)).astype(float) @ np.array([0.299, 0.587, 0.114]))[None])[0])
     return F.pandas_udf(lambda data: pd.Series([None if x is None else one(x) for x in data], dtype=object), "string")
 
 
@@ -284,67 +339,74 @@ def normalised(long_side: int = 640):
     return F.pandas_udf(run, "h int, w int, mh int, mw int, sha string, data binary")
 
 
-def rotate_udf(shape, degrees: float, seed: int):
-    return _map(shape, lambda img, key: affine(img, rng(seed, key).uniform(-degrees, degrees)))
+def affine_udf(shape):
+    """(img, degrees, dy, dx, zoom)."""
+    return _batch(shape, lambda x, a, dy, dx, zoom: affine(x, a, dy, dx, zoom))
 
 
-def affine_udf(shape, degrees: float = 10, shift: float = 0.1, low: float = 0.9, high: float = 1.1, seed: int = 0):
-    def change(img, key):
-        r = rng(seed, key)
-        return affine(img, r.uniform(-degrees, degrees), r.uniform(-shift, shift), r.uniform(-shift, shift), r.uniform(low, high))
+def rotate_udf(shape):
+    """(img, degrees)."""
+    return _batch(shape, lambda x, a: affine(x, a))
 
-    return _map(shape, change)
 
-
-def blur_udf(shape, low: float = 0.1, high: float = 2.0, size: int = 5, seed: int = 0):
-    return _map(shape, lambda img, key: blur(img, rng(seed, key).uniform(low, high), size))
+def blur_udf(shape, size: int = 5):
+    """(img, sigma)."""
+    return _batch(shape, lambda x, sigma: blur(x, sigma, size))
 
 
 def sharpen_udf(shape, strength: float = 1.0):
-    return _map(shape, lambda img, key: sharpen(img, strength))
+    return _batch(shape, lambda x: sharpen(x, strength))
+
+
+def crop_udf(shape, out: tuple[int, int]):
+    """(img, cx, cy, hw, hh, flip): a view of ``out``'s sides, mirrored where flip is set."""
+    def change(x, cx, cy, hw, hh, flip):
+        y = crop(x, cx, cy, hw, hh, *out)
+        return np.where(np.asarray(flip, bool)[:, None, None, None], y[:, :, :, ::-1], y)
 
+    return _batch(shape, change)
 
-def crop_udf(shape, out: tuple[int, int], seed: int = 0, scale=(0.2, 1.0), ratio=(0.75, 4 / 3)):
-    def change(img, key):
-        r, (_, h, w) = rng(seed, key), shape
-        area, aspect = r.uniform(*scale) * h * w, np.exp(r.uniform(*np.log(ratio)))
-        cw, ch = min((area * aspect) ** 0.5, w), min((area / aspect) ** 0.5, h)
-        left, top = r.uniform(0, w - cw), r.uniform(0, h - ch)
-        img = crop(img, ((left + cw / 2) / w, (top + ch / 2) / h, cw / 2 / w, ch / 2 / h), *out)
-        return img[:, :, ::-1] if r.random() < 0.5 else img
 
-    return _map(shape, change)
+def resize_udf(shape, h: int, w: int):
+    return _batch(shape, lambda x: resize_all(x, h, w))
 
 
 def degrade_udf(shape, view_scale: float):
-    """Down and up again, so that detail finer than the scale is lost."""
-    def change(img, key):
-        _, h, w = img.shape
-        return resize(resize(img, max(1, round(h * view_scale)), max(1, round(w * view_scale))), h, w)
+    return _batch(shape, lambda x: degrade(x, view_scale))
+
 
-    return _map(shape, change)
+def patch_view_udf(shape, size: int, view_scale: float | None = None, sigma: float = 0.5):
+    """(img, brightness, contrast): jitter, blur and resize; with a view scale, detail finer than it goes first."""
+    return _batch(shape, lambda x, b, c: jitter_patch(x if view_scale is None else degrade(x, view_scale), b, c, size, sigma))
 
 
 def band_energy_udf(shape):
-    return _map(shape, lambda img, key: band_energy(img))
+    return _batch(shape, lambda x: band_energy(x))
 
 
 def remove_bands_udf(shape):
-    """The key is the label of the bands that go."""
-    return _map(shape, lambda img, key: remove_bands(img, int(key)))
+    """(img, label of the bands that go)."""
+    return _batch(shape, lambda x, label: remove_bands(x, label))
+
+
+def phash_udf(shape):
+    """Hash of grey or colour images that are decoded already."""
+    return _batch(shape, lambda x: phash(x[:, 0] if shape[0] == 1 else np.tensordot(x, np.array([0.299, 0.587, 0.114]), (1, 0))), "string")
 
 
 def patches_udtf(shape, scales=(0.2, 0.5), per_scale: int = 8, size: int = 64, seed: int = 0):
-    """Table function: (key, img) -> rows of patch_id, log_scale, cx, cy, patch."""
+    """Table function: (key, img) -> rows of patch_id, log_scale, cx, cy, patch; places are drawn by SHA-256."""
+
+    def drawn(k, key):
+        return int(hashlib.sha256(f"{seed + k}:{key}".encode()).hexdigest()[:13], 16) / 2**52
 
     class Patches:
         def eval(self, key, img):
-            x, k = np.asarray(img, float).reshape(shape), 0
-            for s in scales:
-                for j in range(per_scale):
-                    r = rng(seed + 1000 * k + j, key)
-                    cx, cy = r.uniform(s / 2, 1 - s / 2, 2)
-                    yield k * per_scale + j, float(np.log(s)), float(cx), float(cy), crop(x, (cx, cy, s / 2, s / 2), size, size).ravel().tolist()
-                k += 1
-
-    return F.udtf(Patches, returnType="patch_id int, log_scale double, cx double, cy double, patch array<double>")
+            x = np.asarray(img, float).reshape(1, *shape)
+            at = np.array([(s, *(s / 2 + (1 - s) * drawn(2 * (k * per_scale + j) + d, key) for d in (0, 1))) for k, s in enumerate(scales) for j in range(per_scale)])
+            half = at[:, 0] / 2
+            made = crop(np.repeat(x, len(at), axis=0), at[:, 1], at[:, 2], half, half, size, size).reshape(len(at), -1)
+            for p, (s, cx, cy) in enumerate(at.tolist()):
+                yield p, float(np.log(s)), cx, cy, made[p].tolist()
+
+    return F.udtf(Patches, returnType="patch_id int, log_scale double, cx double, cy double, patch array<double>", useArrow=False)

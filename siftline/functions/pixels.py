@@ -14,11 +14,16 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.scalars import let
+from siftline.functions.scalars import hashed_bits, let
 
 
 def uniform(seed: int, *key: Column) -> Column:
-    """Seeded number in [0, 1) of a row's key."""
+    """Seeded number in [0, 1) of a row's key, by SHA-256, so that SQL of any engine draws the same."""
+    return hashed_bits(seed, *key) / F.lit(float(2**52))
+
+
+def pixel_uniform(seed: int, *key: Column) -> Column:
+    """Seeded number in [0, 1) for draws of every pixel, by the faster XXH64."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11).cast("double") / F.lit(float(2**53))
 
 
@@ -198,28 +203,48 @@ def grid_mask(img: Column, c: int, h: int, w: int, grid: int = 16, ratio: float
 def noise(img: Column, std: float, seed: int, *key: Column) -> Column:
     """Gaussian noise by the Box-Muller rule from hashed uniforms."""
     def at(v, i):
-        u, t = uniform(seed, *key, i), uniform(seed + 1, *key, i)
+        u, t = pixel_uniform(seed, *key, i), pixel_uniform(seed + 1, *key, i)
         return v + std * F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * t)
 
     return F.transform(img, at)
 
 
 def patch_mask(img: Column, c: int, h: int, w: int, patch: int, ratio: float, seed: int, *key: Column) -> Column:
-    """Zero floor(ratio * n) of the n square patches, those first by seeded hash."""
+    """Zero floor(ratio * n) of the n square patches, those first by seeded draw."""
     across, n = w // patch, (h // patch) * (w // patch)
-    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.struct(F.xxhash64(F.lit(seed), *key, p).alias("o"), p.alias("p"))))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.struct(uniform(seed, *key, p).alias("o"), p.alias("p"))))
     gone = F.transform(F.slice(order, F.lit(1), F.lit(int(ratio * n))), lambda x: x["p"])
 
     def masked(g):
         def at(v, i):
             _, y, x = _parts(i, h, w)
-            return F.when(F.array_contains(g, (F.floor(y / patch) * across + F.floor(x / patch)).cast("int")), 0.0).otherwise(v)
+            inside = (y < h // patch * patch) & (x < across * patch)
+            return F.when(inside & F.array_contains(g, (F.floor(y / patch) * across + F.floor(x / patch)).cast("int")), 0.0).otherwise(v)
 
         return F.transform(img, at)
 
     return let(gone, masked)
 
 
+def erase(img: Column, c: int, h: int, w: int, seed: int, key: Column, scale=(0.02, 0.33), ratio=(0.3, 3.3)) -> Column:
+    """A rectangle of drawn area and aspect at a drawn place, every value of it drawn anew."""
+    from math import log
+
+    area = between(seed, *scale, key) * (h * w)
+    aspect = F.exp(between(seed + 1, log(ratio[0]), log(ratio[1]), key))
+    eh, ew = (F.least(F.greatest(F.rint(F.sqrt(s)).cast("int"), F.lit(1)), F.lit(n)) for s, n in ((area * aspect, h), (area / aspect, w)))
+    box = F.struct(eh.alias("h"), ew.alias("w"), F.floor(uniform(seed + 2, key) * (h - eh + 1)).alias("y"), F.floor(uniform(seed + 3, key) * (w - ew + 1)).alias("x"))
+
+    def fill(b):
+        def at(v, i):
+            _, y, x = _parts(i, h, w)
+            return F.when((y >= b["y"]) & (y < b["y"] + b["h"]) & (x >= b["x"]) & (x < b["x"] + b["w"]), pixel_uniform(seed + 4, key, i)).otherwise(v)
+
+        return F.transform(img, at)
+
+    return let(box, fill)
+
+
 def sometimes(change: Callable[[Column], Column], p: float, seed: int, *key: Column) -> Callable[[Column], Column]:
     """A change applied to a row with probability p."""
     return lambda img: F.when(uniform(seed, *key) < p, change(img)).otherwise(img)

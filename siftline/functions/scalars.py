@@ -103,10 +103,14 @@ def warmup_cosine(step: Column, warm: Column, total: Column) -> Column:
     return F.when(s < w, s / F.greatest(F.lit(1.0), w)).otherwise((F.lit(1.0) + F.cos(F.pi() * (s - w) / F.greatest(F.lit(1.0), t - w))) / 2)
 
 
+def hashed_bits(seed: int, *parts: Column) -> Column:
+    """52 bits, as a double, from the SHA-256 of the seed and the parts, joined by colons."""
+    return F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts)), 256), 1, 13), 16, 10).cast("double")
+
+
 def uniform(seed: int, *parts: Column) -> Column:
-    """A number in (0, 1] of 52 bits from the SHA-256 of the seed and the parts, joined by colons."""
-    bits = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts)), 256), 1, 13), 16, 10).cast("double")
-    return (bits + 1.0) / F.lit(float(2**52))
+    """A number in (0, 1] of a row's parts, the same in every engine."""
+    return (hashed_bits(seed, *parts) + 1.0) / F.lit(float(2**52))
 
 
 def dot(a: Column, b: Column) -> Column:

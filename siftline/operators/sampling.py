@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from math import gcd
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from siftline.functions.scalars import seeded_order
 from siftline.functions.tables import table
 
-#: Hash buckets in which a global rank is counted.
-RANK_BUCKETS = 1024
+#: Class that takes the place of classes with too few rows.
+FEW = -999
 
 
 def global_rank(df: DataFrame, order_hash: str, *ties: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -22,7 +22,7 @@ def global_rank(df: DataFrame, order_hash: str, *ties: str, by: tuple[str, ...]
     Rows are ranked inside buckets of the hash's leading digits, which follow its order, and
     shifted by the counts of the earlier buckets.
     """
-    rows = df.withColumn("__b", F.conv(F.substring(order_hash, 1, 3), 16, 10).cast("int") % F.lit(4096))
+    rows = df.withColumn("__b", F.conv(F.substring(order_hash, 1, 3), 16, 10).cast("int"))
     counts = rows.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*(by or (F.lit(0),))).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select(*(F.col(c).alias(f"__by{k}") for k, c in enumerate(by)), F.col("__b").alias("__bb"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
@@ -72,26 +72,34 @@ def deficit_schedule(counts: list[int]) -> Iterator[int]:
         yield best
 
 
-def stratified_order(df: DataFrame, id_col: str, cls: str, seed: int) -> DataFrame:
+def stratified_order(df: DataFrame, id_col: str, cls: str, seed: int, min_per_class: int = 1) -> DataFrame:
     """id, cls, pos: every prefix has the classes in their shares, by the deficit rule.
 
-    The schedule depends on the class counts alone, so one small task makes (class, rank) -> pos
-    and the rows, ranked inside their class by a seeded hash, are joined to it.
+    Classes with fewer than ``min_per_class`` rows count as one, FEW. The schedule depends on
+    the class counts alone and repeats as often as their common divisor says, so one small task makes
+    one round of it, (class, rank) -> pos, and the rows, ranked inside their class by a seeded
+    hash, are joined to it by their rank in the round.
     """
-    ranked = global_rank(df.select(id_col, cls, seeded_order(seed, F.col(id_col)).alias("__h")), "__h", id_col, by=(cls,))
+    own = df.select(id_col, F.col(cls).cast("long").alias(cls))
+    sizes = own.groupBy(F.col(cls).alias("__c")).agg(F.count(F.lit(1)).alias("__n"))
+    merged = own.join(sizes, F.col(cls).eqNullSafe(F.col("__c"))).withColumn("__g", F.when((F.col("__n") >= min_per_class) & F.col("__c").isNotNull(), F.col("__c")).otherwise(F.lit(FEW).cast("long")))
+    ranked = global_rank(merged.select(id_col, cls, "__g", seeded_order(seed, F.col(id_col)).alias("__h")), "__h", id_col, by=("__g",))
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("c")
-        steps = list(deficit_schedule(pdf["n"].tolist()))
+        rounds = gcd(*pdf["n"].tolist())
+        steps = list(deficit_schedule([n // rounds for n in pdf["n"].tolist()]))
         out = pd.DataFrame({"k": steps})
         out["r"] = out.groupby("k").cumcount()
-        out["pos"] = range(len(out))
-        out["c"] = pdf["c"].to_numpy()[out["k"]]
-        return out[["c", "r", "pos"]]
+        out["at"] = range(len(out))
+        out["c"], out["each"], out["period"] = pdf["c"].to_numpy()[out["k"]], (pdf["n"] // rounds).to_numpy()[out["k"]], len(out)
+        return out[["c", "r", "at", "each", "period"]]
 
-    counts = ranked.groupBy(F.col(cls).cast("long").alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    schedule = counts.groupBy().applyInPandas(plan, "c long, r long, pos long")
-    return ranked.join(schedule, (F.col(cls) == F.col("c")) & (F.col("__pos") == F.col("r"))).select(id_col, cls, "pos")
+    counts = sizes.groupBy(F.when((F.col("__n") >= min_per_class) & F.col("__c").isNotNull(), F.col("__c")).otherwise(F.lit(FEW).cast("long")).alias("c")).agg(F.sum("__n").alias("n"))
+    schedule = counts.groupBy().applyInPandas(plan, "c long, r long, at long, each long, period long")
+    each = schedule.groupBy(F.col("c").alias("__k")).agg(F.max("each").alias("__each"))  # a row a class
+    turns = ranked.join(F.broadcast(each), F.col("__g") == F.col("__k")).withColumn("__turn", F.expr("__pos div __each")).withColumn("__r", F.expr("__pos % __each"))
+    return turns.join(schedule, (F.col("__g") == F.col("c")) & (F.col("__r") == F.col("r"))).select(id_col, cls, (F.col("at") + F.col("__turn") * F.col("period")).alias("pos"))
 
 
 def stratified_fractions(df: DataFrame, id_col: str, cls: str, fractions: list[float], seed: int) -> DataFrame:
@@ -161,11 +169,22 @@ def q_label_fraction_stratified(spark, sf_dir):
     return stratified_order(d, "doc_id", "cls", 42)
 
 
+def q_label_fraction_merged(spark, sf_dir):
+    """Classes of fewer than forty rows are one."""
+    d = _docs(spark, sf_dir).select("doc_id", (F.col("n_chars") % 64 % 9 + F.when(F.col("doc_id") < 30, F.lit(100)).otherwise(F.lit(0))).alias("cls"))
+    return stratified_order(d, "doc_id", "cls", 7, 40)
+
+
 def q_verify_nested(spark, sf_dir):
-    return nesting_violations(nested_fractions(_docs(spark, sf_dir).select("doc_id"), "doc_id", [0.1, 0.3, 1.0], 1), "doc_id").groupBy().agg(F.count(F.lit(1)).alias("violations"))
+    """Rows that break the nesting of true fractions, and of ones drawn with a seed each."""
+    docs = _docs(spark, sf_dir).select("doc_id")
+    right = nested_fractions(docs, "doc_id", [0.1, 0.3, 1.0], 1)
+    wrong = nested_fractions(docs, "doc_id", [0.1], 1).unionByName(nested_fractions(docs, "doc_id", [0.3], 2)).unionByName(nested_fractions(docs, "doc_id", [1.0], 1))
+    count = lambda f, name: nesting_violations(f, "doc_id").groupBy("fraction").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("kind"), "fraction", "n")
+    return count(right, "right").unionByName(count(wrong, "wrong"))
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_water_fill_allocation, q_select_kept, q_stratified_sample_per_source, q_label_fraction_uniform, q_label_fraction_stratified, q_verify_nested)}
+QUERIES = {f.__name__[2:]: f for f in (q_water_fill_allocation, q_select_kept, q_stratified_sample_per_source, q_label_fraction_uniform, q_label_fraction_stratified, q_label_fraction_merged, q_verify_nested)}
 
 
 def _fill_sql(counts: str, target: int) -> str:
@@ -176,6 +195,16 @@ def _fill_sql(counts: str, target: int) -> str:
         fill AS (SELECT source, available, CAST(CASE WHEN full_ THEN available ELSE rest // greatest(k, 1) + (t <= rest % greatest(k, 1))::INT END AS BIGINT) AS keep FROM g)"""
 
 
+def _deficit_sql(rows: str, seed: int, least: int) -> str:
+    """The deficit rule step by step over ``rows`` (doc_id, cls)."""
+    return f"""WITH RECURSIVE d AS ({rows}), z AS (SELECT cls, count(*) AS n FROM d GROUP BY 1), m AS (SELECT doc_id, d.cls, CASE WHEN z.n >= {least} THEN d.cls ELSE -999 END AS g FROM d JOIN z ON z.cls = d.cls),
+        r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY sha256('{seed}:' || doc_id), doc_id) AS r FROM m), c AS (SELECT list(n ORDER BY g) AS n, list(g ORDER BY g) AS g, sum(n)::BIGINT AS total FROM (SELECT g, count(*) AS n FROM m GROUP BY 1)),
+        s AS (SELECT -1::BIGINT AS t, 0::BIGINT AS k, list_transform(n, lambda x: 0::BIGINT) AS taken FROM c
+              UNION ALL SELECT s.t + 1, p.k, list_transform(s.taken, lambda x, i: CASE WHEN i = p.k THEN x + 1 ELSE x END) FROM s, c,
+              LATERAL (SELECT list_transform(c.n, lambda x, i: CASE WHEN s.taken[i] < x THEN x * (s.t + 2) - s.taken[i] * c.total ELSE -9000000000000000000 END) AS v) q, LATERAL (SELECT list_position(q.v, list_max(q.v)) AS k) p WHERE s.t + 1 < c.total)
+        SELECT doc_id, cls, t AS pos FROM s, c, r WHERE t >= 0 AND r.g = c.g[k] AND r.r = taken[k]"""
+
+
 ORACLES = {
     "water_fill_allocation": "WITH " + _fill_sql("SELECT lang || '_' || doc_id % 7 AS source, count(*) AS available FROM documents GROUP BY 1", 400) + " SELECT * FROM fill",
     "select_kept": "WITH " + _fill_sql("SELECT lang AS source, count(*) AS available FROM documents GROUP BY 1", 300) + """,
@@ -185,5 +214,11 @@ ORACLES = {
     "label_fraction_uniform": """
         WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('42:' || doc_id), doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)
         SELECT fraction, doc_id, pos FROM r, (SELECT unnest([0.01, 0.1, 0.5, 1.0])::DOUBLE AS fraction) WHERE pos < greatest(1, round_even(fraction * n, 0)::BIGINT)""",
-    "verify_nested": "SELECT 0::BIGINT AS violations",
+    "label_fraction_stratified": _deficit_sql("SELECT doc_id, quality::BIGINT AS cls FROM documents JOIN labels USING (doc_id)", 42, 1),
+    "label_fraction_merged": _deficit_sql("SELECT doc_id, n_chars % 64 % 9 + CASE WHEN doc_id < 30 THEN 100 ELSE 0 END AS cls FROM documents", 7, 40),
+    "verify_nested": """
+        WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('1:' || doc_id), doc_id) - 1 AS p1, row_number() OVER (ORDER BY sha256('2:' || doc_id), doc_id) - 1 AS p2, count(*) OVER () AS n FROM documents),
+        f AS (SELECT 'right' AS kind, fraction, doc_id, p1 AS pos FROM d, (SELECT unnest([0.1, 0.3, 1.0])::DOUBLE AS fraction) WHERE p1 < greatest(1, round_even(fraction * n, 0)) UNION ALL
+              SELECT 'wrong', fraction, doc_id, CASE WHEN fraction = 0.3 THEN p2 ELSE p1 END FROM d, (SELECT unnest([0.1, 0.3, 1.0])::DOUBLE AS fraction) WHERE CASE WHEN fraction = 0.3 THEN p2 ELSE p1 END < greatest(1, round_even(fraction * n, 0)))
+        SELECT kind, fraction, count(*) AS n FROM f a WHERE fraction < 1 AND NOT EXISTS (SELECT 1 FROM f b WHERE b.kind = a.kind AND b.doc_id = a.doc_id AND b.pos = a.pos AND b.fraction = CASE WHEN a.fraction < 0.2 THEN 0.3::DOUBLE ELSE 1.0 END) GROUP BY 1, 2""",
 }

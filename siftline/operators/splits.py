@@ -79,16 +79,33 @@ def logo_groups(items: DataFrame, source: str) -> DataFrame:
     return sizes.withColumn("fold", F.row_number().over(Window.orderBy("source")) - 1)
 
 
+def with_folds(items: DataFrame, groups: DataFrame, source: str) -> DataFrame:
+    """Items with ``fold``, that in which they are val; in every other fold they are train."""
+    return items.join(groups.select(F.col("source").alias(source), "fold"), source)
+
+
+def one_fold(marked: DataFrame, fold: int) -> DataFrame:
+    """The items of ``with_folds`` with their split in one fold; nothing is copied for the others."""
+    return marked.withColumn("split", F.when(F.col("fold") == fold, "val").otherwise("train"))
+
+
 def folds(items: DataFrame, groups: DataFrame, source: str) -> DataFrame:
-    """fold, split and the item's columns: val is the fold's own sources, train all others.
+    """fold, split and the item's columns of all folds, for few of them: items times folds rows.
 
-    Every item occurs in every fold, so the result has items times folds rows.
+    Use ``with_folds`` where each source is a fold.
     """
     ids = groups.select("fold").distinct()
-    mine = items.join(groups.select(F.col("source").alias(source), F.col("fold").alias("__own")), source)
+    mine = with_folds(items, groups, source).withColumnRenamed("fold", "__own")
     return mine.join(F.broadcast(ids)).withColumn("split", F.when(F.col("fold") == F.col("__own"), "val").otherwise("train")).drop("__own")
 
 
+def fold_sizes(marked: DataFrame) -> DataFrame:
+    """fold, split, n of every fold from one count by fold: train is all but the fold's own."""
+    own = marked.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    both = own.withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))  # a row a fold
+    return both.select("fold", F.inline(F.array(F.struct(F.lit("val").alias("split"), F.col("n").alias("n")), F.struct(F.lit("train").alias("split"), (F.col("total") - F.col("n")).alias("n")))))
+
+
 def cv_splits(items: DataFrame, source: str, scheme: str = "group_kfold", k: int = 5, seed: int = 42) -> DataFrame:
     """Folds by scheme; splitting single items is refused, since sources would leak."""
     if scheme == "group_kfold":
@@ -119,7 +136,11 @@ def q_holdout_split(spark, sf_dir):
 
 
 def q_holdout_disjoint(spark, sf_dir):
-    return mixed_sources(holdout(_items(spark, sf_dir), "grp"), "grp").groupBy().agg(F.count(F.lit(1)).alias("n_mixed"))
+    """Mixed sources of a right split, and of one that goes by single documents."""
+    items = _items(spark, sf_dir)
+    wrong = items.withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (F.col("doc_id") % 3 + 1).cast("int")))
+    found = lambda split, name: mixed_sources(split, "grp").select(F.lit(name).alias("kind"), "grp", "n_splits")
+    return found(holdout(items, "grp"), "right").unionByName(found(wrong, "wrong"))
 
 
 def q_group_kfold(spark, sf_dir):
@@ -131,7 +152,25 @@ def q_logo_folds(spark, sf_dir):
     return cv_splits(d, "lang", "logo").groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"))
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_holdout_split, q_holdout_disjoint, q_group_kfold, q_logo_folds)}
+def q_fold_sizes(spark, sf_dir):
+    """Leave one source out, where each of many sources is a fold."""
+    items = _items(spark, sf_dir)
+    return fold_sizes(with_folds(items, logo_groups(items, "grp"), "grp"))
+
+
+def q_one_fold(spark, sf_dir):
+    items = _items(spark, sf_dir)
+    return one_fold(with_folds(items, logo_groups(items, "grp"), "grp"), 2).select("doc_id", "split")
+
+
+QUERIES = {f.__name__[2:]: f for f in (q_holdout_split, q_holdout_disjoint, q_group_kfold, q_logo_folds, q_fold_sizes, q_one_fold)}
+_F = "f AS (SELECT grp, (row_number() OVER (ORDER BY grp) - 1)::INT AS fold, n FROM (SELECT lang || '_' || source AS grp, count(*) AS n FROM documents GROUP BY 1))"
+_HOLD = """WITH RECURSIVE s AS (SELECT lang || '_' || source AS source, count(*) AS size FROM documents GROUP BY 1),
+    o AS (SELECT source, size, row_number() OVER (ORDER BY size DESC, sha256('42:' || source)) AS r, sum(size) OVER () AS total FROM s),
+    g AS (SELECT 0::BIGINT AS r, ''::VARCHAR AS source, 0::BIGINT AS size, -1 AS part, [0, 0, 0]::BIGINT[] AS have
+          UNION ALL SELECT o.r, o.source, o.size, p.k, list_transform(g.have, lambda v, i: CASE WHEN i = p.k + 1 THEN v + o.size ELSE v END)
+          FROM g JOIN o ON o.r = g.r + 1, LATERAL (SELECT list_transform([0.7, 0.15, 0.15]::DOUBLE[], lambda x, i: x * o.total - g.have[i]) AS d) q, LATERAL (SELECT list_position(q.d, list_max(q.d)) - 1 AS k) p),
+    h AS (SELECT source, size, ['train', 'val', 'test'][part + 1] AS split FROM g WHERE r > 0)"""
 _GREEDY = """WITH RECURSIVE s AS (SELECT lang || '_' || source AS source, count(*) AS size FROM documents GROUP BY 1),
     o AS (SELECT source, size, row_number() OVER (ORDER BY size DESC, sha256('42:' || source)) AS r FROM s),
     g AS (SELECT 0::BIGINT AS r, ''::VARCHAR AS source, 0::BIGINT AS size, -1 AS part, {start} AS have
@@ -139,7 +178,11 @@ _GREEDY = """WITH RECURSIVE s AS (SELECT lang || '_' || source AS source, count(
           FROM g JOIN o ON o.r = g.r + 1, LATERAL (SELECT list_position(g.have, list_min(g.have)) - 1 AS k) p)"""
 ORACLES = {
     "group_kfold": _GREEDY.format(start="[0, 0, 0, 0, 0]::BIGINT[]") + " SELECT source, size, part::INT AS fold FROM g WHERE r > 0",
-    "holdout_disjoint": "SELECT 0::BIGINT AS n_mixed",
+    "holdout_split": _HOLD + " SELECT split, sum(size)::BIGINT AS n, count(*) AS n_sources FROM h GROUP BY 1",
+    "holdout_disjoint": _HOLD + """, i AS (SELECT 'right' AS kind, source AS grp, split FROM h UNION ALL SELECT 'wrong', lang || '_' || source, ['train', 'val', 'test'][doc_id % 3 + 1] FROM documents)
+        SELECT kind, grp, count(DISTINCT split) AS n_splits FROM i GROUP BY 1, 2 HAVING count(DISTINCT split) > 1""",
+    "fold_sizes": f"WITH {_F} SELECT fold, 'val' AS split, n FROM f UNION ALL SELECT fold, 'train', (SELECT sum(n) FROM f)::BIGINT - n FROM f",
+    "one_fold": f"WITH {_F} SELECT doc_id, CASE WHEN fold = 2 THEN 'val' ELSE 'train' END AS split FROM documents JOIN f ON grp = lang || '_' || source",
     "logo_folds": """
         WITH f AS (SELECT lang, (row_number() OVER (ORDER BY lang) - 1)::INT AS fold FROM (SELECT DISTINCT lang FROM documents))
         SELECT f.fold, CASE WHEN f.lang = d.lang THEN 'val' ELSE 'train' END AS split, count(*) AS n, min(doc_id) AS first_id FROM documents d, f GROUP BY 1, 2""",

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftline.functions import image_udfs as U
+from siftline.functions import jpeg
 from siftline.functions import pixels as P
 from siftline.operators import grid, images, matching, sampling, splits
 from siftline.sources import archives, discovery, manifest
@@ -85,8 +86,57 @@ def test_codecs():
     assert (U.decode(b"P6 7 5 255\n" + rgb.tobytes()) == rgb).all()
     half = np.dstack([rgb, np.zeros((5, 7, 1), np.uint8)])
     assert (U.to_rgb(half) == 255).all()
-    gray = np.random.default_rng(4).random((40, 50))
-    assert U.phash(gray) == U.phash(gray * 0.5) != U.phash(gray[::-1])
+    gray = np.random.default_rng(4).random((3, 40, 50))
+    assert U.phash(gray) == U.phash(gray * 0.5) != U.phash(gray[:, ::-1])
+    assert U.phash(gray[1:2]) == U.phash(gray)[1:2]
+
+
+@pytest.mark.parametrize("shape", [(33, 50, 3), (16, 16, 3), (7, 5, 1), (1, 1, 3), (64, 40, 1)])
+def test_jpeg_comes_back_nearly_the_same(shape):
+    y, x, c = np.meshgrid(*(np.arange(n) for n in shape), indexing="ij")
+    img = np.rint(127 + 90 * np.sin(x / 9 + c) * np.cos(y / 7)).astype(np.uint8)
+    data = jpeg.write(img, 95)
+    back = U.decode(data)
+    assert back.shape == shape and np.abs(back.astype(int) - img).mean() < 4
+    assert len(jpeg.write(img, 30)) <= len(data)
+    for cut in (10, len(data) // 2):
+        assert U._or_none(U.decode)(data[:cut]) is None or U._or_none(U.decode)(data[:cut]).shape == shape
+    with pytest.raises(NotImplementedError):
+        jpeg.read(data.replace(b"\xff\xc0", b"\xff\xc2"))
+
+
+def test_png_filters():
+    """Rows filtered by each of the five rules come back."""
+    import struct
+    import zlib
+
+    img = np.random.default_rng(3).integers(0, 256, (5, 6, 3)).astype(int)
+    raw = b""
+    for y, mode in enumerate((0, 1, 2, 3, 4)):
+        line = []
+        for x in range(6):
+            for c in range(3):
+                a, b, d = (img[y, x - 1, c] if x else 0), (img[y - 1, x, c] if y else 0), (img[y - 1, x - 1, c] if x and y else 0)
+                paeth = min((abs(b - d), 0, a), (abs(a - d), 1, b), (abs(a + b - 2 * d), 2, d))[2]
+                line.append(int(img[y, x, c] - (0, a, b, a + b >> 1, paeth)[mode]) & 255)
+        raw += bytes([mode, *line])
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + bytes(4)
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 6, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    assert (U.read_png(data) == img).all()
+
+
+def test_task_and_view_settings(spark):
+    assert images.list_tasks() == ["blur", "color_permutation", "frequency", "patch_shuffle", "rotation", "solarization"]
+    df = spark.createDataFrame([(k, [0.5] * 64) for k in range(3)] + [(9, None)], "id int, img array<double>")
+    assert images.pretext(df, "img", "blur", 1, 8, 8, 1, "id").count() == 4
+    assert [r.img for r in df.select(U.blur_udf((1, 8, 8))("img", F.lit(1.0)).alias("img")).collect()][3] is None
+    with pytest.raises(KeyError):
+        images.pretext(df, "img", "none", 1, 8, 8, 1, "id")
+    for bad in ({"scale": (0.0, 1.0)}, {"scale": (0.5, 1.5)}, {"ratio": (2.0, 1.0)}, {"flip": 1.5}, {"out": (0, 4)}):
+        with pytest.raises(ValueError):
+            images.two_views(df, "img", 1, 8, 8, **({"out": (4, 4), "seed": 1, "key": "id"} | bad))
+    erased = images.TRANSFORMS["erasing"](1, 8, 8, 3, F.col("id"))
+    assert all(r.img != [0.5] * 64 for r in df.where("img is not null").select(erased(F.col("img")).alias("img")).collect())
 
 
 def test_transforms(spark):
@@ -102,8 +152,10 @@ def test_transforms(spark):
 
 
 def test_bands():
-    img = np.random.default_rng(2).random((3, 16, 16))
-    assert np.allclose(U.remove_bands(img, 0), img) and U.band_energy(img).sum() == pytest.approx(1)
+    for side in (16, 15):
+        img = np.random.default_rng(2).random((2, 3, side, side))
+        assert np.allclose(U.remove_bands(img, np.array([0, 0])), img) and U.band_energy(img).sum(axis=1) == pytest.approx(1)
+        assert U.radial(side, side).max() == 1
 
 
 def test_mutual_nearest(spark):

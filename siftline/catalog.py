@@ -20,6 +20,8 @@ FAMILIES = (
     "siftline.operators.images",
     "siftline.sources.archives",
     "siftline.sources.discovery",
+    "siftline.sources.catalogs",
+    "siftline.sources.features",
 )
 
 QUERIES, ORACLES = {}, {}

@@ -38,7 +38,7 @@ def expand(spark: SparkSession, axes: dict[str, list], seeds: list[int] | None =
 def exclude_condition(columns: list[str], excludes: list[dict]) -> Column:
     """True where all fields of any filter match; a field may list values; numbers match within TOLERANCE.
 
-    A filter that names an unknown axis matches nothing.
+    A filter that names an unknown axis matches nothing, one without fields everything.
     """
 
     def one(col: str, value) -> Column:
@@ -48,8 +48,8 @@ def exclude_condition(columns: list[str], excludes: list[dict]) -> Column:
             return F.abs(F.col(col) - F.lit(value)) < TOLERANCE
         return F.col(col) == F.lit(value)
 
-    known = [e for e in excludes if e and all(k in columns for k in e)]
-    return reduce(Column.__or__, (reduce(Column.__and__, (one(k, v) for k, v in e.items())) for e in known), F.lit(False))
+    known = [e for e in excludes if all(k in columns for k in e)]
+    return reduce(Column.__or__, (reduce(Column.__and__, (one(k, v) for k, v in e.items()), F.lit(True)) for e in known), F.lit(False))
 
 
 def apply_excludes(grid: DataFrame, excludes: list[dict]) -> DataFrame:
@@ -94,11 +94,14 @@ def cell_id(columns: list[str]) -> Column:
 
 
 def check_grid(config: dict, runners: dict) -> None:
+    """Raises for a grid that can't be run."""
     for key in ("methods", "datasets", "fractions", "seeds", "task"):
         if key not in config:
             raise ValueError(f"the grid lacks {key}")
     if config["task"] not in runners:
         raise ValueError(f"no runner for {config['task']}")
+    if any(isinstance(x, dict) and "name" not in x for x in (*config["methods"], *config["datasets"])):
+        raise ValueError("methods and datasets have names")
     if any(not 0 < f <= 1 for f in config["fractions"]):
         raise ValueError("fractions lie above 0 and up to 1")
 

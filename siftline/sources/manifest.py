@@ -88,9 +88,14 @@ def read_selection(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_selection(df: DataFrame, path: str) -> None:
-    """(source, available, keep, images_dir, labels_dir, file) -> one JSON line by source, files sorted."""
-    rows = df.groupBy("source").agg(F.max("available").alias("available"), F.max("keep").alias("keep"), F.max("images_dir").alias("images_dir"), F.max("labels_dir").alias("labels_dir"), F.array_sort(F.collect_list("file")).alias("selected_images"))
-    rows.withColumn("drop", F.col("available") - F.col("keep")).write.mode("overwrite").json(path)
+    """(source, available, keep, images_dir, labels_dir, file) -> one JSON document with a mapping by source, files sorted.
+
+    A selection is a document of as many names as its target, so it is one row.
+    """
+    rows = df.groupBy("source").agg(F.max("available").cast("int").alias("available"), F.max("keep").cast("int").alias("keep"), F.max("images_dir").alias("images_dir"), F.max("labels_dir").alias("labels_dir"), F.array_sort(F.collect_list("file")).alias("selected_images"))
+    entry = F.struct("available", "keep", (F.col("available") - F.col("keep")).alias("drop"), "images_dir", "labels_dir", "selected_images")
+    doc = rows.select("source", entry.alias("e")).agg(F.count(F.lit(1)).alias("n_sources"), F.sum("e.keep").alias("total_selected"), F.map_from_entries(F.collect_list(F.struct("source", "e"))).alias("sources"))
+    doc.write.mode("overwrite").json(path)
 
 
 def metadata_sidecar(spark: SparkSession, path: str, extra: dict) -> None:

@@ -152,14 +152,10 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def forest_of(left: np.ndarray, right: np.ndarray | None, radius: int, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (from, to) of a spanning forest of the links in one group; ``right`` is None for a set with itself."""
-    same = right is None
-    left = left[np.argsort(np.bitwise_count(left), kind="stable")]
-    right = left if same else right[np.argsort(np.bitwise_count(right), kind="stable")]
-    every = left if same else np.concatenate([left, right])
-    forest, shift = Forest(len(every)), 0 if same else len(left)
-    for a, b, hit in tile_links(left, right, radius, same, seen):
+def spanning(n: int, shift: int, tiles: Iterator[tuple[int, int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (from, to) of a spanning forest of the matches in ``tiles``, by place; columns stand ``shift`` places after rows."""
+    forest = Forest(n)
+    for a, b, hit in tiles:
         rows, cols = np.arange(a, a + hit.shape[0]), np.arange(b, b + hit.shape[1]) + shift
         if np.count_nonzero(hit) <= 2 * sum(hit.shape):
             i, j = np.nonzero(hit)
@@ -169,8 +165,17 @@ def forest_of(left: np.ndarray, right: np.ndarray | None, radius: int, seen: lis
             pairs = zip([*rows.tolist(), *cols.tolist()], [*lr.tolist(), *lc.tolist()], strict=True)
         for p, q in pairs:
             forest.join(p, q)
-    moved = np.flatnonzero(forest.up != np.arange(len(every)))
-    roots = np.fromiter((forest.root(k) for k in moved), np.int64, len(moved))
+    moved = np.flatnonzero(forest.up != np.arange(n))
+    return moved, np.fromiter((forest.root(k) for k in moved), np.int64, len(moved))
+
+
+def forest_of(left: np.ndarray, right: np.ndarray | None, radius: int, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (from, to) of a spanning forest of the links in one group; ``right`` is None for a set with itself."""
+    same = right is None
+    left = left[np.argsort(np.bitwise_count(left), kind="stable")]
+    right = left if same else right[np.argsort(np.bitwise_count(right), kind="stable")]
+    every = left if same else np.concatenate([left, right])
+    moved, roots = spanning(len(every), 0 if same else len(left), tile_links(left, right, radius, same, seen))
     return every[moved], every[roots]
 
 

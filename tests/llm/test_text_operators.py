@@ -281,6 +281,73 @@ def test_shingle_components_are_brute_force(spark):
     assert [r.doc_id for r in shingles.keep_one(docs).collect()] == [0]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 40), max_size=25), min_size=1, max_size=14), st.integers(0, 14))
+def test_forests_tie_what_brute_force_ties(lists, cut):
+    """Whole sets in one group, or dealt into two: similar pairs of different labels, and only those, are tied."""
+    sets = list({s.tobytes(): s for s in (np.unique(np.array(x, np.int64)) for x in lists)}.values())
+    n, label = np.array([len(s) for s in sets]), np.arange(len(sets)) // 2
+    same = np.zeros(len(sets), np.uint64)
+    second = np.arange(len(sets)) >= cut
+    for mark in (None, second):
+        u, v = shingles.similar_forest(sets, n, same, same, label, mark)
+        up = list(range(len(sets)))
+
+        def root(k, up=up):
+            while up[k] != k:
+                k = up[k]
+            return k
+
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+        got = [root(k) for k in range(len(sets))]
+        up[:] = range(len(sets))
+        for a in range(len(sets)):
+            for b in range(a + 1, len(sets)):
+                both, every = len(set(sets[a]) & set(sets[b])), len(set(sets[a]) | set(sets[b]))
+                if label[a] != label[b] and (mark is None or second[a] != second[b]) and 5 * both >= 4 * every:
+                    x, y = sorted((root(a), root(b)))
+                    up[y] = x
+        assert got == [root(k) for k in range(len(sets))]
+
+
+def test_shared_counts_are_intersections():
+    rng = np.random.default_rng(2)
+    left, right = ([np.unique(rng.integers(0, 30_000, k)) for k in rng.integers(0, 400, 30)] for _ in range(2))
+    got = shingles.shared_counts(left, right)
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+
+
+def test_candidate_tiles_are_skipped():
+    rng = np.random.default_rng(4)
+    n = 2000
+    ones = rng.integers(0, 65, n)
+    fp = np.array([int("1" * int(k) or "0", 2) for k in ones], np.uint64)
+    seen = [0, 0]
+    shingles.candidate_forest(np.full(n, 50), fp, fp, np.arange(n), None, seen)
+    assert seen[1] > 0.2 * sum(seen)
+    seen = [0, 0]
+    shingles.candidate_forest(np.full(n, 50), fp, fp, np.zeros(n, np.int64), None, seen)
+    assert seen[0] == 0  # one component needs no comparison
+
+
+def test_a_large_family_of_middling_copies(spark, monkeypatch):
+    """Copies that are alike by less than 4/5 send no links, and blocks of a cluster lose none."""
+    monkeypatch.setattr(shingles, "SPLIT_SETS", 16)
+    monkeypatch.setattr(shingles, "SPLIT", 16)
+    base = [f"w{j}" for j in range(120)]
+    rows = []
+    for k in range(60):
+        w = list(base)
+        for j in range(4 if k % 2 else 1):
+            w[(k * 7 + j * 29) % 120] = f"x{k}y{j}"
+        rows.append((k, " ".join(w)))
+    texts = dict(rows)
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_similar(texts)
+
+
 def test_shingles_on_odd_rows(spark):
     kept = shingles.keep_one(documents(spark))
     assert kept.columns == documents(spark).columns

@@ -22,6 +22,7 @@ FAMILIES = (
     "siftline.sources.discovery",
     "siftline.sources.catalogs",
     "siftline.sources.features",
+    "siftline.sources.pool",
 )
 
 QUERIES, ORACLES = {}, {}

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from siftline.functions.image_udfs import normalised
 from siftline.functions.tables import table
+from siftline.plans.storage import fresh_path, write_back
 from siftline.sources.manifest import MANIFEST, conform, new_rows, read_or_empty
 
 #: Members of a ZIP that one task reads.
@@ -76,7 +77,8 @@ class ArchiveReader(DataSourceReader):
     """Members as (archive, name, size, data). A ZIP is split by its directory; a TAR is one forward scan.
 
     Options: ``path``; ``content`` false leaves data out; ``pattern`` is a regular expression that
-    a name must match before its bytes are read.
+    a name must match before its bytes are read; ``wanted`` is a Parquet folder of (archive, name),
+    and other members' bytes are not read. A task looks up its own archive's names only.
     """
 
     def __init__(self, options: dict):
@@ -85,6 +87,17 @@ class ArchiveReader(DataSourceReader):
         self.paths = [p for p in options["path"].split(",") if p]
         self.content = options.get("content", "true").lower() != "false"
         self.pattern = re.compile(options.get("pattern", ""))
+        self.wanted = options.get("wanted", "")
+
+    def _names(self, path: str) -> set[str] | None:
+        if not self.wanted:
+            return None
+        import pyarrow.compute as pc
+        import pyarrow.dataset as ds
+
+        store, inner = fs.FileSystem.from_uri(self.wanted if "://" in self.wanted else "file://" + self.wanted.removeprefix("file:"))
+        rows = ds.dataset(inner, filesystem=store, format="parquet").to_table(columns=["name"], filter=pc.field("archive") == path)
+        return set(rows.column(0).to_pylist())
 
     def partitions(self) -> list[InputPartition]:
         out = []
@@ -103,16 +116,18 @@ class ArchiveReader(DataSourceReader):
         return store.open_input_file(inner)
 
     def read(self, span: Span) -> Iterator[tuple]:
+        names = self._names(span.path)
+        taken = lambda name: self.pattern.search(name) and (names is None or name in names)
         with self._open(span.path) as f:
             if span.end is not None:
                 z = zipfile.ZipFile(f)
                 for info in z.infolist()[span.first : span.end]:
-                    if not info.is_dir() and self.pattern.search(info.filename):
+                    if not info.is_dir() and taken(info.filename):
                         yield span.path, info.filename, info.file_size, z.read(info) if self.content else None
                 return
             with tarfile.open(fileobj=io.BufferedReader(f, 1 << 20), mode="r|*") as t:
                 for info in t:
-                    if info.isfile() and self.pattern.search(info.name):
+                    if info.isfile() and taken(info.name):
                         yield span.path, info.name, info.size, t.extractfile(info).read() if self.content else None
 
 
@@ -128,9 +143,9 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options)
 
 
-def read_archives(spark: SparkSession, paths: list[str], content: bool = True, pattern: str = "") -> DataFrame:
+def read_archives(spark: SparkSession, paths: list[str], content: bool = True, pattern: str = "", wanted: str = "") -> DataFrame:
     spark.dataSource.register(ArchiveSource)
-    return spark.read.format("archive").option("content", str(content).lower()).option("pattern", pattern).load(",".join(paths))
+    return spark.read.format("archive").option("content", str(content).lower()).option("pattern", pattern).option("wanted", wanted).load(",".join(paths))
 
 
 def count_canonical(spark: SparkSession, paths: list[str], layout: Layout) -> int:
@@ -141,29 +156,31 @@ def count_canonical(spark: SparkSession, paths: list[str], layout: Layout) -> in
 def ingest(spark: SparkSession, paths: list[str], layout: Layout, pool: str, long_side: int = 640, limit: int | None = None) -> dict[str, int]:
     """Archive -> images not yet in the pool -> resized -> ``pool``/images and ``pool``/manifest, with counts.
 
-    Names are filtered and matched against the manifest before any image is decoded. Running it
-    again adds nothing.
+    Names are filtered, matched against the manifest and written first; then only the bytes of
+    what is new are read, once. Running it again adds nothing.
     """
     import re
 
     manifest = f"{pool}/manifest"
-    members = read_archives(spark, paths, pattern=f"^{re.escape(layout.prefix)}").where(is_canonical(F.col("name"), layout))
-    members = members.select("name", "data", *(c.alias(n) for n, c in member_columns(F.col("name"), layout).items()))
+    names = read_archives(spark, paths, content=False, pattern=f"^{re.escape(layout.prefix)}").where(is_canonical(F.col("name"), layout))
+    names = names.select("archive", "name", *(c.alias(n) for n, c in member_columns(F.col("name"), layout).items()))
+    names = write_back(names, "archive-names")
     have = read_or_empty(spark, manifest, MANIFEST)
-    todo = new_rows(members, have)
+    todo, wanted = new_rows(names, have), fresh_path(spark, "archive-wanted")
     if limit is not None:
         todo = todo.limit(limit)
-    done = todo.withColumn("x", normalised(long_side)("data")).select("name", "image_id", "original_split", "x.*")
-    path = F.concat(F.lit("images/"), "image_id", F.lit(".png"))
-    rows = done.where("sha is not null").select("image_id", F.lit(layout.dataset).alias("dataset"), "original_split", path.alias("materialized_path"), F.col("h").alias("original_h"), F.col("w").alias("original_w"), F.col("mh").alias("materialized_h"), F.col("mw").alias("materialized_w"), F.col("sha").alias("image_hash"), F.element_at(F.split("name", "/"), -1).alias("original_filename"), "data")
-    before = have.count()
+    todo.write.parquet(wanted)
+    todo = spark.read.parquet(wanted)
+    data = read_archives(spark, paths, pattern=f"^{re.escape(layout.prefix)}", wanted=wanted).select("archive", "name", normalised(long_side)("data").alias("x")).where("x.sha is not null")
+    path = F.concat(F.lit("images/"), "image_id", F.lit(".jpg"))
+    rows = data.join(todo, ["archive", "name"]).select("image_id", F.lit(layout.dataset).alias("dataset"), "original_split", path.alias("materialized_path"), F.col("x.h").alias("original_h"), F.col("x.w").alias("original_w"), F.col("x.mh").alias("materialized_h"), F.col("x.mw").alias("materialized_w"), F.col("x.sha").alias("image_hash"), F.element_at(F.split("name", "/"), -1).alias("original_filename"), F.col("x.data").alias("data"))
+    before, pending = have.count(), todo.count()
     rows.write.mode("append").parquet(f"{pool}/images")
     fresh = spark.read.parquet(f"{pool}/images").drop("data")
     conform(new_rows(fresh, have)).write.mode("append").parquet(manifest)
-    after = read_or_empty(spark, manifest, MANIFEST).count()
-    scanned = members.select("image_id").count()
-    pending = members.select("image_id").join(have.select("image_id"), "image_id", "left_anti").count() if not before else max(0, scanned - before)
-    return {"scanned": scanned, "skipped_existing": scanned - pending, "materialized": after - before, "errors": 0 if limit is not None else pending - (after - before)}
+    made = read_or_empty(spark, manifest, MANIFEST).count() - before
+    scanned = names.select("image_id").distinct().count()
+    return {"scanned": scanned, "skipped_existing": min(scanned, before), "materialized": made, "errors": pending - made}
 
 
 def q_canonical_path_filter(spark, sf_dir):

@@ -11,8 +11,7 @@ import json
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,15 +25,13 @@ STORED = StructType.fromDDL("image_id string, level string, data binary")
 LARGEST = 65504.0
 
 
-@F.pandas_udf("binary")
-def to_half(vec: pd.Series) -> pd.Series:
+def to_half(col: str) -> Column:
     """Numbers as little-endian half floats."""
-    return vec.map(lambda v: None if v is None else np.clip(np.asarray(v, float), -LARGEST, LARGEST).astype("<f2").tobytes())
+    return F.pandas_udf(lambda vec: vec.map(lambda v: None if v is None else np.clip(np.asarray(v, float), -LARGEST, LARGEST).astype("<f2").tobytes()), "binary")(col)
 
 
-@F.pandas_udf("array<float>")
-def from_half(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype("f4"))
+def from_half(col: str) -> Column:
+    return F.pandas_udf(lambda data: data.map(lambda b: None if b is None else np.frombuffer(b, "<f2").astype("f4")), "array<float>")(col)
 
 
 def check_levels(features: DataFrame, levels: list[str]) -> None:

@@ -61,7 +61,7 @@ def test_archives_and_ingest(spark, tmp_path):
     layout = archives.LAYOUTS["bdd100k"]
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         for k in range(3):
-            z.writestr(f"{layout.prefix}train/{k}.jpg", png(20, 30 + k, k))
+            z.writestr(f"{layout.prefix}train/{k}.jpg", jpeg.write(np.random.default_rng(k).integers(0, 256, (20, 30 + k, 3)).astype(np.uint8), 90))
         z.writestr(f"{layout.prefix}val/bad.jpg", b"not an image")
         z.writestr("other/readme.txt", b"x")
     zips = [f"file://{tmp_path}/a.zip"]

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.tables import table
+from siftline.plans.storage import fresh_path
 
+#: Bits of a band at least; hashes of random content then share one with 1 in 256 others.
+LEAST_BAND = 8
 #: Rate of leaking rows above which a report alerts.
 ALERT_RATE = 0.01
 
@@ -55,8 +58,11 @@ def hamming_pairs(a: DataFrame, b: DataFrame, threshold: int) -> DataFrame:
 
     Hashes within t bits agree on one of t + 1 disjoint bands, so an equi-join on (band, value)
     finds all of them; each pair is kept at the first band on which it agrees, which needs no
-    distinct. A threshold of 0 is a plain equi-join.
+    distinct. A threshold of 0 is a plain equi-join. Bands narrower than LEAST_BAND bits would
+    put nearly all rows together, so a larger threshold is refused.
     """
+    if threshold > 64 // LEAST_BAND - 1:
+        raise ValueError(f"bands of a distance of {threshold} are narrower than {LEAST_BAND} bits")
     if threshold <= 0:
         return cross_set_pairs(a, b, "bits").select("id_a", "id_b", F.lit(0).alias("distance"))
     n = threshold + 1
@@ -128,11 +134,29 @@ def q_leaking_ids(spark, sf_dir):
     return leaking_ids(d.where("source <> 'src0'"), d.where("source = 'src0'"), "h")
 
 
+def _hashes(spark, sf_dir):
+    """64-bit hashes of documents with up to seven bits turned by the row, so that near ones exist."""
+    d = _docs(spark, sf_dir).select("doc_id", F.substring(F.md5(F.col("source")), 1, 16).alias("h"), F.substring(F.md5("text"), 1, 16).alias("t"))
+    turned = [F.call_function("shiftleft", F.lit(1).cast("long"), F.conv(F.substring("t", 2 * k + 1, 2), 16, 10).cast("int") % 64) for k in range(4)]
+    bits = hex_bits(F.col("h"))
+    for k, t in enumerate(turned):
+        bits = bits.bitwiseXOR(F.when(F.col("doc_id") % 4 >= k, t).otherwise(F.lit(0).cast("long")))
+    far = hex_bits(F.col("t"))
+    return d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 10 == 0, bits).otherwise(far).alias("bits"))
+
+
 def q_near_duplicate_pairs_hamming(spark, sf_dir):
-    """Vectors' sign bits as 64-bit hashes; pairs of even and odd ids within 18 bits."""
-    e = table(spark, sf_dir, "embeddings")
-    v = e.select(F.col("vec_id").alias("id"), F.expr("aggregate(transform(embedding, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (s, x) -> s | x)").alias("bits"))
-    return hamming_pairs(v.where("id % 2 = 0"), v.where("id % 2 = 1"), 18)
+    """Pairs of even and odd rows' hashes within five bits, most of them far from each other."""
+    v = _hashes(spark, sf_dir)
+    return hamming_pairs(v.where("id % 20 < 10"), v.where("id % 20 >= 10"), 5)
+
+
+def q_leaking_list(spark, sf_dir):
+    """The leaking ids as a text list, written in order and read again."""
+    path = fresh_path(spark, "leaking")
+    ids = q_leaking_ids(spark, sf_dir).orderBy("id").select(F.col("id").cast("string").alias("value"))
+    ids.coalesce(1).write.text(path)
+    return spark.read.text(path).select(F.col("value").cast("long").alias("id"))
 
 
 def q_hamming_literals(spark, sf_dir):
@@ -140,7 +164,15 @@ def q_hamming_literals(spark, sf_dir):
     return d.select("doc_id", hamming(hex_bits(F.col("a")), hex_bits(F.col("b"))).alias("distance"))
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_exact_duplicate_groups, q_duplicate_summary, q_cross_set_leakage_exact, q_leakage_report, q_leaking_ids, q_near_duplicate_pairs_hamming, q_hamming_literals)}
+QUERIES = {f.__name__[2:]: f for f in (q_exact_duplicate_groups, q_duplicate_summary, q_cross_set_leakage_exact, q_leakage_report, q_leaking_ids, q_near_duplicate_pairs_hamming, q_hamming_literals, q_leaking_list)}
+
+
+def _turned(k: int) -> str:
+    """One bit of 64 by the k-th byte of a hash; the highest one apart, since a shift into it overflows."""
+    n = f"(('0x' || substr(t, {2 * k + 1}, 2))::INT % 64)"
+    return f"(CASE WHEN {n} = 63 THEN 9223372036854775808::UBIGINT ELSE (1::BIGINT << least({n}, 62))::UBIGINT END)"
+
+
 ORACLES = {
     "exact_duplicate_groups": "SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
     "duplicate_summary": "SELECT datasets, count(*) AS n_groups FROM (SELECT md5(text) AS h, string_agg(DISTINCT source, '|' ORDER BY source) AS datasets FROM documents GROUP BY 1 HAVING count(*) >= 2) GROUP BY 1",
@@ -156,9 +188,10 @@ ORACLES = {
         SELECT *, rate > 0.01 AS alert FROM r""",
     "leaking_ids": "SELECT DISTINCT doc_id AS id FROM documents WHERE source <> 'src0' AND md5(text) IN (SELECT md5(text) FROM documents WHERE source = 'src0')",
     "near_duplicate_pairs_hamming": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS s FROM embeddings),
-        p AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, list_sum(list_transform(list_zip(a.s, b.s), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END))::INT AS distance
-              FROM v a, v b WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1)
-        SELECT * FROM p WHERE distance <= 18""",
+        WITH d AS (SELECT doc_id, ('0x' || substr(md5(source), 1, 16))::UBIGINT AS h, substr(md5(text), 1, 16) AS t, ('0x' || substr(md5(text), 1, 16))::UBIGINT AS f FROM documents),
+        v AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN xor(xor(xor(xor(h, """ + "), ".join(f"CASE WHEN doc_id % 4 >= {k} THEN {_turned(k)} ELSE 0::UBIGINT END" for k in range(4)) + """) ELSE f END AS b FROM d),
+        p AS (SELECT x.doc_id AS id_a, y.doc_id AS id_b, bit_count(xor(x.b, y.b))::INT AS distance FROM v x, v y WHERE x.doc_id % 20 < 10 AND y.doc_id % 20 >= 10)
+        SELECT * FROM p WHERE distance <= 5""",
+    "leaking_list": "SELECT DISTINCT doc_id AS id FROM documents WHERE source <> 'src0' AND md5(text) IN (SELECT md5(text) FROM documents WHERE source = 'src0')",
     "hamming_literals": "SELECT doc_id, CAST(bit_count(xor(('0x' || substr(md5(text), 1, 8))::UBIGINT::HUGEINT, ('0x' || substr(md5(text), 17, 8))::UBIGINT::HUGEINT)) + bit_count(xor(('0x' || substr(md5(text), 9, 8))::UBIGINT::HUGEINT, ('0x' || substr(md5(text), 25, 8))::UBIGINT::HUGEINT)) AS INT) AS distance FROM documents",
 }

@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions.tables import table
+from siftline.plans.storage import fresh_path
 
 TOLERANCE = 1e-9
+# Columns of the result tables.
+PRETRAIN_SCHEMA = "cell_id string, seed long, axes_json string, metric string, metric_value string, status string, elapsed_s double, error string, started_at string, backbone_path string"
 RESULT_SCHEMA = "method string, dataset string, fraction double, seed long, task string, metric string, metric_value double, status string, elapsed_s double, error string, started_at string"
 
 
@@ -106,7 +109,7 @@ def check_grid(config: dict, runners: dict) -> None:
         raise ValueError("fractions lie above 0 and up to 1")
 
 
-def run_cells(spark: SparkSession, cells: DataFrame, runner: Callable[[dict], dict], path: str, keys: list[str], on_error: str = "continue", resume: bool = True) -> DataFrame:
+def run_cells(spark: SparkSession, cells: DataFrame, runner: Callable[[dict], dict], path: str, keys: list[str], on_error: str = "continue", resume: bool = True, schema: str = RESULT_SCHEMA) -> DataFrame:
     """Run the pending cells one after the other and append a result row each.
 
     Cells are the rows of a configuration; each is an outside training run, so the driver's
@@ -115,7 +118,7 @@ def run_cells(spark: SparkSession, cells: DataFrame, runner: Callable[[dict], di
     from siftline.sources.manifest import path_exists
 
     def results():
-        return spark.read.schema(RESULT_SCHEMA).option("header", True).option("nullValue", "").csv(path) if path_exists(spark, path) else spark.createDataFrame([], RESULT_SCHEMA)
+        return spark.read.schema(schema).option("header", True).option("nullValue", "").option("escape", '"').csv(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
     todo = pending(cells, results(), keys) if resume else cells
     for row in todo.orderBy("ordinal").collect():
@@ -128,8 +131,8 @@ def run_cells(spark: SparkSession, cells: DataFrame, runner: Callable[[dict], di
                 raise
             out |= {"status": "failed", "error": f"{type(x).__name__}: {x}"}
         out |= cell | {"elapsed_s": round(time.time() - began, 2), "started_at": started}
-        names = [f.split()[0] for f in RESULT_SCHEMA.split(", ")]
-        spark.createDataFrame([tuple(out.get(n) for n in names)], RESULT_SCHEMA).coalesce(1).write.mode("append").option("header", True).option("nullValue", "").csv(path)
+        names = [f.split()[0] for f in schema.split(", ")]
+        spark.createDataFrame([tuple(out.get(n) for n in names)], schema).coalesce(1).write.mode("append").option("header", True).option("nullValue", "").option("escape", '"').csv(path)
     return results()
 
 
@@ -186,9 +189,71 @@ def q_cell_id(spark, sf_dir):
     return g.select("mode", "size", "seed", axes_json(["mode", "size", "seed"]).alias("axes_json"), cell_id(["mode", "size", "seed"]).alias("cell_id"))
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_grid_expand, q_grid_exclude, q_grid_resume, q_cell_id)}
+def q_grid_exclude_table(spark, sf_dir):
+    """Cells by region and nation against filters as rows, of every set of fields."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.explode(F.array(*map(F.lit, range(8)))).alias("seed"))
+    rules = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 3 > 0, F.col("c_nationkey").cast("int")).alias("n_nationkey"), F.when(F.col("c_custkey") % 3 == 0, (F.col("c_custkey") % 2).cast("int")).alias("n_regionkey"), (F.col("c_custkey") % 5).cast("int").alias("seed"))
+    return exclude_by_table(n, rules)
+
+
+def q_grid_exclude_edges(spark, sf_dir):
+    """Filters without fields, with unknown ones, with lists and near numbers: what each leaves of the grid."""
+    g, out = expand(spark, GRID, [0, 1]), None
+    for k, e in enumerate(([], [{}], [{"nothing": 1}], [{"nothing": 1, "method": "a"}], [{"fraction": 0.1 + 1e-12}], [{"seed": [0, 1], "method": ["a", "b"]}])):
+        part = apply_excludes(g, e).agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_cells_run(spark, sf_dir):
+    """Cells run with failures, run again, and run with the table kept: rows by status and method."""
+    path = fresh_path(spark, "cells")
+    cells = expand(spark, {"method": ["a", "b"], "dataset": ["x", "y"], "fraction": [1.0]}, [0]).withColumn("task", F.lit("t"))
+    keys, tries = ["method", "dataset", "fraction", "seed"], []
+
+    def runner(cell):
+        tries.append(cell["method"])
+        if cell["method"] == "b" and tries.count("b") < 3:
+            raise RuntimeError('no "luck", yet')
+        return {"metric": "m", "metric_value": 0.25 * len(cell["dataset"])}
+
+    run_cells(spark, cells, runner, path, keys)
+    run_cells(spark, cells, runner, path, keys)
+    out = run_cells(spark, cells, runner, path, keys)
+    return out.groupBy("method", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("metric_value"), 6).alias("mean"), F.max("error").alias("error"), F.max((F.col("elapsed_s") == F.round("elapsed_s", 2)).cast("int")).alias("rounded"), F.max(F.col("started_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$").cast("int")).alias("timed"))
+
+
+def q_pretrain_cells_run(spark, sf_dir):
+    """A pretraining grid with its own columns, resumed by cell id."""
+    path, cells = fresh_path(spark, "pretrain"), expand(spark, {"mode": ["none", "both"], "size": [1, 20]}, [0, 1])
+    cells = cells.withColumn("axes_json", axes_json(["mode", "size"])).withColumn("cell_id", cell_id(["mode", "size", "seed"]))
+    runner = lambda cell: {"metric": "final_backbone", "metric_value": f"{cell['cell_id']}.pt", "backbone_path": f"{cell['cell_id']}.pt"}
+    first = run_cells(spark, cells.where("ordinal < 3"), runner, path, ["cell_id"], schema=PRETRAIN_SCHEMA)
+    n = first.count()
+    rows = run_cells(spark, cells, runner, path, ["cell_id"], schema=PRETRAIN_SCHEMA)
+    return rows.select("cell_id", "seed", "axes_json", "metric", "metric_value", "status", "backbone_path", F.lit(n).cast("long").alias("n_first"))
+
+
+def q_cv_cells(spark, sf_dir):
+    """Backbones under any of three keys and bare paths, times folds, as cells."""
+    names = load_methods([{"name": "m1", "ckpt": "a.pt"}, {"name": "m2", "path": "b.pt"}, {"name": "m3", "backbone_ckpt": "c.pt"}])
+    bare = load_methods(["x.pt", "y.pt"])
+    c = cv_matrix(names, [{"name": f"fold_{k}"} for k in range(3)], 0, ("coco",), (0.1, 1.0))
+    cells = expand(spark, {"method": c["methods"], "dataset": c["datasets"], "fraction": c["fractions"]}, c["seeds"])
+    return cells.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("first")).withColumn("bare", F.lit(",".join(b["name"] for b in bare))).withColumn("paths", F.lit(",".join(b["backbone_ckpt"] for b in names)))
+
+
+QUERIES = {f.__name__[2:]: f for f in (q_grid_exclude_table, q_grid_exclude_edges, q_cells_run, q_pretrain_cells_run, q_cv_cells, q_grid_expand, q_grid_exclude, q_grid_resume, q_cell_id)}
 _G = "m(method, mi) AS (VALUES ('a', 0), ('b', 1), ('c', 2)), d(dataset, di) AS (VALUES ('x', 0), ('y', 1)), f(fraction, fi) AS (VALUES (0.01::DOUBLE, 0), (0.1::DOUBLE, 1), (1.0::DOUBLE, 2)), s(seed) AS (VALUES (0), (1))"
 ORACLES = {
+    "grid_exclude_table": """WITH c AS (SELECT n_nationkey, n_regionkey, seed::INT AS seed FROM nation, (SELECT unnest(range(8)) AS seed)),
+        r AS (SELECT CASE WHEN c_custkey % 3 > 0 THEN c_nationkey END AS n, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 2 END AS g, c_custkey % 5 AS s FROM customer)
+        SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE (r.n IS NULL OR r.n = c.n_nationkey) AND (r.g IS NULL OR r.g = c.n_regionkey) AND r.s = c.seed)""",
+    "grid_exclude_edges": "SELECT k::INT AS k, n::BIGINT AS n FROM (VALUES (0, 36), (1, 0), (2, 36), (3, 36), (4, 24), (5, 12)) t(k, n)",
+    "cells_run": "SELECT * FROM (VALUES ('a', 'ok', 2::BIGINT, 0.25::DOUBLE, NULL::VARCHAR, 1, 1), ('b', 'failed', 2, NULL, 'RuntimeError: no \"luck\", yet', 1, 1), ('b', 'ok', 2, 0.25, NULL, 1, 1)) t(method, status, n, mean, error, rounded, timed)",
+    "pretrain_cells_run": """WITH g AS (SELECT seed, '{"mode": "' || mode || '", "size": ' || size || '}' AS axes_json, substr(sha1('{"mode": "' || mode || '", "seed": ' || seed || ', "size": ' || size || '}'), 1, 12) AS cell_id FROM (SELECT unnest(['none', 'both']) AS mode), (SELECT unnest([1, 20]) AS size), (SELECT unnest([0, 1])::BIGINT AS seed))
+        SELECT cell_id, seed, axes_json, 'final_backbone' AS metric, cell_id || '.pt' AS metric_value, 'ok' AS status, cell_id || '.pt' AS backbone_path, 3::BIGINT AS n_first FROM g""",
+    "cv_cells": "SELECT method, 6::BIGINT AS n, k * 6::BIGINT AS first, 'bb_01,bb_02' AS bare, 'a.pt,b.pt,c.pt' AS paths FROM (VALUES ('m1', 0), ('m2', 1), ('m3', 2), ('coco', 3)) t(method, k)",
     "grid_expand": f"WITH {_G} SELECT method, dataset, fraction, seed, (((mi * 2 + di) * 3 + fi) * 2 + seed)::BIGINT AS ordinal FROM m, d, f, s",
     "grid_exclude": f"WITH {_G} SELECT method, dataset, fraction, seed FROM m, d, f, s WHERE NOT (method = 'a' AND abs(fraction - 0.1) < 1e-9) AND NOT (dataset = 'y' AND method IN ('b', 'c') AND seed = 1)",
     "grid_resume": """

@@ -127,6 +127,17 @@ def _round(df, n=6):
     return df.select(*(F.round(F.col(c) + 1e-10, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def _bank(g, k):
+    """What buffers of k vectors a level hold after all of the table."""
+    from siftline.streaming.state import last_k
+
+    return last_k(g, "label", ["id"], k)
+
+
+def q_subsampled_positions(spark, sf_dir):
+    return subsample(_grid(spark, sf_dir).select("img", "id", "cx"), "img", "id", 5, 17)
+
+
 def q_mutual_nn_pairs(spark, sf_dir):
     e = _grid(spark, sf_dir).withColumn("g", F.floor(F.col("id") / 8))
     return _round(mutual_nearest(e, "g", "id", "label", "vec", 0.2))
@@ -149,7 +160,7 @@ def q_nearest_match(spark, sf_dir):
 
 def q_dense_ntxent(spark, sf_dir):
     g = _grid(spark, sf_dir)
-    return _round(dense_loss(g.where("id % 2 = 0"), g.where("id % 2 = 1"), g.where("id < 20").select("vec"), radius=0.15))
+    return _round(dense_loss(g.where("id % 2 = 0"), g.where("id % 2 = 1"), _bank(g, 2).select("vec"), radius=0.15))
 
 
 def q_dense_within_levels(spark, sf_dir):
@@ -159,7 +170,7 @@ def q_dense_within_levels(spark, sf_dir):
 
 def q_dense_across_levels(spark, sf_dir):
     g = _grid(spark, sf_dir)
-    return _round(dense_loss(g.where("id % 2 = 0"), g.where("id % 2 = 1"), g.where("id < 40").select("vec", F.col("label").alias("tag")), radius=0.15, level=4.0, t_scale=2.0))
+    return _round(dense_loss(g.where("id % 2 = 0"), g.where("id % 2 = 1"), _bank(g, 4).select("vec", F.col("label").alias("tag")), radius=0.15, level=4.0, t_scale=2.0))
 
 
 def q_natural_pair_error(spark, sf_dir):
@@ -168,7 +179,7 @@ def q_natural_pair_error(spark, sf_dir):
     return _round(symmetric_pair_error(pairs, e, e.withColumn("vec", F.transform("vec", lambda x: x * 0.5)), "id", "vec"))
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_mutual_nn_pairs, q_mutual_nn_stratified, q_radius_match, q_nearest_match, q_dense_ntxent, q_dense_within_levels, q_dense_across_levels, q_natural_pair_error)}
+QUERIES = {f.__name__[2:]: f for f in (q_subsampled_positions, q_mutual_nn_pairs, q_mutual_nn_stratified, q_radius_match, q_nearest_match, q_dense_ntxent, q_dense_within_levels, q_dense_across_levels, q_natural_pair_error)}
 _G = "g AS (SELECT vec_id // 32 AS img, vec_id AS id, vec_id * 37 % 101 / 101.0::DOUBLE AS cx, vec_id * 53 % 97 / 97.0::DOUBLE AS cy, label, list_transform(embedding, lambda x: x::DOUBLE) AS vec FROM embeddings)"
 _M = _G + ", p AS (SELECT a.id // {n} AS g, a.id AS i, b.id AS j, {s}a.label{e} AS si, {s}b.label{e} AS sj, list_cosine_similarity(a.vec, b.vec) AS sim FROM g a JOIN g b ON a.id // {n} = b.id // {n} AND {s}a.label{e} <> {s}b.label{e})"
 _MU = _M.format(n=8, s="", e="") + ", b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY g, i ORDER BY sim DESC, j) = 1), m AS (SELECT x.g, x.i, x.j, x.sim, x.sj - x.si AS log_r FROM b x JOIN b y ON x.i = y.j AND x.j = y.i WHERE x.i < x.j AND x.sim >= 0.2)"
@@ -189,12 +200,13 @@ def _pair_sql(q: str, k: str, more: str = "") -> str:
 
 
 ORACLES = {
+    "subsampled_positions": f"WITH {_G} SELECT img, id, cx FROM g QUALIFY row_number() OVER (PARTITION BY img ORDER BY sha256('17:' || img || ':' || id)) <= 5",
     "mutual_nn_pairs": f"WITH {_MU} SELECT g, i, j, round(sim + 1e-10, 6) AS sim, log_r FROM m",
     "mutual_nn_stratified": "WITH " + _M.format(n=16, s="(", e=" % 3)") + ", b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY g, i, sj ORDER BY sim DESC, j) = 1) SELECT x.g, x.i, x.j, round(x.sim + 1e-10, 6) AS sim, x.sj - x.si AS log_r FROM b x JOIN b y ON x.i = y.j AND x.j = y.i WHERE x.si < x.sj AND x.sim >= 0.25",
     "radius_match": f"WITH {_G}, {_RJ} SELECT img, q, k, round(dist + 1e-10, 6) AS dist FROM r WHERE dist <= 0.15",
     "nearest_match": f"WITH {_G}, {_RJ} SELECT img, q, k, round(dist + 1e-10, 6) AS dist FROM r WHERE dist <= 0.15 QUALIFY row_number() OVER (PARTITION BY q ORDER BY dist, k) = 1",
-    "dense_ntxent": _dense_sql(f"i AS ({_pair_sql('a.id % 2 = 0', 'b.id % 2 = 1')}), s AS (SELECT q, k, dist <= 0.15 AS pos, sim, 1.0::DOUBLE AS wt, 'in' AS part FROM i UNION ALL SELECT a.id, NULL, false, list_cosine_similarity(a.vec, b.vec), 1.0, 'queue' FROM g a JOIN g b ON a.id % 2 = 0 AND b.id < 20)"),
+    "dense_ntxent": _dense_sql(f"i AS ({_pair_sql('a.id % 2 = 0', 'b.id % 2 = 1')}), s AS (SELECT q, k, dist <= 0.15 AS pos, sim, 1.0::DOUBLE AS wt, 'in' AS part FROM i UNION ALL SELECT a.id, NULL, false, list_cosine_similarity(a.vec, b.vec), 1.0, 'queue' FROM g a JOIN (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY label ORDER BY id DESC) <= 2) b ON a.id % 2 = 0)"),
     "dense_within_levels": _dense_sql(f"i AS ({_pair_sql('a.id % 4 = 0', 'b.id % 4 = 1')}), o AS ({_pair_sql('a.id % 4 = 0', 'b.id % 4 > 1')}), s AS (SELECT q, k, dist <= 0.15 AS pos, sim, 1.0::DOUBLE AS wt, 'in' AS part FROM i UNION ALL SELECT q, NULL, false, sim, 1.0, 'other' FROM o WHERE dist > 0.15)"),
-    "dense_across_levels": _dense_sql(f"i AS ({_pair_sql('a.id % 2 = 0', 'b.id % 2 = 1')}), s AS (SELECT q, k, dist <= 0.15 AS pos, sim, 1.0::DOUBLE AS wt, 'in' AS part FROM i UNION ALL SELECT a.id, NULL, false, list_cosine_similarity(a.vec, b.vec), exp(-abs(4 - b.label) / 2.0::DOUBLE), 'queue' FROM g a JOIN g b ON a.id % 2 = 0 AND b.id < 40)"),
+    "dense_across_levels": _dense_sql(f"i AS ({_pair_sql('a.id % 2 = 0', 'b.id % 2 = 1')}), s AS (SELECT q, k, dist <= 0.15 AS pos, sim, 1.0::DOUBLE AS wt, 'in' AS part FROM i UNION ALL SELECT a.id, NULL, false, list_cosine_similarity(a.vec, b.vec), exp(-abs(4 - b.label) / 2.0::DOUBLE), 'queue' FROM g a JOIN (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY label ORDER BY id DESC) <= 4) b ON a.id % 2 = 0)"),
     "natural_pair_error": f"WITH {_MU}, e AS (SELECT (list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] - z[2] * 0.5::DOUBLE) ** 2)) + list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[2] - z[1] * 0.5::DOUBLE) ** 2))) / 128 AS e FROM m JOIN g a ON a.id = m.i JOIN g b ON b.id = m.j) SELECT round(coalesce(avg(e), 0) + 1e-10, 6) AS loss, count(*) AS n_pairs FROM e",
 }

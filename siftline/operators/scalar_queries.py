@@ -40,7 +40,13 @@ def q_label_path_swap(spark, sf_dir):
 def q_parsed_settings(spark, sf_dir):
     """Lists, flags and numbers parsed from text columns, with defaults for what doesn't parse."""
     e = table(spark, sf_dir, "events").select("event_id", F.concat_ws(",", F.round("value", 2).cast("string"), F.lit(" 1.5 "), F.when(F.col("event_id") % 3 == 0, F.lit("x"))).alias("list"), "event_type", F.when(F.col("event_id") % 5 > 0, F.when(F.col("event_id") % 2 == 0, " Yes ").otherwise("off")).alias("flag"))
-    return e.select("event_id", F.size(S.csv_floats(F.col("list"), [0.1, 0.2, 0.3, 0.4])).alias("n"), F.round(S.csv_floats(F.col("list"), [0.1, 0.2, 0.3, 0.4])[0], 6).alias("first"), S.truthy(F.col("flag"), True).alias("flag"), S.bounded_number(F.col("event_type"), 7, 1).alias("number"), S.safe_scalar(F.get(F.split("list", ","), F.lit(2))).alias("scalar"))
+    return e.select("event_id", F.size(S.csv_floats(F.col("list"), [0.1, 0.2, 0.3, 0.4])).alias("n"), F.round(S.csv_floats(F.col("list"), [0.1, 0.2, 0.3, 0.4])[0], 6).alias("first"), S.truthy(F.col("flag"), True).alias("flag"), S.bounded_number(F.when(F.col("event_id") % 4 == 0, F.col("event_type")).otherwise((F.col("event_id") % 9 - 4).cast("string")), 7, 1).alias("number"), S.safe_scalar(F.when(F.col("event_id") % 3 == 0, F.lit("x")).otherwise(F.col("event_id").cast("string"))).alias("scalar"))
+
+
+def q_class_names(spark, sf_dir):
+    """Names from maps with integer-like keys, in the order of the keys."""
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), F.concat(F.lit(" "), "n_name")))).alias("m"))
+    return n.select("n_regionkey", F.array_join(S.ordered_names(F.col("m")), ",").alias("names"))
 
 
 def q_json_props(spark, sf_dir):
@@ -60,7 +66,7 @@ def q_l2_normalised(spark, sf_dir):
     return u.select("vec_id", F.round(F.col("u")[0], 7).alias("first"), F.round(F.col("u")[63], 7).alias("last"))
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_derived_seed, q_auto_names, q_url_filter, q_path_resolution, q_label_path_swap, q_parsed_settings, q_json_props, q_learning_rate_schedule, q_l2_normalised)}
+QUERIES = {f.__name__[2:]: f for f in (q_derived_seed, q_auto_names, q_url_filter, q_path_resolution, q_label_path_swap, q_parsed_settings, q_class_names, q_json_props, q_learning_rate_schedule, q_l2_normalised)}
 _P = "WITH d AS (SELECT doc_id, '../../sets/images/' || source || '/images/../images/' || lang || '_' || doc_id || '.tar.jpg' AS p, source, lang FROM documents)"
 ORACLES = {
     "derived_seed": "SELECT DISTINCT source, ('0x' || substr(sha256('42:' || source), 1, 8))::BIGINT AS seed FROM documents",
@@ -70,7 +76,8 @@ ORACLES = {
     "label_path_swap": _P + "SELECT doc_id, '../../sets/images/' || source || '/images/../labels/' || lang || '_' || doc_id || '.tar.txt' AS beside, '/lab/' || lang || '_' || doc_id || '.tar.txt' AS in_folder FROM d",
     "parsed_settings": """
         SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 4 ELSE 2 END AS n, CASE WHEN event_id % 3 = 0 THEN 0.1 ELSE round(value, 2) END AS first,
-               CASE WHEN event_id % 5 = 0 THEN true ELSE event_id % 2 = 0 END AS flag, 7.0::DOUBLE AS number, 0.0::DOUBLE AS scalar FROM events""",
+               CASE WHEN event_id % 5 = 0 THEN true ELSE event_id % 2 = 0 END AS flag, CASE WHEN event_id % 4 = 0 THEN 7 ELSE greatest(1, event_id % 9 - 4) END::DOUBLE AS number, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id END::DOUBLE AS scalar FROM events""",
+    "class_names": "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY 1",
     "json_props": "SELECT event_type, count(*) AS n, count(json_extract_string(props, '$.k')) AS n_k, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_at FROM events GROUP BY 1",
     "learning_rate_schedule": "SELECT event_id, round(CASE WHEN event_id < 100 THEN event_id / 100.0::DOUBLE ELSE (1 + cos(pi() * (event_id - 100) / greatest(1, (SELECT count(*) FROM events) - 100))) / 2 END, 9) AS factor FROM events",
     "l2_normalised": """

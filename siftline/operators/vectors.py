@@ -275,13 +275,48 @@ def q_pooled_features(spark, sf_dir):
     return p.select("label", F.round(norm(F.col("vec")), 6).alias("length"), F.round(F.col("vec")[5], 6).alias("x5"))
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_ntxent_loss, q_infonce_moco, q_vicreg_statistics, q_cosine_disagreement, q_cwd_kl, q_consensus_loss, q_consensus_gate, q_film_transform, q_candidate_infonce, q_level_weighted_loss, q_pooled_features)}
+def q_channels(spark, sf_dir):
+    d = _vecs(spark, sf_dir).select((F.col("label") % 3).cast("string").alias("level"), F.slice("v", F.lit(1), (F.col("label") % 3 + 1) * 16).alias("v"))
+    return channels(d, "level", "v")
+
+
+def q_linear_probe(spark, sf_dir):
+    """A probe on pooled pairs whose classes a plane divides: every row is told right."""
+    d = _vecs(spark, sf_dir).select("vec_id", F.when(F.col("v")[0] > 0, 1).otherwise(0).alias("cls"), F.transform("v", lambda x, i: F.when(i == 0, F.when(x > 0, x + 1).otherwise(x - 1)).otherwise(x)).alias("v"))
+    from pyspark.ml.functions import array_to_vector
+
+    model = linear_probe(d, "v", "cls", 30)
+    told = model.transform(d.select("vec_id", "cls", array_to_vector("v").alias("features")))
+    return told.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("prediction") == F.col("cls")).cast("long")).alias("n_right"))
+
+
+def q_matching_weights(spark, sf_dir):
+    """Weights of a checkpoint that a model has: labels are layers, shapes differ on purpose in some; first layers alone, and frozen ones."""
+    from siftline.sources.discovery import frozen_flags, matching_weights
+
+    keyed = _vecs(spark, sf_dir).select(F.concat(F.lit("model."), "label", F.lit(".w"), "vec_id").alias("key"), F.array(F.lit(8), F.when(F.col("vec_id") % 5 == 0, 4).otherwise(8)).alias("shape"), "v", "label")
+    model = keyed.select("key", F.array(F.lit(8), F.lit(8)).alias("shape")).unionByName(spark.createDataFrame([("head.w", [8, 8])], "key string, shape array<int>"))
+    hit, first = matching_weights(keyed.select("key", "shape", "v"), model), matching_weights(keyed.select("key", "shape", "v"), model, 4)
+    frozen = frozen_flags(model, 4)
+    out = None
+    for name, d in (("all", hit), ("first", first), ("frozen", frozen.where("frozen")), ("free", frozen.where("NOT frozen"))):
+        part = d.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+QUERIES = {f.__name__[2:]: f for f in (q_channels, q_linear_probe, q_matching_weights, q_ntxent_loss, q_infonce_moco, q_vicreg_statistics, q_cosine_disagreement, q_cwd_kl, q_consensus_loss, q_consensus_gate, q_film_transform, q_candidate_infonce, q_level_weighted_loss, q_pooled_features)}
 _V = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)"
 _B = _V + ", u AS (SELECT vec_id // 32 AS batch, vec_id // 2 % 16 AS pos, vec_id % 2 AS view, vec_id, list_transform(v, lambda x: x / n) AS u FROM v)"
 _P = _V + ", p AS (SELECT a.vec_id // 2 AS pair, a.v AS a, b.v AS b, a.n AS na, b.n AS nb, least(a.label, b.label) AS label, list_dot_product(a.v, b.v) AS ab FROM v a JOIN v b ON a.vec_id + 1 = b.vec_id AND a.vec_id % 2 = 0)"
 _KL = "16 * list_sum(list_transform(list_zip({t}, {s}), lambda z: exp(z[1] / 4) / {zt} * ((z[1] / 4 - ln({zt})) - (z[2] / 4 - ln({zs})))))"
 _Z = "list_sum(list_transform({x}, lambda e: exp(e / 4)))"
 ORACLES = {
+    "channels": "SELECT CAST(label % 3 AS VARCHAR) AS level, max((label % 3 + 1) * 16)::INT AS channels FROM embeddings GROUP BY 1",
+    "linear_probe": "SELECT CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END AS cls, count(*) AS n, count(*) AS n_right FROM embeddings GROUP BY 1",
+    "matching_weights": """WITH k AS (SELECT 'model.' || label || '.w' || vec_id AS key, label, vec_id FROM embeddings),
+        p AS (SELECT 'all' AS part, key FROM k WHERE vec_id % 5 > 0 UNION ALL SELECT 'first', key FROM k WHERE vec_id % 5 > 0 AND label < 4 UNION ALL SELECT 'frozen', key FROM k WHERE label < 4 UNION ALL SELECT 'free', key FROM k WHERE label >= 4 UNION ALL SELECT 'free', 'head.w')
+        SELECT part, count(*) AS n, min(key) AS least FROM p GROUP BY 1""",
     "ntxent_loss": f"""WITH {_B}, s AS (SELECT x.batch, x.vec_id, x.pos = y.pos AS same, list_dot_product(x.u, y.u) / 0.2 AS l FROM u x JOIN u y ON x.batch = y.batch AND x.vec_id <> y.vec_id),
         r AS (SELECT batch, vec_id, ln(sum(exp(l))) - max(CASE WHEN same THEN l END) AS loss FROM s GROUP BY 1, 2), k AS (SELECT batch, count(DISTINCT pos) AS n FROM u GROUP BY 1)
         SELECT batch, n, round(CASE WHEN n < 2 THEN 0 ELSE avg(loss) END, 6) AS loss FROM k LEFT JOIN r USING (batch) GROUP BY 1, 2""",

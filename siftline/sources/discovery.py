@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.scalars import auto_name, is_url
 from siftline.functions.tables import table
+from siftline.plans.storage import fresh_path
 from siftline.sources.manifest import path_exists
 
 # Suffixes by use; they differ on purpose.
@@ -172,6 +173,20 @@ def build_logger(spark: SparkSession, backend: str, run: str, path: str) -> Logg
     return Logger(spark, run, [s for b in backend.split("+") if (s := sinks[b]) is not None])
 
 
+# The columns of a step log.
+STEP_LOG = "step long, epoch long, iter_tag string, iter_a string, iter_b string, source string, det_loss double, cl_loss double, rot_loss double, total_loss double, lambda_cl double, lambda_rot double, temp double, tap_layer string, two_view int, aug_preset string, rot_acc double, pretext string"
+
+
+def write_steps(rows: DataFrame, path: str) -> None:
+    """Append steps; columns that a run doesn't have are null."""
+    columns = [c.split() for c in STEP_LOG.split(", ")]
+    rows.select(*((F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in columns)).write.mode("append").option("header", True).csv(path)
+
+
+def read_steps(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STEP_LOG).option("header", True).csv(path)
+
+
 def leakage_main(argv: list[str], spark: SparkSession) -> str:
     """Command line of the leakage report: pool table, downstream table (name, key), key column -> JSON lines."""
     from siftline.operators.dedup import leakage_report
@@ -189,7 +204,8 @@ def q_discover_mode(spark, sf_dir):
 
 def q_first_dataset_wins(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    m = build_manifest({"a": d.where("doc_id % 2 = 0").select(F.md5("text").alias("path")), "b": d.where("doc_id % 3 = 0").select(F.md5("text").alias("path"))})
+    sets = {f"lang-{x}": d.where(F.col("lang") == x) for x in ("en", "fr")} | {"named": d.where("source IS NOT NULL"), "rest": d}
+    m = build_manifest({k: v.select(F.md5("text").alias("path")) for k, v in sets.items()})
     return m.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -203,11 +219,70 @@ def q_metric_pivot(spark, sf_dir):
     return wide_log(e, ["click", "view"])
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_discover_mode, q_first_dataset_wins, q_consolidated_names, q_metric_pivot)}
+def q_run_log(spark, sf_dir):
+    """One run told to three sinks, with a step that is given and ones that count on."""
+    path, rows = fresh_path(spark, "log"), []
+    log = Logger(spark, "r", [f"{path}/p", lambda d: d.coalesce(1).write.mode("append").option("header", True).csv(f"{path}/c"), lambda d: rows.extend(d.collect())])
+    log.log({"loss": 1.5})
+    log.log({"acc": 0.5}, 7)
+    log.log({"loss": 1.0})
+    parts = {"parquet": spark.read.parquet(f"{path}/p"), "csv": spark.read.schema("run string, step long, key string, value double").option("header", True).csv(f"{path}/c"), "call": spark.createDataFrame(rows, "run string, step long, key string, value double")}
+    out = None
+    for name, d in parts.items():
+        part = d.select(F.lit(name).alias("sink"), "step", "key", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_step_table(spark, sf_dir):
+    """The eighteen columns of a step log, written by parts and read with their header."""
+    path = fresh_path(spark, "steps")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), (F.col("event_id") % 7).alias("epoch"), F.col("value").alias("det_loss"), F.col("event_type").alias("pretext"))
+    for k in range(2):
+        write_steps(e.where(F.col("step") % 2 == k), path)
+    d = read_steps(spark, path)
+    return d.groupBy("epoch").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("det_loss") + 1e-9, 4).alias("total")).withColumn("n_columns", F.lit(len(d.columns)).cast("long"))
+
+
+def q_run_modes(spark, sf_dir):
+    """Runs over folders with labelled data, unlabelled data and both; unknown settings are left out."""
+    from siftline.sources.pool import put_files
+
+    path, rows = fresh_path(spark, "modes"), []
+    put_files(spark.createDataFrame([(f"{path}/l/a.jpg", b"x"), (f"{path}/u/b.png", b"x")], "path string, data binary")).count()
+    steps = {"pretrain": lambda c: "pre", "finetune": lambda c, p: f"fine:{p}"}
+    for run, settings in (("both", {"labelled": f"{path}/l", "unlabelled": f"{path}/u"}), ("labelled", {"labelled": f"{path}/l"}), ("unlabelled", {"unlabelled": f"{path}/u", "labelled": f"{path}/none"})):
+        info = auto_train(spark, steps, **settings, epochs=3, nothing=1)
+        rows.append((run, info["mode"], info.get("pretrain"), info.get("finetune"), PipelineConfig.from_dict({"epochs": 3, "nothing": 1}).epochs))
+    return spark.createDataFrame(rows, "run string, mode string, pretrain string, finetune string, epochs long")
+
+
+def q_leakage_command(spark, sf_dir):
+    """The report's command line over two stored tables: its JSON lines read again."""
+    d, path = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.md5("text").alias("h"), "lang", "source"), fresh_path(spark, "leakage")
+    d.where("source <> 'src0'").select("id", "h").write.parquet(f"{path}/pool")
+    d.where("source = 'src0'").select(F.col("lang").alias("name"), "h").write.parquet(f"{path}/down")
+    rows = [json.loads(x) for x in leakage_main([f"{path}/pool", f"{path}/down", "h"], spark).splitlines()]
+    return spark.createDataFrame([(r["name"], r["n_rows"]) for r in rows], "name string, n_rows long")
+
+
+def q_named_backbones(spark, sf_dir):
+    """A list of bare urls with comments and blank lines, as a text file."""
+    path = fresh_path(spark, "list")
+    spark.createDataFrame([("# all of them",), ("",), ("http://h/a  # first",), ("  https://h/b?x=1",)], "value string").coalesce(1).write.text(path)
+    return load_sources(spark.read.text(path))
+
+
+QUERIES = {f.__name__[2:]: f for f in (q_run_log, q_step_table, q_run_modes, q_leakage_command, q_named_backbones, q_discover_mode, q_first_dataset_wins, q_consolidated_names, q_metric_pivot)}
 ORACLES = {
     "discover_mode": """WITH n AS (SELECT source, count(quality) AS n_labelled, sum((quality IS NULL)::INT)::BIGINT AS n_unlabelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
         SELECT *, CASE WHEN n_labelled > 20 AND n_unlabelled > 28 THEN 'ssl_finetune' WHEN n_labelled > 20 THEN 'detection' WHEN n_unlabelled > 28 THEN 'ssl_only' END AS mode FROM n""",
-    "first_dataset_wins": "WITH p AS (SELECT md5(text) AS path, min(CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END) AS dataset FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 GROUP BY 1) SELECT dataset, count(*) AS n FROM p GROUP BY 1",
+    "first_dataset_wins": "WITH p AS (SELECT md5(text) AS path, min(CASE WHEN lang = 'en' THEN 0 WHEN lang = 'fr' THEN 1 WHEN source IS NOT NULL THEN 2 ELSE 3 END) AS k FROM documents GROUP BY 1) SELECT ['lang-en', 'lang-fr', 'named', 'rest'][k + 1] AS dataset, count(*) AS n FROM p GROUP BY 1",
+    "run_log": "SELECT * FROM (VALUES ('parquet', 0::BIGINT, 'loss', 1.5::DOUBLE), ('parquet', 7, 'acc', 0.5), ('parquet', 8, 'loss', 1.0), ('csv', 0, 'loss', 1.5), ('csv', 7, 'acc', 0.5), ('csv', 8, 'loss', 1.0), ('call', 0, 'loss', 1.5), ('call', 7, 'acc', 0.5), ('call', 8, 'loss', 1.0)) t(sink, step, key, value)",
+    "step_table": "SELECT event_id % 7 AS epoch, count(*) AS n, round(sum(value) + 1e-9, 4) AS total, 18::BIGINT AS n_columns FROM events GROUP BY 1",
+    "run_modes": "SELECT * FROM (VALUES ('both', 'ssl_finetune', 'pre', 'fine:pre', 3::BIGINT), ('labelled', 'detection', NULL, 'fine:None', 3), ('unlabelled', 'ssl_only', 'pre', NULL, 3)) t(run, mode, pretrain, finetune, epochs)",
+    "leakage_command": """WITH p AS (SELECT md5(text) AS h FROM documents WHERE source <> 'src0'), d AS (SELECT lang AS name, md5(text) AS h FROM documents WHERE source = 'src0') SELECT name, count(*) AS n_rows FROM d GROUP BY 1 UNION ALL SELECT '*', count(*) FROM d""",
+    "named_backbones": "SELECT * FROM (VALUES (1, 'ds_01', 'http://h/a'), (2, 'ds_02', 'https://h/b?x=1')) t(ordinal, name, url)",
     "consolidated_names": """WITH f AS (SELECT DISTINCT source, ['train', 'valid', 'test'][(doc_id // 20) % 3 + 1] AS split, 'img.v1_' || doc_id // 60 || '.jpg' AS file FROM documents),
         k AS (SELECT *, row_number() OVER (PARTITION BY source, file ORDER BY list_position(['train', 'valid', 'val', 'test'], split)) - 1 AS k FROM f)
         SELECT source, split, file, CASE WHEN k = 0 THEN file ELSE replace(file, '.jpg', '') || '_dup' || k || '.jpg' END AS name FROM k""",

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from siftline.functions.tables import table
+from siftline.plans.storage import fresh_path
 
 MANIFEST = StructType([StructField(n, IntegerType() if n.endswith(("_h", "_w")) else StringType()) for n in "image_id dataset original_split materialized_path original_h original_w materialized_h materialized_w image_hash original_filename".split()])
 SIDECAR = StructType([StructField("image_id", StringType()), StructField("phash", StringType())])
@@ -33,6 +35,14 @@ def read_hashes(spark: SparkSession, path: str) -> DataFrame:
     return read_or_empty(spark, path, SIDECAR)
 
 
+def latest_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """image_id -> phash of a sidecar; of rows of one id the last written one counts."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], SIDECAR)
+    rows = spark.read.schema(SIDECAR).parquet(path).select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index").alias("__at"))
+    return rows.groupBy("image_id").agg(F.max_by("phash", "__at").alias("phash"))
+
+
 def conform(df: DataFrame, schema: StructType = MANIFEST) -> DataFrame:
     """The schema's columns in its order and types; a missing one is an error, extra ones are dropped."""
     if missing := [n for n in schema.names if n not in df.columns]:
@@ -131,9 +141,28 @@ def q_resume_pending(spark, sf_dir):
     return m.join(m.where(F.col("original_filename").cast("long") % 3 > 0).select("image_id"), "image_id", "left_anti").select("image_id", "image_hash")
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_manifest_projection, q_manifest_append_idempotent, q_resume_pending)}
+def q_manifest_read_back(spark, sf_dir):
+    """Written, appended to twice and read: a missing table is empty, a second append adds nothing."""
+    m, path = _manifest(spark, sf_dir), fresh_path(spark, "manifest")
+    empty = read_manifest(spark, path).count()
+    write_manifest(m.where("original_filename LIKE '%1'"), path)
+    added = [append_rows(spark, path, m) for _ in range(2)]
+    return read_manifest(spark, path).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.min("image_hash").alias("least"), F.sum("original_w").alias("width")).select("*", *(F.lit(v).cast("long").alias(c) for c, v in (("n_empty", empty), ("added", added[0]), ("again", added[1]))))
+
+
+def q_hashes_last_wins(spark, sf_dir):
+    d, path = table(spark, sf_dir, "documents").select(F.col("source").alias("image_id"), F.md5("text").alias("phash"), "doc_id"), fresh_path(spark, "hashes")
+    for k in range(3):
+        d.where(F.col("doc_id") % 3 == k).orderBy("doc_id").select("image_id", "phash").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)  # files are told apart by their times
+    return latest_hashes(spark, path)
+
+
+QUERIES = {f.__name__[2:]: f for f in (q_manifest_read_back, q_hashes_last_wins, q_manifest_projection, q_manifest_append_idempotent, q_resume_pending)}
 _ID = "source || '/' || lang || '/img_' || lpad(CAST(doc_id AS VARCHAR), 6, '0')"
 ORACLES = {
+    "manifest_read_back": "SELECT source AS dataset, count(*) AS n, min(sha256(text)) AS least, count(*) * 1920 AS width, 0::BIGINT AS n_empty, (SELECT count(*) FROM documents WHERE doc_id % 10 <> 1) AS added, 0::BIGINT AS again FROM documents GROUP BY 1",
+    "hashes_last_wins": "SELECT source AS image_id, md5(arg_max(text, doc_id % 3 * 1000000000 + doc_id)) AS phash FROM documents GROUP BY 1",
     "manifest_projection": f"""SELECT {_ID} AS image_id, source AS dataset, lang AS original_split, '/pool/' || doc_id || '.jpg' AS materialized_path, 1080 AS original_h, 1920 AS original_w,
         360 AS materialized_h, 640 AS materialized_w, sha256(text) AS image_hash, CAST(doc_id AS VARCHAR) AS original_filename FROM documents""",
     "manifest_append_idempotent": "SELECT source AS dataset, count(*) AS n, count(*) AS n_ids FROM documents GROUP BY 1",

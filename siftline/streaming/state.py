@@ -142,8 +142,8 @@ def q_fifo_last_k_stream(spark, sf_dir):
 
 def q_combined_queues(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", "event_id")
-    qs = {t: last_k(e.where(F.col("event_type") == t), "event_type", ["event_id"], 7) for t in ("click", "view", "purchase")}
-    return combine_queues(qs)
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]
+    return combine_queues({t: last_k(e.where(F.col("event_type") == t), "event_type", ["event_id"], 7) for t in kinds})
 
 
 def q_ema_fold(spark, sf_dir):
@@ -167,22 +167,60 @@ def q_auto_steps(spark, sf_dir):
 
 def q_queue_feeders(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("batch"), (F.col("vec_id") % 50).alias("pos"), "embedding")
-    parts = [queue_rows(v, "batch", "pos", "embedding", 64, s, 16).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("embedding")[0].cast("double")), 5).alias("x")).select("batch", F.lit(s).alias("strategy"), "n", "x") for s in ("pooled", "per_position", "subsample")]
+    parts = [queue_rows(v, "batch", "pos", "embedding", 64, s, 16).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)) + 1e-9, 5).alias("x")).select("batch", F.lit(s).alias("strategy"), "n", "x") for s in ("pooled", "per_position", "subsample")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_fifo_last_k, q_fifo_last_k_stream, q_combined_queues, q_ema_fold, q_ema_fold_stream, q_once_per_step, q_auto_steps, q_queue_feeders)}
+def q_momentum_update(spark, sf_dir):
+    """One step of a momentum encoder over whole weight arrays."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    t = e.withColumn("t", ema_update(F.transform("x", lambda v: v * 2), F.col("x"), 0.99))
+    return t.select("vec_id", F.round(F.aggregate(F.transform("t", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v) + 1e-9, 6).alias("total"))
+
+
+def q_restarted_stream(spark, sf_dir):
+    """A stream over two files, stopped after the first and started again from its checkpoint: state and counts go on."""
+    folder, out, checkpoint = (fresh_path(spark, x) for x in ("in", "out", "checkpoint"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    for k in range(2):
+        e.where(F.col("event_id") % 2 == k).coalesce(1).write.mode("append").parquet(folder)
+        rows = spark.readStream.schema(e.schema).parquet(folder)
+        ema_stream(rows, "user_id", "event_id", "value", 0.9).writeStream.outputMode("update").foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    newest = spark.read.parquet(out).groupBy("user_id").agg(F.max_by(F.struct("n", "ema"), "batch").alias("x"), F.max("batch").alias("last_batch"))
+    return newest.select("user_id", "x.n", F.round(F.col("x.ema") + 1e-10, 6).alias("ema"))
+
+
+def q_fanned_out_stream(spark, sf_dir):
+    """One stream to two sinks, both of which get every row once."""
+    a, b, checkpoint = (fresh_path(spark, x) for x in ("a", "b", "checkpoint"))
+    rows = event_stream(spark, sf_dir).select("event_id", "event_type")
+    fan_out(rows, [lambda d, n: d.write.mode("append").parquet(a), lambda d, n: d.groupBy("event_type").count().write.mode("append").parquet(b)], checkpoint).awaitTermination()
+    left = spark.read.parquet(a).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("n_ids"))
+    return left.join(spark.read.parquet(b).groupBy("event_type").agg(F.sum("count").alias("n_other")), "event_type")
+
+
+def q_once_per_step_stream(spark, sf_dir):
+    """The step guard on a stream with a watermark."""
+    rows = event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 100).alias("step"), "event_type").withWatermark("ts", "1000 days")
+    return drain(once_per_step(rows, "step", "event_type"), "append").select("step", "event_type")
+
+
+QUERIES = {f.__name__[2:]: f for f in (q_momentum_update, q_restarted_stream, q_fanned_out_stream, q_once_per_step_stream, q_fifo_last_k, q_fifo_last_k_stream, q_combined_queues, q_ema_fold, q_ema_fold_stream, q_once_per_step, q_auto_steps, q_queue_feeders)}
 _EMA = "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS e FROM events WHERE value IS NOT NULL) SELECT user_id, count(*) AS n, round(sum(0.9::DOUBLE ** e * (CASE WHEN f = 1 THEN 1.0 ELSE 0.1 END)::DOUBLE * value) + 1e-10, 6) AS ema FROM r GROUP BY 1"
 ORACLES = {
+    "momentum_update": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: (x::DOUBLE * 2 * 0.99::DOUBLE + x::DOUBLE * 0.01::DOUBLE) * i)) + 1e-9, 6) AS total FROM embeddings",
+    "restarted_stream": _EMA.replace("ORDER BY event_id)", "ORDER BY event_id % 2, event_id)").replace("ORDER BY event_id DESC)", "ORDER BY event_id % 2 DESC, event_id DESC)"),
+    "fanned_out_stream": "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS n_ids, count(*)::BIGINT AS n_other FROM events GROUP BY 1",
+    "once_per_step_stream": "SELECT DISTINCT event_id % 100 AS step, event_type FROM events",
     "fifo_last_k": "SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5",
     "fifo_last_k_stream": "WITH k AS (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id) AS n FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5) SELECT user_id, max(n) AS n_seen, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS places FROM k GROUP BY 1",
-    "combined_queues": "SELECT event_type, event_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END::INT AS tag FROM events WHERE event_type IN ('click', 'view', 'purchase') QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 7",
+    "combined_queues": "SELECT event_type, event_id, (dense_rank() OVER (ORDER BY event_type) - 1)::INT AS tag FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 7",
     "ema_fold": _EMA,
     "ema_fold_stream": _EMA,
     "once_per_step": "SELECT DISTINCT event_id % 100 AS step, event_type FROM events",
     "auto_steps": "SELECT user_id, event_id, CASE WHEN event_id % 4 = 0 THEN event_id ELSE row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 END AS step FROM events",
     "queue_feeders": """
-        WITH v AS (SELECT vec_id // 50 AS batch, vec_id % 50 AS pos, embedding[1]::DOUBLE AS x FROM embeddings),
+        WITH v AS (SELECT vec_id // 50 AS batch, vec_id % 50 AS pos, list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * i)) AS x FROM embeddings),
         s AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY batch ORDER BY sha256('0:' || batch || ':' || pos)) <= 16)
-        SELECT batch, 'pooled' AS strategy, 1::BIGINT AS n, round(avg(x), 5) AS x FROM v GROUP BY 1 UNION ALL SELECT batch, 'per_position', count(*), round(sum(x), 5) FROM v GROUP BY 1 UNION ALL SELECT batch, 'subsample', count(*), round(sum(x), 5) FROM s GROUP BY 1""",
+        SELECT batch, 'pooled' AS strategy, 1::BIGINT AS n, round(avg(x) + 1e-9, 5) AS x FROM v GROUP BY 1 UNION ALL SELECT batch, 'per_position', count(*), round(sum(x) + 1e-9, 5) FROM v GROUP BY 1 UNION ALL SELECT batch, 'subsample', count(*), round(sum(x) + 1e-9, 5) FROM s GROUP BY 1""",
 }

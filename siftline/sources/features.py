@@ -13,14 +13,14 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from siftline.functions.tables import table
 from siftline.plans.storage import fresh_path
 from siftline.sources.discovery import DataError
 from siftline.sources.manifest import metadata_sidecar, read_or_empty
 
-STORED = StructType.fromDDL("image_id string, level string, data binary")
+STORED = StructType([StructField("image_id", StringType()), StructField("level", StringType()), StructField("data", BinaryType())])
 #: Largest number of half precision; larger ones become it.
 LARGEST = 65504.0
 

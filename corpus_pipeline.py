@@ -1,7 +1,12 @@
 """From raw documents to packed training sequences, each stage over all that the last one kept.
 
-Near-duplicates are taken by exact five-word shingle similarity here; the other stages have the parameters of
-their queries. Every stage's result is written to the shared folder and read again.
+Near-duplicates are taken by exact five-word shingle similarity, with SimHash tiles as the comparison; the
+other stages have the parameters of their queries. Every stage's result is written to the shared folder
+and read again.
+
+Odd rows: every stage takes null texts, languages, sources and ids, repeated rows, empty tables and extra
+columns of any name, and returns the columns it got (the last one its pieces). What becomes of such rows
+is said at each stage.
 """
 
 from __future__ import annotations
@@ -18,27 +23,43 @@ def _tokenizer() -> str:
 
 
 def quality_classifier(spark, docs, sf_dir):
-    """Drops the documents that importance resampling doesn't draw."""
+    """Drops the documents that importance resampling doesn't draw.
+
+    A null or wordless text has weight 0 and is drawn or not by its noise; rows that share id and text go
+    together; without labels every weight is 0 and all rows stay.
+    """
     return importance.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def rules(spark, docs, sf_dir):
-    """Drops the documents that fail the base rules or stray from their language's histograms."""
+    """Drops the documents that fail the base rules or stray from their language's histograms.
+
+    Null and short texts fail the base rules; a null or unknown language is judged by characters only;
+    repeated rows get one verdict.
+    """
     return quality_rules.keep_good(docs)
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Keeps one document of each component of five-word shingle similarity from 0.8."""
+    """Keeps one document of each component of five-word shingle similarity from 0.8, that with the smallest id.
+
+    Null and wordless texts are one component; rows with a null id stay only where no other row of their
+    component has an id; of repeated rows one stays.
+    """
     return shingles.keep_one(docs)
 
 
 def mix_sources(spark, docs, sf_dir):
-    """Repeats or leaves out documents, so that each source meets its target."""
+    """Repeats or leaves out documents, so that each source meets its target.
+
+    Null sources are one source, last in order; documents without words weigh nothing; rows that share id
+    and text share their copies out.
+    """
     return mixing.apply(docs)
 
 
 def pack_windows(spark, docs, sf_dir):
-    """Packs what is left into windows of 1024 tokens."""
+    """Packs what is left into windows of 1024 tokens; a null text is its end token alone, each copy a document of its own."""
     return packing.pack(docs, _tokenizer(), "leads", end_id=0, size=1024, max_chunks=120_000)  # its workers also hold the other stages' modules
 
 

@@ -463,6 +463,80 @@ def test_pipeline_stages(spark):
     assert all(zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in rows)
 
 
+def test_pipeline_stages_on_odd_and_empty_tables(spark, tmp_path):
+    """Nulls anywhere, ties, repeats, very long texts, clashing names; and no rows at all."""
+    documents(spark).select("doc_id").limit(1).count()
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"file://{tmp_path}/labels.parquet")
+    for rows in (DOCS, []):
+        have = documents(spark, rows)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, have, f"file://{tmp_path}")
+            assert now.columns == have.columns, name
+            now.write.parquet(path := fresh_path(spark, f"odd-{name}"))
+            have = spark.read.schema(now.schema).parquet(path)
+            assert rows or have.count() == 0
+        assert corpus_pipeline.STAGES[-1][1](spark, have, f"file://{tmp_path}").count() >= (1 if have.count() else 0)
+    # Each stage by itself takes all odd rows.
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, documents(spark), f"file://{tmp_path}")
+        assert out.columns == documents(spark).columns
+        out.collect()
+    packed = corpus_pipeline.STAGES[-1][1](spark, documents(spark), f"file://{tmp_path}").collect()
+    assert sum(r.start == 0 for r in packed) == len(DOCS)
+
+
+def test_registered_jpeg_query_is_brute_force(spark):
+    docs = sf_texts(spark)
+    for r in queries.queries()["op10_baseline_jpeg"](spark, SF).collect():
+        raw = docs[r.doc_id].encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:])
+
+
+def test_registered_warc_query_is_brute_force(spark):
+    page = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    newest = {}
+    for i, x in page.items():
+        newest[x] = max(i, newest.get(x, i))
+    rows = queries.queries()["op6_gzip_normaliser"](spark, SF).collect()
+    assert {r.page_id for r in rows} == set(page)
+    for r in rows:
+        x = page[r.page_id]
+        assert r.payload_bytes == len(x) and r.payload_digest == base64.b32encode(hashlib.sha1(x).digest()).decode()
+        assert (r.record_type, r.refers_to) == (("response", None) if newest[x] == r.page_id else ("revisit", newest[x]))
+
+
+def test_reader_finds_documents_by_id(tmp_path):
+    path = tmp_path / "x.tok.zst"
+    rng = np.random.default_rng(1)
+    docs = [(None, rng.integers(0, 900, 5)), (3, rng.integers(0, 900, 40)), (3, rng.integers(0, 900, 7)), (8, rng.integers(0, 900, 300)), (12, rng.integers(0, 900, 1))]
+    with open(path, "wb") as out:
+        w = token_store.Writer(out, 2, frame_ids=32)
+        for i, ids in docs:
+            w.add(i, ids.astype(np.uint32))
+        w.close()
+    store, inner = token_store.open_fs(str(path))
+    with store.open_input_file(inner) as source:
+        reader = token_store.Reader(source, 2)
+        for wanted in ([3], [12, 8], [None, 5], [77], [None, 3, 8, 12]):
+            found = [(None if d == token_store.NO_ID else d, ids.tolist()) for d, _, ids in reader.read(reader.rows_of(wanted))]
+            assert found == [(i, ids.tolist()) for i, ids in docs if i in wanted]
+
+
+def test_a_hot_id_fills_several_files(spark):
+    rows = spark.range(4000).selectExpr("cast(7 as long) doc_id", "concat('word ', id) text").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = token_store.write(rows, fresh_path(spark, "hot"), WORDS, "drops")
+        assert files.count() > 1
+        out = sorted(token_store.read_back(spark, files).collect(), key=lambda r: r.start)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(out) == 4000 and [r.start for r in out] == np.cumsum([0, *(r.n_tokens for r in out[:-1])]).tolist()
+
+
 def test_pages_without_an_article_keep_all_their_parts():
     words = lambda w, n: " ".join(f"{w}{k}" for k in range(n))
     page = f"<body><nav>menu</nav><main><h1>Title</h1><section class=intro><p>{words('i', 60)}</p></section><section class=details><p>{words('d', 80)}</p></section></main></body>"

@@ -7,10 +7,12 @@
    left of the target takes an even part of each length, and the last remainder, below
    the sum of a few lengths, is fitted by a bounded-knapsack dynamic program over the
    lengths still free, whose reachable sums are the bits of one integer.
-4. Each length's count is then given to documents in the order of a seeded hash.
+4. Each length's count is then given to documents in the order of a seeded hash: up to the cut, the
+hash of the last one taken, which is found by counting hash buckets and then in one bucket of
+each length. Whether a row is taken follows from its own source, length and hash, so neither texts
+nor rows are sorted or shuffled where the plan is small enough to be broadcast.
 
-Only (source, length) counts reach the program, never documents. A length shared by very
-many rows is dealt by hash bucket, so no task sorts more than a bucket.
+Only (source, length) counts reach the program, never documents.
 
 Nulls and odd rows: a null text has length 0; null sources form one source, last in order;
 repeated rows are separate documents, ordered by a hash of id and text, then equal ones are
@@ -28,8 +30,10 @@ from siftline.plans.storage import write_back
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Hash buckets in which the documents of one source and length are ranked.
+#: Hash buckets in which the documents of one source and length are counted.
 BUCKETS = 1024
+#: Rows of a plan (a row for each source and length) up to which it is broadcast; beyond, Spark joins by its sizes.
+BROADCAST_ROWS = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -119,17 +123,13 @@ def _plan_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "passes": passes, "extra": extra})
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """How often the mix takes each document: doc_id, size, source, source_size, target, copies, taken, text_hash."""
-    rows = write_back(
-        docs.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(F.lit(seed), id_col, text_col).alias("order_hash"),
-        ),
-        "mix-lengths",
-    ).withColumn("bucket", F.shiftrightunsigned("order_hash", 54))
-    assert BUCKETS == 1 << 10  # the ten leading bits
-    dealt = rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
+def plan_mix(rows: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> tuple[DataFrame, bool]:
+    """The plan of rows (source, size, order_hash, bucket), and whether a cut divides rows that are equal.
+
+    One row for each source and length: __s, __z, source_size, target, passes, and the cut: the
+    bucket, the hash in it, how many rows have that hash (ties) and how many of those are taken.
+    """
+    dealt = write_back(rows.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "mix-buckets")
     by_length = dealt.groupBy("source", "size").agg(F.sum("n").alias("n"))
     sizes = by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goals = write_back(targets(sizes, weights, share, cap), "mix-targets")
@@ -137,34 +137,61 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         by_length.join(goals, by_length["source"].eqNullSafe(goals["source"])).drop(goals["source"])
         .groupBy("source").applyInPandas(_plan_source, "source string, size long, passes long, extra long")
     )
-    before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    quotas = (
-        dealt.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source AND d.size = p.size"))
-        .select("d.source", "d.size", "d.bucket", "d.n", "p.passes", "p.extra")
-        .withColumn("prior", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .select(F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("bucket").alias("__b"), "passes", F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("prior"))).alias("quota"))
-    )
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("order_hash", "doc_id"))
-    return (
-        rows.withColumn("rank", rank)
-        .join(quotas, F.expr("source <=> __s AND size = __z AND bucket = __b"))
-        .withColumn("copies", (F.col("passes") + (F.col("rank") <= F.col("quota")).cast("long")).cast("long"))
-        .drop("__s", "__z", "__b", "passes", "quota", "rank", "bucket").alias("r")
-        .join(goals.alias("g"), F.expr("r.source <=> g.source"))
-        .select("doc_id", "size", "r.source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "order_hash")
+    plan = write_back(plan.select(F.col("source").alias("__s"), F.col("size").alias("__z"), "passes", "extra"), "mix-plan")
+    here = F.expr("source <=> __s AND size = __z")
+    before = lambda c: F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cuts = dealt.join(plan.where("extra > 0"), here).withColumn("prior", before("bucket")).where("prior < extra AND extra <= prior + n")
+    cuts = write_back(cuts.select("__s", "__z", F.col("bucket").alias("cut"), (F.col("extra") - F.col("prior")).alias("need")), "mix-cuts")
+    # Equal rows are one row here; a bucket of a length is a 1024th of it.
+    inside = rows.join(cuts, F.expr("source <=> __s AND size = __z AND bucket = cut")).groupBy("source", "size", "order_hash", "cut", "need").agg(F.count(F.lit(1)).alias("n"))
+    ends = inside.withColumn("prior", before("order_hash")).where("prior < need AND need <= prior + n")
+    ends = ends.select(F.col("source").alias("__es"), F.col("size").alias("__ez"), "cut", F.col("order_hash").alias("last"), F.col("n").alias("ties"), (F.col("need") - F.col("prior")).alias("ties_taken"))
+    whole = plan.drop("extra").join(ends, F.expr("__s <=> __es AND __z = __ez"), "left").drop("__es", "__ez").alias("p").join(goals.alias("g"), F.expr("p.__s <=> g.source"))
+    whole = write_back(whole.select("__s", "__z", "source_size", "target", "passes", "cut", "last", "ties", "ties_taken"), "mix-whole-plan")
+    divided = not whole.where("ties_taken < ties").isEmpty()
+    return (F.broadcast(whole) if whole.count() <= BROADCAST_ROWS else whole), divided
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, divided: bool, source: Column, size: str, order_hash: str) -> DataFrame:
+    """``rows`` with the plan's columns and ``copies``, the passes and one more up to the cut.
+
+    Of equal rows that a cut divides the first ones are taken, by any numbering.
+    """
+    d = rows.join(plan, source.eqNullSafe(F.col("__s")) & (F.col(size) == F.col("__z")))
+    bucket, at_cut = F.shiftrightunsigned(order_hash, 54), F.col(order_hash) == F.col("last")
+    one = F.when(F.col("cut").isNull(), 0).when(bucket != F.col("cut"), (bucket < F.col("cut")).cast("int")).otherwise((F.col(order_hash) <= F.col("last")).cast("int"))
+    copies = (F.col("passes") + one).cast("long").alias("copies")
+    if not divided:
+        return d.select("*", copies)
+    part = F.coalesce(at_cut & (F.col("ties_taken") < F.col("ties")), F.lit(False))
+    turn = F.row_number().over(Window.partitionBy("__s", "__z", order_hash).orderBy("__s"))
+    return d.where(~part).select("*", copies).unionByName(d.where(part).select("*", (F.col("passes") + (turn <= F.col("ties_taken")).cast("long")).cast("long").alias("copies")))
+
+
+def _lengths(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.xxhash64(F.lit(seed), id_col, text_col).alias("order_hash"),
     )
+    assert BUCKETS == 1 << 10  # the ten leading bits
+    return write_back(rows, "mix-lengths").withColumn("bucket", F.shiftrightunsigned("order_hash", 54))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """How often the mix takes each document: doc_id, size, source, source_size, target, copies, taken, order_hash."""
+    rows = _lengths(docs, id_col, text_col, source_col, seed)
+    plan, divided = plan_mix(rows, weights, share, cap)
+    out = with_copies(rows, plan, divided, F.col("source"), "size", "order_hash")
+    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "order_hash")
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with its own columns.
 
-    Rows that share id and text share their copies out: they are numbered, and the first ones
-    take what doesn't divide.
+    Each row's length and hash are worked out again where it lies, so that its text is not moved.
     """
-    chosen = mix(docs, id_col, text_col, source_col, seed, weights, share, cap)
-    chosen = chosen.groupBy(F.col("doc_id").alias("__id"), F.col("order_hash").alias("__h")).agg(F.sum("copies").alias("__c"), F.count(F.lit(1)).alias("__n")).where("__c > 0")
-    rows = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.lit(seed), id_col, text_col) == F.col("__h")))
-    alone = rows.where("__n = 1").withColumn("__k", F.lit(1))
-    several = rows.where("__n > 1").withColumn("__k", F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__n")))
-    copies = F.expr("cast(__c div __n + if(__k <= __c % __n, 1, 0) as int)")
-    return alone.unionByName(several).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*own_columns(docs))
+    plan, divided = plan_mix(_lengths(docs, id_col, text_col, source_col, seed), weights, share, cap)
+    own = F.struct(*own_columns(docs)).alias("__row")
+    rows = docs.select(own, F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"), F.xxhash64(F.lit(seed), id_col, text_col).alias("__hash"))
+    taken = with_copies(rows, plan, divided, F.col("__source"), "__size", "__hash")
+    return taken.where("copies > 0").select("__row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("__row.*")

@@ -600,3 +600,22 @@ def test_mixing_on_odd_rows(spark):
     assert mixing.mix(documents(spark, [])).count() == 0
     mixed = mixing.apply(documents(spark))
     assert mixed.columns == documents(spark).columns and mixed.count() == sum(r.copies for r in out)
+
+
+def test_mixing_divides_equal_rows(spark):
+    """Rows equal in id and text are numbered where the cut falls among them, in the mix and in its rows alike."""
+    rows = [(1, "one two three", "a")] * 41 + [(k, f"w{k} x y", "a") for k in range(100, 107)] + [(k, f"only {k}", "b") for k in range(300, 330)] + [(None, None, "b")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs).collect()
+    taken = Counter()
+    for r in out:
+        taken[r.source] += r.taken
+    for s in ("a", "b"):
+        target = next(r.target for r in out if r.source == s)
+        assert abs(taken[s] - target) < 3
+    assert {r.copies for r in out if r.doc_id == 1} <= {1, 2}
+    made = Counter((r.doc_id, r.text) for r in mixing.apply(docs).collect())
+    want = Counter()
+    for r in out:
+        want[r.doc_id] += r.copies
+    assert {k: sum(n for (i, _), n in made.items() if i == k) for k in want} == {k: v for k, v in want.items()}

@@ -443,6 +443,16 @@ def _soft(z: str) -> str:
     return f"(1 / (1 + exp(-least(60, greatest(-60, ({z}) / 0.02::DOUBLE)))))"
 
 
+def _jittered(prev: str, j: int) -> str:
+    """The j-th of the four colour changes of a row's rotation, on rows of ``prev`` (vec_id, i, x, t, b, c, s, h) of 3 by 24 pixels."""
+    hue = []
+    for row in ((0.299, 0.701, 0.168, 0.587, -0.587, 0.330, 0.114, -0.114, -0.497), (0.299, -0.299, -0.328, 0.587, 0.413, 0.035, 0.114, -0.114, 0.292), (0.299, -0.300, 1.250, 0.587, -0.588, -1.050, 0.114, 0.886, -0.203)):
+        hue.append(" + ".join(f"{ch} * ({row[3 * k]}::DOUBLE + {row[3 * k + 1]}::DOUBLE * cos(h) + {row[3 * k + 2]}::DOUBLE * sin(h))" for k, ch in enumerate(("r", "g", "bl"))))
+    planes = ", ".join(f"max(CASE WHEN i // 24 = {k} THEN x END) OVER (PARTITION BY vec_id, i % 24) AS {ch}" for k, ch in enumerate(("r", "g", "bl")))
+    return f"""j{j} AS (SELECT vec_id, i, CASE (t + {j}) % 4 WHEN 0 THEN x * b WHEN 1 THEN (x - m) * c + m WHEN 2 THEN (r + g + bl) / 3 * (1 - s) + x * s
+        ELSE CASE i // 24 WHEN 0 THEN {hue[0]} WHEN 1 THEN {hue[1]} ELSE {hue[2]} END END AS x, t, b, c, s, h FROM (SELECT *, avg(x) OVER (PARTITION BY vec_id, i // 24) AS m, {planes} FROM {prev}))"""
+
+
 _BOX = f"""s AS (SELECT vec_id, {_u0(5)} AS a, {_u0(6)} AS r, {_u0(7)} AS ux, {_u0(8)} AS uy FROM embeddings), z AS (SELECT *, (0.2::DOUBLE + a * 0.8::DOUBLE) * 307200 AS area, exp(ln(0.75::DOUBLE) + r * (ln(4 / 3.0::DOUBLE) - ln(0.75::DOUBLE))) AS asp FROM s),
     c AS (SELECT *, least(sqrt(area * asp), 640) AS cw, least(sqrt(area / asp), 480) AS ch FROM z), b AS (SELECT vec_id, (ux * (640 - cw) + cw / 2) / 640 AS cx, (uy * (480 - ch) + ch / 2) / 480 AS cy, cw / 1280 AS hw, ch / 960 AS hh FROM c)"""
 ORACLES = {
@@ -480,6 +490,14 @@ ORACLES = {
         SELECT vec_id, turn, level, {_S.format("CASE WHEN level > 0 AND x > [1, 0.75, 0.5, 0.25][level + 1] THEN 1 - x ELSE x END", "view")} FROM r GROUP BY 1, 2, 3""",
     "preset_registry": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {k}, '{kind}', {p}::DOUBLE)" for n, steps in PRESETS.items() for k, (kind, p, _) in enumerate(steps)) + ") t(preset, step, transform, p)",
     "task_registry": "SELECT * FROM (VALUES ('blur', 4), ('color_permutation', 6), ('frequency', 7), ('patch_shuffle', 24), ('rotation', 4), ('solarization', 4)) t(task, labels)",
+    "augmentation_preset": "WITH " + _I.format(n=72) + f""", j AS (SELECT vec_id, i, x, floor({_u0(4)} * 4)::INT AS t, 0.6::DOUBLE + {_u0(0)} * 0.8::DOUBLE AS b, 0.6::DOUBLE + {_u0(1)} * 0.8::DOUBLE AS c, 0.6::DOUBLE + {_u0(2)} * 0.8::DOUBLE AS s, (-0.1::DOUBLE + {_u0(3)} * 0.2::DOUBLE) * 3.14159 * 2 AS h FROM e),
+        {_jittered("j", 0)}, {_jittered("j0", 1)}, {_jittered("j1", 2)}, {_jittered("j2", 3)},
+        a AS (SELECT e.vec_id, e.i, CASE WHEN {_u0(50, 'e.vec_id')} < 0.8 THEN j3.x ELSE e.x END AS x FROM e JOIN j3 ON j3.vec_id = e.vec_id AND j3.i = e.i),
+        g AS (SELECT vec_id, i, CASE WHEN {_u0(150)} < 0.2 THEN sum(x * CASE i // 24 WHEN 0 THEN 0.299::DOUBLE WHEN 1 THEN 0.587::DOUBLE ELSE 0.114::DOUBLE END) OVER (PARTITION BY vec_id, i % 24) ELSE x END AS x FROM a),
+        l AS (SELECT vec_id, list(x ORDER BY i) AS img, 0.1::DOUBLE + {_u0(200)} * 1.9::DOUBLE AS sg FROM g GROUP BY 1), d AS (SELECT unnest([-1, 0, 1]) AS d),
+        w AS (SELECT vec_id, i, exp(-(p.d * p.d + q.d * q.d) / (2 * sg * sg)) AS w, img[i // 24 * 24 + {_reflected('i % 24 // 6 + p.d', 4)} * 6 + {_reflected('i % 6 + q.d', 6)} + 1] AS v, img FROM l, d p, d q, (SELECT unnest(range(72))::INT AS i)),
+        z AS (SELECT vec_id, i, CASE WHEN {_u0(250)} < 0.5 THEN sum(w * v) / sum(w) ELSE any_value(img[i + 1]) END AS x FROM w GROUP BY 1, 2), o AS (SELECT vec_id, i, CASE WHEN {_u0(350)} < 0.2 AND x > 0.5 THEN 1 - x ELSE x END AS x FROM z)
+        SELECT vec_id, {_S.format("least(1, greatest(0, x))", "view")} FROM o GROUP BY 1""",
     "drawn_pipeline": "WITH " + _I.format(n=64) + f""", a AS (SELECT vec_id, i, CASE WHEN {_u0(51)} < 0.5 THEN img[i // 8 * 8 + 7 - i % 8 + 1] ELSE x END AS x FROM e), b AS (SELECT vec_id, i, CASE WHEN {_u0(53)} < 0.8 THEN least(1, greatest(0, x * (0.6::DOUBLE + {_u0(52)} * 0.8::DOUBLE))) ELSE x END AS x FROM a),
         c AS (SELECT vec_id, i, CASE WHEN {_u0(55)} < 0.2 AND x > 0.5 THEN 1 - x ELSE x END AS x FROM b), d AS (SELECT vec_id, i, CASE WHEN {_u0(57)} < 0.3 THEN floor(x * 16) / 16 ELSE x END AS x FROM c)
         SELECT vec_id, {_S.format("least(1, greatest(0, x))", "view")} FROM d GROUP BY 1""",

@@ -7,6 +7,8 @@ a batch is the unit of the loss, so the pairs are its definition, and they are f
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -49,11 +51,17 @@ def _fold(pairs: DataFrame, by: list[str], positive: Column, similarity: Column,
     return d.groupBy(*by).agg((F.log(F.sum(F.exp(F.col("__l") - top))) + top - F.max(F.when(positive, F.col("__l")))).alias("loss"))
 
 
-def ntxent(views: DataFrame, batch: str, pos: str, view: str, vec: str, temperature: float = 0.2) -> DataFrame:
+def ntxent(views: DataFrame, batch: str, pos: str, view: str | None, vec: str, temperature: float = 0.2, labels: str | None = None) -> DataFrame:
     """NT-Xent by batch: rows (batch, pos, view 0/1, vec); a row's positive is the other view at its position.
 
-    Batches with fewer than two positions have loss 0.
+    Without ``view`` each row stands for both views. Batches with fewer than two positions have
+    loss 0. ``labels`` are not used, and a warning says so.
     """
+    if labels is not None:
+        warnings.warn("labels are not used by this loss", stacklevel=2)
+    if view is None:
+        view = "__view"
+        views = views.withColumn(view, F.explode(F.array(F.lit(0), F.lit(1))))
     u = views.select(batch, F.struct(pos, view).alias("__k"), F.col(pos).alias("__p"), l2_normalise(F.col(vec), 1e-8).alias("__u"))
     o = u.select(batch, F.col("__k").alias("__k2"), F.col("__p").alias("__p2"), F.col("__u").alias("__u2"))
     pairs = u.join(o, batch).where("__k <> __k2")
@@ -221,6 +229,12 @@ def q_ntxent_loss(spark, sf_dir):
     return ntxent(_views(spark, sf_dir), "batch", "pos", "view", "v").select("batch", "n", F.round("loss", 6).alias("loss"))
 
 
+def q_ntxent_one_view(spark, sf_dir):
+    """Each vector is both of its views."""
+    v = _vecs(spark, sf_dir).select(F.floor(F.col("vec_id") / 12).alias("batch"), (F.col("vec_id") % 12).alias("pos"), "v")
+    return ntxent(v, "batch", "pos", None, "v", 0.5).select("batch", "n", F.round("loss", 6).alias("loss"))
+
+
 def q_infonce_moco(spark, sf_dir):
     v = _views(spark, sf_dir)
     return infonce(v.where("view = 0"), v.where("view = 1"), "batch", "pos", "v").select("batch", F.round("loss", 6).alias("loss"), F.round("top1", 6).alias("top1"))
@@ -305,7 +319,7 @@ def q_matching_weights(spark, sf_dir):
     return out
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_channels, q_linear_probe, q_matching_weights, q_ntxent_loss, q_infonce_moco, q_vicreg_statistics, q_cosine_disagreement, q_cwd_kl, q_consensus_loss, q_consensus_gate, q_film_transform, q_candidate_infonce, q_level_weighted_loss, q_pooled_features)}
+QUERIES = {f.__name__[2:]: f for f in (q_channels, q_linear_probe, q_matching_weights, q_ntxent_loss, q_ntxent_one_view, q_infonce_moco, q_vicreg_statistics, q_cosine_disagreement, q_cwd_kl, q_consensus_loss, q_consensus_gate, q_film_transform, q_candidate_infonce, q_level_weighted_loss, q_pooled_features)}
 _V = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)"
 _B = _V + ", u AS (SELECT vec_id // 32 AS batch, vec_id // 2 % 16 AS pos, vec_id % 2 AS view, vec_id, list_transform(v, lambda x: x / n) AS u FROM v)"
 _P = _V + ", p AS (SELECT a.vec_id // 2 AS pair, a.v AS a, b.v AS b, a.n AS na, b.n AS nb, least(a.label, b.label) AS label, list_dot_product(a.v, b.v) AS ab FROM v a JOIN v b ON a.vec_id + 1 = b.vec_id AND a.vec_id % 2 = 0)"
@@ -320,6 +334,10 @@ ORACLES = {
     "ntxent_loss": f"""WITH {_B}, s AS (SELECT x.batch, x.vec_id, x.pos = y.pos AS same, list_dot_product(x.u, y.u) / 0.2 AS l FROM u x JOIN u y ON x.batch = y.batch AND x.vec_id <> y.vec_id),
         r AS (SELECT batch, vec_id, ln(sum(exp(l))) - max(CASE WHEN same THEN l END) AS loss FROM s GROUP BY 1, 2), k AS (SELECT batch, count(DISTINCT pos) AS n FROM u GROUP BY 1)
         SELECT batch, n, round(CASE WHEN n < 2 THEN 0 ELSE avg(loss) END, 6) AS loss FROM k LEFT JOIN r USING (batch) GROUP BY 1, 2""",
+    "ntxent_one_view": """WITH u AS (SELECT vec_id // 12 AS batch, vec_id, w, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings, (SELECT unnest([0, 1]) AS w)),
+        s AS (SELECT x.batch, x.vec_id, x.w, x.vec_id = y.vec_id AS same, list_cosine_similarity(x.v, y.v) / 0.5::DOUBLE AS l FROM u x JOIN u y ON x.batch = y.batch AND (x.vec_id <> y.vec_id OR x.w <> y.w)),
+        r AS (SELECT batch, vec_id, w, ln(sum(exp(l))) - max(CASE WHEN same THEN l END) AS loss FROM s GROUP BY 1, 2, 3), n AS (SELECT batch, count(DISTINCT vec_id) AS n FROM u GROUP BY 1)
+        SELECT batch, n, round(CASE WHEN n < 2 THEN 0 ELSE avg(loss) END, 6) AS loss FROM n LEFT JOIN r USING (batch) GROUP BY 1, 2""",
     "infonce_moco": f"""WITH {_B}, s AS (SELECT x.batch, x.pos AS i, y.pos AS j, list_dot_product(x.u, y.u) / 0.2 AS l FROM u x JOIN u y ON x.batch = y.batch AND x.view = 0 AND y.view = 1),
         r AS (SELECT batch, i, ln(sum(exp(l))) - max(CASE WHEN i = j THEN l END) AS loss, arg_max(j, l) = i AS hit FROM s GROUP BY 1, 2) SELECT batch, round(avg(loss) * 0.4, 6) AS loss, round(avg(hit::INT), 6) AS top1 FROM r GROUP BY 1""",
     "vicreg_statistics": f"""WITH {_V}, e AS (SELECT vec_id, unnest(range(64)) AS d, unnest(v) AS x FROM v), s AS (SELECT d, var_samp(x) AS var, count(*) AS n FROM e GROUP BY 1),

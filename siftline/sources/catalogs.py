@@ -60,11 +60,13 @@ def read_catalog(spark: SparkSession, path: str, train_subset: DataFrame | None
 
 
 def find_root(spark: SparkSession, base: str, name: str = "data.yaml") -> str:
-    """The first folder, in the order of paths, that holds a catalog."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(base).agg(F.min("path").alias("p")).first().p
+    """The first folder, in the order of paths, that holds a catalog: a file of that name, or a folder written by Spark."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path")
+    root = F.regexp_extract("path", rf"^(.*)/{name.replace('.', '[.]')}(?:/[^/]*)?$", 1)
+    found = files.select(root.alias("r")).where("r <> ''").agg(F.min("r").alias("r")).first().r
     if found is None:
         raise DataError(f"no {name} under {base}")
-    return found.rsplit("/", 1)[0]
+    return found
 
 
 def fold_datasets(spark: SparkSession, folder: str) -> list[dict]:
@@ -199,7 +201,9 @@ def q_catalog_read_back(spark, sf_dir):
     for name, part in (("train", f.where("doc_id % 5 > 0")), ("val", f.where("doc_id % 5 = 0"))):
         part.select("path").coalesce(2).write.text(f"{folder}/{name}.txt")
     write_catalog(spark, f"{folder}/data.yaml", {"train": "../train.txt", "val": "val.txt", "nc": 2, "names": {"1": " b ", "0": "a"}})
-    train, val, info = read_catalog(spark, f"{folder}/data.yaml")
+    write_catalog(spark, f"{folder}/other/data.yaml", {"train": "none"})
+    root = find_root(spark, folder)
+    train, val, info = read_catalog(spark, f"{root}/data.yaml")
     subset, _, less = read_catalog(spark, f"{folder}/data.yaml", train.where("path LIKE '%0.jpg'").select("path"))
     out = None
     for name, d, n in (("train", train, info["n_train"]), ("val", val, info["n_val"]), ("subset", subset, less["n_train"])):

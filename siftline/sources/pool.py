@@ -17,7 +17,7 @@ from siftline.functions import image_udfs as U
 from siftline.functions import jpeg
 from siftline.functions.scalars import image_id
 from siftline.functions.tables import table
-from siftline.plans.storage import fresh_path
+from siftline.plans.storage import fresh_path, write_back
 from siftline.sources import archives
 from siftline.sources.discovery import list_images
 from siftline.sources.manifest import MANIFEST, SIDECAR, incremental, read_hashes, read_or_empty
@@ -145,6 +145,16 @@ def q_image_dataset(spark, sf_dir):
     return d.select(_number(F.col("path")).alias("vec_id"), F.round(F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda s, v: s + v) + 1e-9, 5).alias("view"))
 
 
+def q_resized_files(spark, sf_dir):
+    """Images shrunk, encoded and written as files, then found and read again; broken ones are left out."""
+    folder = fresh_path(spark, "resized")
+    d = _gray(spark, sf_dir).select(F.concat(F.lit(f"{folder}/"), F.format_string("%05d", "vec_id"), F.lit(".jpg")).alias("path"), F.when(F.col("vec_id") % 10 == 4, F.lit(b"broken")).otherwise(_jpg("g")).alias("data"))
+    made = write_back(resized_files(d, 24), "resized")
+    put_files(made).count()
+    files = list_images(spark, folder, content=True).select(_number(F.col("path")).alias("vec_id"), F.sha2("content", 256).alias("sha"), F.size(as_arrays(8)("content")).alias("n"))
+    return files.join(made.select(_number(F.col("path")).alias("vec_id"), "h", "w", "mh", "mw", F.col("sha").alias("told")), "vec_id").select("vec_id", "n", "h", "w", "mh", "mw", (F.col("sha") == F.col("told")).alias("same"))
+
+
 def _zip(folder: str):
     """Groups of (name, data) -> a ZIP a group, from inside a task."""
 
@@ -183,7 +193,7 @@ def q_archive_ingest(spark, sf_dir):
     return out
 
 
-QUERIES = {f.__name__[2:]: f for f in (q_pool_scan, q_pool_hashes, q_image_dataset, q_archive_ingest)}
+QUERIES = {f.__name__[2:]: f for f in (q_pool_scan, q_pool_hashes, q_image_dataset, q_resized_files, q_archive_ingest)}
 _G = "v AS (SELECT vec_id, list_transform(embedding, lambda x: round((x::DOUBLE + 1) / 2 * 255)) AS img FROM embeddings)"
 _HASH = """r AS (SELECT unnest(range(32))::INT AS i), t AS (SELECT unnest(range(8))::INT AS k),
     m AS (SELECT u.k AS u, t.k AS k, sum(cos(pi() * (2 * i + 1) * u.k / 64) * greatest(0, 1 - abs(least(7, greatest(0, (i + 0.5) / 4 - 0.5)) - t.k))) AS m FROM r, t, t u GROUP BY 1, 2),
@@ -195,6 +205,7 @@ ORACLES = {
     "image_dataset": f"""WITH {_G}, o AS (SELECT *, row_number() OVER (ORDER BY 's' || vec_id % 3 || '/' || lpad(CAST(vec_id AS VARCHAR), 5, '0')) - 1 AS n, count(*) OVER () AS total FROM v),
         k AS (SELECT unnest(range(3)) AS k), s AS (SELECT a.vec_id, b.img FROM o a, k, o b WHERE b.n = (a.n + k) % a.total AND b.vec_id % 10 <> 4 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY k) = 1)
         SELECT vec_id, round(sum(img[i % 64 + 1] / 255 * (i + 1)) + 1e-9, 5) AS view FROM s, (SELECT unnest(range(192))::INT AS i) GROUP BY 1""",
+    "resized_files": "SELECT vec_id, 192 AS n, 32 AS h, 40 AS w, 19 AS mh, 24 AS mw, true AS same FROM embeddings WHERE vec_id % 10 <> 4",
     "archive_ingest": """WITH d AS (SELECT vec_id, CASE WHEN vec_id % 4 < 2 THEN 'bdd100k' ELSE 'mapillary' END AS dataset, CASE WHEN vec_id % 4 > 1 THEN 'training' WHEN vec_id % 2 = 0 THEN 'train' ELSE 'val' END AS original_split, vec_id % 10 = 4 AS bad FROM embeddings),
         n AS (SELECT dataset, count(*) AS n_members, sum((NOT bad)::INT)::BIGINT AS n_made, sum(bad::INT)::BIGINT AS n_errors FROM d GROUP BY 1)
         SELECT dataset, original_split, 32 AS original_h, 40 AS original_w, 16 AS materialized_h, 20 AS materialized_w, count(*) AS n, n_members, n_made, n_errors FROM d JOIN n USING (dataset) WHERE NOT bad GROUP BY ALL""",

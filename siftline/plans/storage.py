@@ -49,9 +49,10 @@ def write_back(df: DataFrame, tag: str) -> DataFrame:
 def forget(*tables: DataFrame) -> None:
     """Delete tables of ``write_back`` that no later step reads; tables of any other folder stay."""
     for t in tables:
-        spark = t.sparkSession
-        own = f"{shared_dir(spark)}/siftline/".replace("file://", "file:").replace("file:///", "file:/")
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path
+        own = path(shared_dir(t.sparkSession)).toUri().getPath().rstrip("/") + "/siftline/"
         for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            if folder.replace("file://", "file:").startswith(own):
-                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            p = path(folder)
+            if p.toUri().getPath().startswith(own):
+                p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from siftline.functions import image_udfs as U
 from siftline.functions import jpeg
 from siftline.functions import pixels as P
-from siftline.operators import grid, images, matching, sampling, splits
+from siftline.operators import dedup, grid, images, matching, sampling, splits
+from siftline.plans import storage
 from siftline.sources import archives, discovery, manifest
+from siftline.sources.manifest import path_exists
 
 
 def png(h, w, seed=0):
@@ -202,3 +204,44 @@ def test_discovery(spark, tmp_path):
     assert [r.name for r in discovery.load_sources(lines).collect()] == ["ds_01", "ds_02"]
     log = discovery.build_logger(spark, "parquet", "r", f"file://{tmp_path}/log")
     assert [log.log({"a": 1.0}), log.log({"b": 2.0}, 7), log.log({"a": 3.0})] == [0, 7, 8]
+
+
+def test_noise_has_its_spread_and_is_the_row_s(spark):
+    df = spark.createDataFrame([(k, [0.5] * 1024) for k in range(8)], "id int, img array<double>")
+    out = {r.id: np.array(r.x) for r in df.select("id", P.noise(F.col("img"), 0.05, 3, F.col("id")).alias("x")).collect()}
+    again = {r.id: np.array(r.x) for r in df.repartition(3).select("id", P.noise(F.col("img"), 0.05, 3, F.col("id")).alias("x")).collect()}
+    every = np.concatenate(list(out.values())) - 0.5
+    assert abs(every.mean()) < 0.003 and abs(every.std() - 0.05) < 0.003
+    assert all((out[k] == again[k]).all() for k in out) and (out[0] != out[1]).any()
+
+
+def test_wide_hamming_radius_is_refused(spark):
+    rows = spark.createDataFrame([(1, 5)], "id int, bits long")
+    assert dedup.hamming_pairs(rows, rows, 7).count() == 1
+    with pytest.raises(ValueError):
+        dedup.hamming_pairs(rows, rows, 8)
+
+
+def test_shared_folder_is_refused_on_a_cluster(monkeypatch):
+    class Context:
+        master, applicationId = "spark://x:7077", "a"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://n/x/"}
+    assert storage.shared_dir(Session()) == "hdfs://n/x"
+
+
+def test_forget_deletes_own_tables_only(spark, tmp_path):
+    own = storage.write_back(spark.range(5), "gone")
+    spark.range(3).write.parquet(f"file://{tmp_path}/other")
+    other = spark.read.parquet(f"file://{tmp_path}/other")
+    storage.forget(own, other)
+    assert other.count() == 3 and not path_exists(spark, own.inputFiles()[0])

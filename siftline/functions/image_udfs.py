@@ -409,4 +409,4 @@ def patches_udtf(shape, scales=(0.2, 0.5), per_scale: int = 8, size: int = 64, s
             for p, (s, cx, cy) in enumerate(at.tolist()):
                 yield p, float(np.log(s)), cx, cy, made[p].tolist()
 
-    return F.udtf(Patches, returnType="patch_id int, log_scale double, cx double, cy double, patch array<double>", useArrow=False)
+    return F.udtf(Patches, returnType="patch_id int, log_scale double, cx double, cy double, patch array<double>", useArrow=True)

@@ -35,6 +35,8 @@ from siftline.llm.tokens import batches
 UNIT = 192
 CATEGORY = 9  # of the values 256 to 511
 MAX_SIDE = 65_535 // 8
+#: Bytes of lanes that are decoded at once.
+LANE_BYTES = 1 << 22
 FIELDS = [("doc_id", "bigint", pa.int64()), ("n_bytes", "bigint", pa.int64()), ("payload_bytes", "bigint", pa.int64()), ("payload_sha256", "string", pa.string()), ("tail_crc32", "bigint", pa.int64()), ("media_bytes", "bigint", pa.int64()), ("media_sha256", "string", pa.string()), ("feature", "string", pa.string()), ("width", "int", pa.int32()), ("height", "int", pa.int32())]
 
 
@@ -185,21 +187,8 @@ def lookup(table: bytes) -> np.ndarray:
     return out
 
 
-def decode_scans(files: list[Parsed]) -> list[np.ndarray]:
-    """Coefficients (blocks, 64) in zigzag order and scan order; the files share tables and layout."""
-    first = files[0]
-    across, down, order = first.mcus()
-    luts = np.stack([lookup(first.tables[t]) for _, dc, ac in first.scan for t in (dc, 16 + ac)])
-    order_of = np.array(order)
-    lanes = [x for f in files for x in f.lanes]
-    n_blocks = []
-    for f in files:
-        across, down, _ = f.mcus()
-        total, step = across * down, f.restart or across * down
-        n_blocks += [len(order) * min(step, total - k * step) for k in range(len(f.lanes))]
-        if sum(n_blocks[-len(f.lanes) :]) != total * len(order):
-            raise ValueError("restart markers are missing")
-    n_blocks = np.array(n_blocks)
+def decode_lanes(lanes: list[bytes], n_blocks: np.ndarray, luts: np.ndarray, order_of: np.ndarray, coef: np.ndarray) -> None:
+    """Fills ``coef`` with the blocks of the lanes, one symbol of every lane a step; DC values stay differences."""
     sizes = np.fromiter(map(len, lanes), np.int64, len(lanes)) + 8
     buf = np.frombuffer(b"".join(x + b"\xff" * 8 for x in lanes) + b"\xff" * 8, np.uint8)
     # The 40 bits from each byte on: a code of 16, its value of 11 and an offset of 7 fit.
@@ -207,16 +196,15 @@ def decode_scans(files: list[Parsed]) -> list[np.ndarray]:
     for k in range(1, 5):
         words = words << 8 | buf[k : len(buf) - 4 + k]
     base = np.cumsum(n_blocks) - n_blocks
-    coef = np.zeros((int(n_blocks.sum()), 64), np.int16)
     flat = coef.reshape(-1)
     lane = np.arange(len(lanes))
     pos = (np.cumsum(sizes) - sizes) * 8
     last = np.cumsum(sizes) * 8
     block, k = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64)
-    simple = len(order) == 1
+    simple = len(order_of) == 1
     while len(lane):
         ac = k > 0
-        table = ac.astype(np.int64) if simple else 2 * order_of[block % len(order)] + ac
+        table = ac.astype(np.int64) if simple else 2 * order_of[block % len(order_of)] + ac
         w, shift = words[pos >> 3], pos & 7
         e = luts[table, w >> 24 - shift & 0xFFFF]
         if not e.all():
@@ -241,6 +229,31 @@ def decode_scans(files: list[Parsed]) -> list[np.ndarray]:
                 raise ValueError("a scan ends early")
             if not keep.all():
                 lane, pos, block, k = lane[keep], pos[keep], block[keep], k[keep]
+
+
+def decode_scans(files: list[Parsed]) -> list[np.ndarray]:
+    """Coefficients (blocks, 64) in zigzag order and scan order; the files share tables and layout."""
+    first = files[0]
+    across, down, order = first.mcus()
+    luts = np.stack([lookup(first.tables[t]) for _, dc, ac in first.scan for t in (dc, 16 + ac)])
+    order_of = np.array(order)
+    lanes = [x for f in files for x in f.lanes]
+    n_blocks = []
+    for f in files:
+        across, down, _ = f.mcus()
+        total, step = across * down, f.restart or across * down
+        n_blocks += [len(order) * min(step, total - k * step) for k in range(len(f.lanes))]
+        if sum(n_blocks[-len(f.lanes) :]) != total * len(order):
+            raise ValueError("restart markers are missing")
+    n_blocks = np.array(n_blocks)
+    base = np.cumsum(n_blocks) - n_blocks
+    coef = np.zeros((int(n_blocks.sum()), 64), np.int16)
+    # So many bytes of lanes at once, since each byte becomes a word of 8 while it is read.
+    ends = np.cumsum(np.fromiter(map(len, lanes), np.int64, len(lanes)))
+    cuts = [0, *np.flatnonzero(np.diff(ends // LANE_BYTES)).tolist(), len(lanes)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            decode_lanes(lanes[a:b], n_blocks[a:b], luts, order_of, coef[base[a] : base[b - 1] + n_blocks[b - 1]])
     # DC values are differences from the block before, of the same part, in the lane.
     if (n_blocks > len(order)).any():
         for s in range(len(first.scan)):

@@ -372,6 +372,13 @@ def test_jpeg_stores_any_bytes(payloads):
         assert media.thumbnail(parsed, coef).shape == (parsed.height // 8, parsed.width // 8)
 
 
+def test_lanes_are_decoded_in_parts(monkeypatch):
+    monkeypatch.setattr(media, "LANE_BYTES", 700)
+    payloads = [media.pad(np.random.default_rng(k).integers(0, 256, n).astype(np.uint8).tobytes()) for k, n in enumerate((0, 5, 192, 4000, 20_000))]
+    files = media.encode_many(payloads)
+    assert [media.payload(p, c) for p, c in media.decode_many(files)] == payloads
+
+
 def test_wide_images_for_long_payloads():
     across, down = media.shape(192 * 20_000)
     assert down <= media.MAX_SIDE and across * down * 64 >= 192 * 20_000

@@ -93,6 +93,17 @@ def test_codecs():
     assert U.phash(gray[1:2]) == U.phash(gray)[1:2]
 
 
+def test_equal_coefficients_get_equal_bits():
+    g = np.random.default_rng(5).integers(48, 205, (200, 8, 8)).astype(float)
+    hashes = U.phash(np.triu(g) + np.triu(g, 1).transpose(0, 2, 1))
+    bits = np.unpackbits(np.array([list(bytes.fromhex(h)) for h in hashes], np.uint8), axis=1).reshape(-1, 8, 8)
+    assert (bits == bits.transpose(0, 2, 1)).all()
+    assert U.phash(np.full((1, 30, 40), 91.0)) == ["8000000000000000"]
+    # The middle coefficients of this picture, (2, 6) and (6, 2), are equal.
+    picture = np.frombuffer(bytes.fromhex("6f7c9279769672696f72798e97959d8a6785839077917b91926f709381786b7b8a848288688e6397796f9e8c7d7b7c9b8d7d59907b847f6d7c67936e79887e89"), np.uint8).reshape(1, 8, 8).astype(float)
+    assert U.phash(picture) == U.phash(picture * 0.3) == ["8e9015e7735c8372"]
+
+
 @pytest.mark.parametrize("shape", [(33, 50, 3), (16, 16, 3), (7, 5, 1), (1, 1, 3), (64, 40, 1)])
 def test_jpeg_comes_back_nearly_the_same(shape):
     y, x, c = np.meshgrid(*(np.arange(n) for n in shape), indexing="ij")
